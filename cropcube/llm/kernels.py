@@ -33,7 +33,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _power = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
-_STEP = (np.arange(16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+_STEP = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
