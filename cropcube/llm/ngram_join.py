@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from cropcube.llm import kernels as K
 from cropcube.llm.graph import components
-from cropcube.llm.shared import Scratch, bitmap, partitions
+from cropcube.llm.shared import Scratch, bitmap, in_bitmap, partitions
 from cropcube.session import ship
 
 WORDS = 5
@@ -350,9 +350,7 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, num: int,
             ids, blobs = [], []
             for _, _, h, at in sets_of(batch.column(0), k):
                 sid = set_ids(h, at)
-                cell = cell_of(sid, FILTER_BITS)
-                hit = (wanted.value[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1
-                for d in np.flatnonzero(hit & (sid != 0)).tolist():
+                for d in np.flatnonzero(in_bitmap(wanted.value, sid, FILTER_BITS) & (sid != 0)).tolist():
                     if (x := int(sid[d])) not in seen:
                         seen.add(x)
                         ids.append(x)
@@ -384,22 +382,6 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, num: int,
     return scratch.table(both.mapInArrow(compare, "a long, b long"))
 
 
-def cell_of(sid: np.ndarray, bits: int) -> np.ndarray:
-    """The cell that ``shared.bitmap`` gives a set id: the top bits of Spark's xxhash64 of the long, seed 42."""
-    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
-    with np.errstate(over="ignore"):
-        h = np.full(sid.shape, np.uint64(42) + p5 + np.uint64(8), np.uint64)
-        h ^= rot(sid.astype(np.uint64) * p2, 31) * p1
-        h = rot(h, 27) * p1 + p4
-        h ^= h >> np.uint64(33)
-        h *= p2
-        h ^= h >> np.uint64(29)
-        h *= p3
-        h ^= h >> np.uint64(32)
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = NUM, den: int = DEN
 ) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.llm import decontaminate as contamination
-from cropcube.llm import ngram_join
+from cropcube.llm import ngram_join, repeats
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -72,5 +72,10 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a) c USING (doc_id)
 """
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram_join": op2_ngram_join}
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.repeated_spans(read(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram_join": op2_ngram_join, "op6_repeats": op6_repeats}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op2_ngram_join": OP2_SQL}

@@ -69,3 +69,25 @@ def bitmap(df: DataFrame, key: Column, bits: int) -> np.ndarray:
         at = (r.b - 1) * (BLOCK_BITS // 8)
         out[at : at + BLOCK_BITS // 8] = np.frombuffer(bytes(r.m), np.uint8)
     return out
+
+
+def cell_of(value: np.ndarray, bits: int) -> np.ndarray:
+    """The cell that ``bitmap`` gives a 64-bit value: the top bits of Spark's xxhash64 of the long, seed 42."""
+    p1, p2, p3, p4, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    rot = lambda x, r: (x << np.uint64(r)) | (x >> np.uint64(64 - r))
+    with np.errstate(over="ignore"):
+        h = np.full(value.shape, np.uint64(42) + p5 + np.uint64(8), np.uint64)
+        h ^= rot(value.astype(np.uint64) * p2, 31) * p1
+        h = rot(h, 27) * p1 + p4
+        h ^= h >> np.uint64(33)
+        h *= p2
+        h ^= h >> np.uint64(29)
+        h *= p3
+        h ^= h >> np.uint64(32)
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def in_bitmap(table: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
+    """Which values ``bitmap`` may hold: all of those it was made of, and a few others."""
+    cell = cell_of(value, bits)
+    return (table[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
