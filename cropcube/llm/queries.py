@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.llm import decontaminate as contamination
-from cropcube.llm import ngram_join, repeats
+from cropcube.llm import ngram_join, quality, repeats
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,5 +77,16 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ngram_join": op2_ngram_join, "op6_repeats": op6_repeats}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = quality.judge(docs, read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_ngram_join": op2_ngram_join,
+    "op6_repeats": op6_repeats,
+    "op10_quality": op10_quality,
+}
 ORACLES = {"op1_decontaminate": OP1_SQL, "op2_ngram_join": OP2_SQL}
