@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.llm import decontaminate as contamination
-from cropcube.llm import ngram_join, quality, repeats
+from cropcube.llm import ngram_join, quality, repeats, secrets
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -83,10 +83,18 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = out.withColumn("base", F.expr("filter(spans, s -> s.is_base)"))
+    count = [F.expr(f"cast(size(filter(base, s -> s.kind = '{r.kind}')) as bigint)").alias(f"n_{r.kind}") for r in secrets.BASE]
+    return out.select("doc_id", *count, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ngram_join": op2_ngram_join,
     "op6_repeats": op6_repeats,
+    "op8_secrets": op8_secrets,
     "op10_quality": op10_quality,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op2_ngram_join": OP2_SQL}
