@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.llm import decontaminate as contamination
-from cropcube.llm import ngram_join, quality, repeats, secrets
+from cropcube.llm import mixing, ngram_join, quality, repeats, secrets, url_rules
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -90,11 +90,42 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *count, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(RULES), "host string, path string, verdict string")
+    return url_rules.judge(read(spark, sf_dir, "pages").select("page_id", "url"), rules, keep=["page_id"])
+
+
+OP7_SQL = r"""
+WITH rules(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+u AS (
+  SELECT page_id, CASE WHEN strpos(coalesce(url, ''), '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages
+), v AS (
+  SELECT page_id, translate(regexp_extract(r, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), m AS (
+  SELECT row_number() OVER () AS k, page_id, host, path FROM v
+), f AS (
+  SELECT k, arg_max(h || p, length(h || p) * 1000 + length(h)) AS rule, arg_max(verdict, length(h || p) * 1000 + length(h)) AS verdict
+  FROM m JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m LEFT JOIN f USING (k)
+"""
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ngram_join": op2_ngram_join,
     "op6_repeats": op6_repeats,
+    "op3_mixing": op3_mixing,
+    "op7_url_rules": op7_url_rules,
     "op8_secrets": op8_secrets,
     "op10_quality": op10_quality,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op2_ngram_join": OP2_SQL}
+ORACLES = {"op1_decontaminate": OP1_SQL, "op2_ngram_join": OP2_SQL, "op7_url_rules": OP7_SQL}
