@@ -8,7 +8,11 @@ compared in full. Nothing is capped, and no pair with the similarity is missed.
 
 Groups of copies never become all their pairs. Equal sets are one node from the start. Near copies meet, by the least
 n-gram of each of a few fragments, one centre per meeting point; the pairs with a centre that reach the similarity
-give first components, and the exact search then only counts pairs between *different* components.
+give first components, and the exact search then only looks at pairs between *different* components.
+
+An n-gram that more than CROWD sets have in their prefixes, and not all of one component, emits no pairs either: it ties its
+sets into a family (one tie each). Any two sets that share such an n-gram are of one family, and families are compared in
+blocks: each block against each, whole sets in the task, and only links that join components come out.
 
 Texts are read again in each pass instead of being kept as sets: reading costs less than the disk.
 """
@@ -38,7 +42,12 @@ COUNT_BITS = 34
 #: Document frequency from which n-grams have a level above 0: 16, then each power of two.
 LEVEL_FROM = 4
 FILTER_BITS = 26
+#: Sets beyond which an n-gram ties its sets into a family, and sets of a family's block.
+CROWD = 16
+BLOCK = 384
 CHUNK = 1_500_000
+#: What ``part`` says of a row that is a tie of a family, not a count.
+TIE = -1
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -265,38 +274,33 @@ def shared_grams(docs: DataFrame, text_col: str, k: int, num: int, den: int, tab
     )
 
 
-def crossing_pairs(g: np.ndarray, s: np.ndarray, n: np.ndarray, c: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+def mixed_groups(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by n-gram and component, and start and size of the n-grams whose sets are of several components."""
+    order = np.lexsort((c, g))
+    if not len(g):
+        return order, order, order
+    g, c = g[order], c[order]
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    end = np.concatenate([start[1:], [len(g)]])
+    mixed = c[start] != c[end - 1]
+    return order, start[mixed], (end - start)[mixed]
+
+
+def crossing_pairs(order, start, size, n: np.ndarray, c: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
     """Entries that share an n-gram, are of different components and near enough in size: runs of index pairs."""
-    order = np.lexsort((n, c, g))
-    g, s, n, c = g[order], s[order], n[order], c[order]
-    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-    end = np.concatenate([start[1:], [len(g)]]).astype(np.int64) if len(g) else start
-    mixed = c[start] != c[end - 1] if len(g) else np.zeros(0, bool)  # sorted by component: others are of one
-    start, end = start[mixed], end[mixed]
-    size = end - start
-
-    def fit(i, j):
-        ok = (c[i] != c[j]) & (den * np.minimum(n[i], n[j]) >= num * np.maximum(n[i], n[j]))
-        return np.stack([order[i[ok]], order[j[ok]]])
-
-    for k in np.unique(size[size <= 64]).tolist():
+    for k in np.unique(size).tolist():
         i, j = np.triu_indices(k, 1)
         at = start[size == k]
         step = max(1, 2_000_000 // len(i))
         for x in range(0, len(at), step):
             base = at[x : x + step, None]
-            yield fit((base + i).ravel(), (base + j).ravel())
-    for a, b in zip(start[size > 64].tolist(), end[size > 64].tolist(), strict=True):
-        runs = a + np.flatnonzero(np.concatenate([[True], c[a + 1 : b] != c[a : b - 1]]))
-        ends = np.concatenate([runs[1:], [b]])
-        for x, y in zip(runs.tolist(), ends.tolist(), strict=True):  # one component against all behind it
-            for z in range(y, b, 1 + 2_000_000 // (y - x)):
-                w = min(b, z + 1 + 2_000_000 // (y - x))
-                yield fit(np.repeat(np.arange(x, y), w - z), np.tile(np.arange(z, w), y - x))
+            a, b = order[(base + i).ravel()], order[(base + j).ravel()]
+            ok = (c[a] != c[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
+            yield np.stack([a[ok], b[ok]])
 
 
 def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession) -> DataFrame:
-    """``(a, b, na, nb, part)``: of each fragment, how many n-grams a pair of different components shares in it."""
+    """``(a, b, na, nb, part)``: of each fragment, how many n-grams a pair of different components shares in it; or a tie."""
     ranges = partitions(spark)
 
     def count(part: pa.Table) -> pa.Table:
@@ -320,7 +324,13 @@ def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession)
                 k = np.bincount(inv, k2, len(u)).astype(np.int64)
             total, found, held = (u, k), [], 0
 
-        for pairs in crossing_pairs(col["gram"], s, col["n"], col["root"], num, den):
+        order, start, members = mixed_groups(col["gram"], col["root"])
+        crowd = members > CROWD
+        ties = [(s[order[x]], s[order[x : x + k]]) for x, k in zip(start[crowd].tolist(), members[crowd].tolist(), strict=True)]
+        a = np.concatenate([np.full(len(y), x) for x, y in ties]) if ties else np.zeros(0, np.int64)
+        b = np.concatenate([y for _, y in ties]) if ties else np.zeros(0, np.int64)
+        tied = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
+        for pairs in crossing_pairs(order, start[~crowd], members[~crowd], col["n"], col["root"], num, den):
             i, j = ident[pairs[0]], ident[pairs[1]]
             lo, hi = np.minimum(i, j), np.maximum(i, j)
             found.append(lo.astype(np.int64) * len(kinds) + hi)
@@ -329,7 +339,9 @@ def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession)
                 fold()
         fold()
         lo, hi = total[0] // max(1, len(kinds)), total[0] % max(1, len(kinds))
-        return pa.table({"a": pa.array(kinds[lo]), "b": pa.array(kinds[hi]), "na": pa.array(size[lo]), "nb": pa.array(size[hi]), "part": pa.array(total[1].astype(np.int64))})
+        none = np.full(len(tied), TIE, np.int64)
+        cols = ((kinds[lo], tied[:, 0]), (kinds[hi], tied[:, 1]), (size[lo], none), (size[hi], none), (total[1].astype(np.int64), none))
+        return pa.table({x: pa.array(np.concatenate(y)) for x, y in zip(("a", "b", "na", "nb", "part"), cols, strict=True)})
 
     return (
         entries.withColumn("r", (F.shiftright("gram", 16) * ranges / F.lit(1 << 32)).cast("int"))
@@ -338,30 +350,33 @@ def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession)
     )
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, num: int, den: int, scratch: Scratch) -> DataFrame:
-    """Of pairs (a, b) of set ids those whose sets reach the similarity, by the sets themselves."""
-    spark = docs.sparkSession
-    pairs = scratch.table(pairs.select("a", "b"))
-    wanted = spark.sparkContext.broadcast(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("s")), F.col("s"), FILTER_BITS))
+def sets_for(ids: DataFrame, docs: DataFrame, text_col: str, k: int, scratch: Scratch) -> DataFrame:
+    """``(sid, grams)``: the sets (48 bits of each n-gram) of the ids in column ``sid``, read from the texts again."""
+    ids = scratch.table(ids.distinct())
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.col("sid"), FILTER_BITS))
 
     def emit(batches):
         for batch in batches:
             seen: set[int] = set()
-            ids, blobs = [], []
+            found, blobs = [], []
             for _, _, h, at in sets_of(batch.column(0), k):
                 sid = set_ids(h, at)
                 for d in np.flatnonzero(in_bitmap(wanted.value, sid, FILTER_BITS) & (sid != 0)).tolist():
                     if (x := int(sid[d])) not in seen:
                         seen.add(x)
-                        ids.append(x)
+                        found.append(x)
                         blobs.append(K.pack(h[at[d] : at[d + 1]] >> np.uint64(16)))
-            yield pa.RecordBatch.from_arrays([signed(np.array(ids, np.uint64)), pa.array(blobs, pa.binary())], ["sid", "grams"])
+            yield pa.RecordBatch.from_arrays([signed(np.array(found, np.uint64)), pa.array(blobs, pa.binary())], ["sid", "grams"])
 
     sets = docs.select(F.col(text_col).cast("string")).mapInArrow(emit, "sid long, grams binary")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    sets = scratch.table(sets.join(ends, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")))
+    return scratch.table(sets.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of set ids those whose sets reach the similarity, by the sets themselves."""
     both = (
-        pairs.join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
+        pairs.select("a", "b")
+        .join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
         .join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
         .select("a", "b", "ga", "gb")
     )
@@ -379,7 +394,55 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, num: int,
             mask = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
-    return scratch.table(both.mapInArrow(compare, "a long, b long"))
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def members_of(families: DataFrame, known: DataFrame) -> DataFrame:
+    """``(sid, n, root, family, blocks, block)`` of the sets in families."""
+    named = families.select(F.col("node").alias("sid"), F.col("root").alias("family"))
+    size = named.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return named.join(size, "family").join(known, "sid").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+
+
+def family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components inside families: every block of a family is compared with every block, itself included."""
+    dealt = members.join(sets, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "root", "block", "grams")
+
+    def test(table: pa.Table) -> pa.Table:
+        sid, n, root, block = (table.column(x).to_numpy() for x in ("sid", "n", "root", "block"))
+        grams = [K.unpack(x.as_py()) for x in table.column("grams")]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        row = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
+        _, col, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        common = count > 1  # n-grams of one set alone add to no overlap
+        at = (np.cumsum(common) - 1)[col]
+        use = common[col]
+        row, at = row[use], at[use]
+        order = np.argsort(at, kind="stable")
+        row, at = row[order], at[order]
+        overlap = np.zeros((len(left), len(right)), np.float32)
+        width = 4096
+        for c in range(0, int(common.sum()), width):
+            a, b = np.searchsorted(at, [c, c + width])
+            x = np.zeros((len(grams), width), np.float32)
+            x[row[a:b], at[a:b] - c] = 1
+            overlap += x[left] @ x[right].T
+        share = overlap.astype(np.int64)
+        ok = den * share >= num * (n[left][:, None] + n[right][None, :] - share)
+        a, b = np.nonzero(ok & (root[left][:, None] != root[right][None, :]))
+        a, b, label = left[a], right[b], root.copy()
+        links = []
+        while len(a):  # only links that join components that no link found here has joined
+            links.append((sid[a[0]], sid[b[0]]))
+            label[label == label[b[0]]] = label[a[0]]
+            still = label[a] != label[b]
+            a, b = a[still], b[still]
+        found = np.array(links, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(test, "a long, b long")
 
 
 def jaccard_components(
@@ -410,17 +473,22 @@ def jaccard_components(
         .select(F.col("c.sid").alias("a"), F.col("sid").alias("b"))
         .distinct()
     )
-    first = verified(near, docs, text_col, k, num, den, scratch)
+    near = scratch.table(near)
+    ends = F.explode(F.array("a", "b")).alias("sid")
+    first = verified(near, sets_for(near.select(ends), docs, text_col, k, scratch), num, den)
     roots = scratch.table(components(first, scratch))
 
     # 2. exact: partial overlaps of prefixes by fragment, between components
     table = spark.sparkContext.broadcast(levels(docs, text_col, k, spark))
     grams = shared_grams(docs, text_col, k, num, den, table, spark)
     known = scratch.table(sets.select("sid", "n").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root")))
-    parts = partial_counts(grams.join(known, "sid"), num, den, spark)
+    parts = scratch.table(partial_counts(grams.join(known, "sid"), num, den, spark))
     least = F.floor(F.least("na", "nb") / 24) + 1
-    pairs = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared")).where(F.col("shared") >= least)
-    second = verified(pairs, docs, text_col, k, num, den, scratch)
+    pairs = parts.where(F.col("part") != TIE).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared")).where(F.col("shared") >= least)
+    pairs = scratch.table(pairs.select("a", "b"))
+    members = scratch.table(members_of(components(parts.where(F.col("part") == TIE).select("a", "b"), scratch), known))
+    whole = sets_for(pairs.select(ends).union(members.select("sid")), docs, text_col, k, scratch)
+    second = verified(pairs, whole, num, den).union(family_links(members, whole, num, den))
 
     # 3. components of all links, and the least id of each
     links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
