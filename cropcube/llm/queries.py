@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.llm import decontaminate as contamination
-from cropcube.llm import mixing, ngram_join, quality, repeats, secrets, url_rules
+from cropcube.llm import mixing, ngram_join, quality, repeats, secrets, toxicity, url_rules
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,6 +94,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.judge(docs, read(spark, sf_dir, "labels"), keep=["doc_id"], spans=False)
+    return out.select("doc_id", F.coalesce(toxicity.fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
 
@@ -124,6 +130,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op6_repeats": op6_repeats,
     "op3_mixing": op3_mixing,
+    "op5_toxicity": op5_toxicity,
     "op7_url_rules": op7_url_rules,
     "op8_secrets": op8_secrets,
     "op10_quality": op10_quality,
