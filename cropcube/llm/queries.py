@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.llm import decontaminate as contamination
-from cropcube.llm import mixing, ngram_join, quality, repeats, secrets, toxicity, url_rules
+from cropcube.llm import html_text, mixing, ngram_join, quality, repeats, secrets, toxicity, url_rules
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -125,6 +125,10 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m L
 """
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ngram_join": op2_ngram_join,
@@ -133,6 +137,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op7_url_rules": op7_url_rules,
     "op8_secrets": op8_secrets,
+    "op9_html": op9_html,
     "op10_quality": op10_quality,
 }
 ORACLES = {"op1_decontaminate": OP1_SQL, "op2_ngram_join": OP2_SQL, "op7_url_rules": OP7_SQL}
