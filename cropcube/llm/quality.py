@@ -22,10 +22,10 @@ SPACES = " \t\n\x0b\f\r"
 BUCKETS = 1 << 16
 TRUSTED_ROWS = 1_000_000
 #: Least mean log-likelihood ratio of a kept document.
-THRESHOLD = -0.2
+THRESHOLD = -0.15
 MIN_WORDS = 50
-#: Weight of the smoothing: so many n-grams of the raw corpus' own proportions are added to the trusted counts.
-PRIOR = 20_000.0
+#: N-grams that smooth each cell of the trusted counts, in the corpus' own proportions.
+PRIOR = 20.0
 
 
 def words_of(text: str) -> Column:
@@ -66,9 +66,9 @@ def weights(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, qual
     rows = session.range(2 * BUCKETS).withColumnRenamed("id", "b").join(F.broadcast(counts), "b", "left").select("b", F.coalesce("raw", F.lit(0)).alias("raw"), F.coalesce("good", F.lit(0)).alias("good"))
     order = F.shiftright("b", 16)
     totals = rows.groupBy(order.alias("o")).agg(F.sum("raw").alias("raws"), F.sum("good").alias("goods"))
-    p = (F.col("raw") + 1) / (F.col("raws") + BUCKETS)
-    q = (F.col("good") + p * PRIOR) / (F.col("goods") + PRIOR)
-    scored = rows.join(F.broadcast(totals), order == F.col("o")).select("b", F.when(F.col("goods") == 0, F.lit(0.0)).otherwise(F.log(q / p)).alias("w"))
+    # q / p with PRIOR n-grams of the corpus' own trusted share added to each cell: rare cells say little
+    ratio = (F.col("good") * F.col("raws") / F.col("goods") + PRIOR) / (F.col("raw") + PRIOR)
+    scored = rows.join(F.broadcast(totals), order == F.col("o")).select("b", F.when(F.col("goods") == 0, F.lit(0.0)).otherwise(F.log(ratio)).alias("w"))
     return scored.agg(F.expr("transform(array_sort(collect_list(struct(b, w))), x -> x.w)").alias("w"))
 
 
@@ -83,6 +83,11 @@ def base_columns() -> dict[str, Column]:
     }
 
 
+def fenced(col: Column) -> Column:
+    """The column, where no filter on it can be moved below: there its expressions would be repeated inside each other."""
+    return F.when(F.monotonically_increasing_id() >= 0, col)
+
+
 def scored(docs: DataFrame, table: Column, text_col: str) -> DataFrame:
     """``docs`` with the base figures, ``base_failed`` and ``score``."""
     df = with_words(docs, text_col)
@@ -107,9 +112,9 @@ def scored(docs: DataFrame, table: Column, text_col: str) -> DataFrame:
     total = F.expr(f"aggregate(transform(cc_words, (x, i) -> get(cc_table, {cell(False)}) + get(cc_table, {cell(True)})), 0D, (a, x) -> a + x)")
     for name, col in base_columns().items():
         df = df.withColumn(name, col)
-    df = df.withColumn("n_repeat_words", repeat).withColumn("score", F.when(F.col("cc_n") > 0, total / (2 * F.col("cc_n"))))
+    df = df.withColumn("n_repeat_words", fenced(repeat)).withColumn("score", fenced(F.when(F.col("cc_n") > 0, total / (2 * F.col("cc_n")))))
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return df.withColumn("base_failed", failed).drop("cc_text", "cc_words", "cc_n", "cc_bits", "cc_sorted", "cc_again", "cc_table")
+    return df.withColumn("base_failed", fenced(failed)).drop("cc_text", "cc_words", "cc_n", "cc_bits", "cc_sorted", "cc_again", "cc_table")
 
 
 def judge(
