@@ -28,6 +28,8 @@ WEIGHTS = (5, 2, 1)
 REPEATS = 3
 SHARD_DOCS = 500
 SHARDS = 4096
+#: Sources up to which the table of sources is broadcast.
+SMALL_SOURCES = 10_000
 SEED = 17
 
 
@@ -115,6 +117,8 @@ def mix(
 
     plan = [(r.cc_src, s, t, min(SHARDS, -(-r.n // SHARD_DOCS))) for r, s, t in zip(totals, sizes, wanted, strict=True)]
     sources = spark.createDataFrame(plan, "cc_src string, source_size long, target double, cc_shards int")
+    if len(plan) <= SMALL_SOURCES:
+        sources = F.broadcast(sources)
     dealt = rows.join(sources, "cc_src").withColumn("cc_shard", F.pmod(F.shiftright("cc_h", 20), "cc_shards").cast("int"))
 
     def quotas(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
