@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.llm import decontaminate as contamination
-from cropcube.llm import html_text, mixing, ngram_join, quality, repeats, secrets, toxicity, url_rules
+from cropcube.llm import html_text, licenses, mixing, ngram_join, quality, repeats, secrets, toxicity, url_rules
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -94,6 +94,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(read(spark, sf_dir, "documents"), keep=["doc_id"])
+    told = F.expr("array_join(transform(licenses, x -> concat(x.license, ':', x.matched, '/', x.words, ':', x.start, ':', x.end)), ',')")
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), told.alias("licenses"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = toxicity.judge(docs, read(spark, sf_dir, "labels"), keep=["doc_id"], spans=False)
@@ -134,6 +140,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op6_repeats": op6_repeats,
     "op3_mixing": op3_mixing,
+    "op4_licenses": op4_licenses,
     "op5_toxicity": op5_toxicity,
     "op7_url_rules": op7_url_rules,
     "op8_secrets": op8_secrets,
