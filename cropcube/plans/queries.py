@@ -1,10 +1,1009 @@
-"""Queries of the reference's own operators, with their SQL."""
+"""Queries of the library's own operators over the driver's tables, each with its SQL where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+from cropcube.functions import bands as B
+from cropcube.operators import cube as C
+from cropcube.operators import dates as D
+from cropcube.operators import features as FT
+from cropcube.operators import geometry as G
+from cropcube.operators import metrics as M
+from cropcube.operators import models as ML
+from cropcube.operators import texture as TX
+from cropcube.operators import timeseries as TS
+from cropcube.plans.sql import pivot_columns, with_views
+from cropcube.sources import catalog as CAT
+from cropcube.sources import views as V
+from cropcube.streaming import ingest as I
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+KEY = ["tile", "part"]
+ND = "round((nir::DOUBLE - red) / nullif(nir::DOUBLE + red, 0), 9)"
+
+
+def query(sql: str | None = None, *views: str, name: str | None = None):
+    """Register a query under its function's name, with its SQL behind the views that it reads."""
+
+    def add(f: Query) -> Query:
+        key = name or f.__name__
+        QUERIES[key] = f
+        if sql is not None:
+            ORACLES[key] = with_views(sql, *views)
+        return f
+
+    return add
+
+
+def r9(c) -> F.Column:
+    return F.round(c if not isinstance(c, str) else F.col(c), 9)
+
+
+# ---- masks, indices, scalars
+
+
+@query("SELECT tile, part, mask FROM px", "px")
+def quality_mask(s, d):
+    return V.px(s, d).select(*KEY, "mask")
+
+
+@query("SELECT tile, part, CASE WHEN product = 'S2' THEN NOT (qa_cloud > 9 OR qa_class IN (3)) ELSE NOT (qa_cloud > 323 OR qa_class IN (16, 80, 144, 208)) END AS clear FROM px", "px")
+def quality_mask_products(s, d):
+    return V.px(s, d).select(*KEY, B.clear_by_product().alias("clear"))
+
+
+@query(f"SELECT tile, part, {ND} AS ndvi FROM px", "px")
+def ndvi(s, d):
+    return V.px(s, d).select(*KEY, r9(B.ndvi()).alias("ndvi"))
+
+
+@query("SELECT tile, part, round((nir::DOUBLE - swir1) / nullif(nir::DOUBLE + swir1, 0), 9) AS lswi FROM px", "px")
+def lswi(s, d):
+    return V.px(s, d).select(*KEY, r9(B.lswi()).alias("lswi"))
+
+
+@query("SELECT tile, part, CASE WHEN mask THEN nir END AS nir FROM px", "px")
+def mask_where(s, d):
+    return V.px(s, d).select(*KEY, B.where(F.col("mask"), F.col("nir")).alias("nir"))
+
+
+@query("SELECT tile, part, round(10 * log10(CASE WHEN vv > 0 THEN vv END), 9) AS db FROM px", "px")
+def to_db(s, d):
+    return V.px(s, d).select(*KEY, r9(B.to_db(F.col("vv"))).alias("db"))
+
+
+@query(
+    "SELECT tile, part, "
+    + ", ".join(f"CAST(trunc(least(greatest(({1.0 / B.BANDPASS[b][0]!r})::DOUBLE * {b} + ({-B.BANDPASS[b][1] / B.BANDPASS[b][0]!r})::DOUBLE, 0), 65535)) AS INTEGER) AS {b}" for b in ("nir", "red", "swir1"))
+    + " FROM px WHERE product = 'LC08'",
+    "px",
+)
+def bandpass_harmonize(s, d):
+    return B.with_harmonized(V.px(s, d).where("product = 'LC08'")).select(*KEY, "nir", "red", "swir1")
+
+
+@query("SELECT tile, part, CAST(least(greatest(nir - 3000, 0), 5000) AS INTEGER) AS v FROM px", "px")
+def clip_cast(s, d):
+    return V.px(s, d).select(*KEY, B.clip(F.col("nir") - 3000, 0, 5000).cast("int").alias("v"))
+
+
+@query("SELECT tile, part, round(least(greatest((nir::DOUBLE - 200) / 1600, 0), 1), 9) AS r, round(least(greatest((red::DOUBLE - 200) / 1600, 0), 1), 9) AS g FROM px", "px")
+def rgb_scale(s, d):
+    return V.px(s, d).select(*KEY, r9(B.display_rgb(F.col("nir"))).alias("r"), r9(B.display_rgb(F.col("red"))).alias("g"))
+
+
+@query("SELECT DISTINCT CAST(date_trunc('month', time) AS DATE) AS first, last_day(time) AS last FROM px", "px")
+def month_range(s, d):
+    return V.px(s, d).select(F.trunc("time", "MM").alias("first"), F.last_day("time").alias("last")).distinct()
+
+
+@query("SELECT strftime(time, '%Y%m') AS month, count(*) AS n FROM px GROUP BY 1", "px")
+def month_key(s, d):
+    return V.px(s, d).groupBy(F.date_format("time", "yyyyMM").alias("month")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT time, CAST(date_diff('day', DATE '1998-06-15', time) AS INTEGER) AS rel, date_diff('day', DATE '1998-06-15', time) % 16 = 0 AS whole FROM (SELECT DISTINCT time FROM px)", "px")
+def rel_days(s, d):
+    rel = B.days_between(F.col("time"), F.lit("1998-06-15").cast("date"))
+    return V.px(s, d).select("time").distinct().select("time", rel.alias("rel"), B.every(rel, 16).alias("whole"))
+
+
+@query("SELECT DISTINCT rel, 'NDVI_' || replace(rel::VARCHAR, '-', 'n') AS name FROM px16", "px16")
+def relative_names(s, d):
+    return V.px16(s, d).select("rel", B.relative_name("NDVI", F.col("rel")).alias("name")).distinct()
+
+
+@query("SELECT tile, part, nir FROM px WHERE qa_class <> 0 AND mask", "px")
+def labelled_clear_pixels(s, d):
+    df = V.px(s, d).withColumn("class_mask", F.col("qa_class") != 0).where("class_mask")
+    return (df.where("mask") if "mask" in df.columns else df).select(*KEY, "nir")
+
+
+# ---- selection
+
+
+@query("SELECT tile, part, y, x FROM px WHERE x BETWEEN 10 AND 20 AND y BETWEEN 1 AND 3", "px")
+def bbox_select(s, d):
+    return C.within(V.px(s, d), x=(10.0, 20.0), y=(3.0, 1.0)).select(*KEY, "y", "x")
+
+
+@query("SELECT tile, part, time, nir FROM px WHERE y = 2 AND x = 7", "px")
+def pixel_series(s, d):
+    return C.at(V.px(s, d), y=2.0, x=7.0).select(*KEY, "time", "nir")
+
+
+@query("SELECT product, time, y, x, nir FROM px_month WHERE time IN (SELECT time FROM (SELECT time, row_number() OVER (ORDER BY time) AS a, row_number() OVER (ORDER BY time DESC) AS b FROM (SELECT DISTINCT time FROM px_month)) WHERE a = 1 OR b = 2)", "px_month")
+def positional_select(s, d):
+    return C.by_position(V.px_month(s, d), "time", [0, -2]).select("product", "time", "y", "x", "nir")
+
+
+@query("SELECT tile, part, time, nir FROM px WHERE product = 'S2' AND time BETWEEN DATE '1998-01-01' AND DATE '1998-03-31'", "px")
+def time_range_scan(s, d):
+    return C.within(V.px(s, d).where("product = 'S2'"), time=("1998-01-01", "1998-03-31")).select(*KEY, "time", "nir")
+
+
+@query("SELECT y, x, nir, red FROM px_month WHERE product = 'S2' AND time = DATE '1998-06-01'", "px_month")
+def time_by_label(s, d):
+    return V.px_month(s, d).where("product = 'S2' AND time = DATE '1998-06-01'").select("y", "x", "nir", "red")
+
+
+@query("SELECT time, y, x, nir FROM (SELECT *, dense_rank() OVER (ORDER BY time) AS k FROM px_month WHERE product = 'S2') WHERE k = 6", "px_month")
+def time_by_position(s, d):
+    return C.by_position(V.px_month(s, d).where("product = 'S2'"), "time", [5]).select("time", "y", "x", "nir")
+
+
+@query("SELECT product, time, CAST(row_number() OVER (PARTITION BY product ORDER BY time) - 1 AS INTEGER) AS ordinal FROM (SELECT DISTINCT product, time FROM px)", "px")
+def band_select(s, d):
+    w = Window.partitionBy("product").orderBy("time")
+    return V.px(s, d).select("product", "time").distinct().withColumn("ordinal", (F.row_number().over(w) - 1).cast("int"))
+
+
+@query('SELECT time, y, x, nir AS "nir_S2", red AS "red_S2" FROM px_month WHERE product = \'S2\'', "px_month")
+def rename_suffix(s, d):
+    return C.with_suffix(V.px_month(s, d).where("product = 'S2'").select("time", "y", "x", "nir", "red"), "S2", ["time", "y", "x"])
+
+
+@query("SELECT tile, part, band, value FROM (SELECT tile, part, nir, red, swir1 FROM px) UNPIVOT (value FOR band IN (nir, red, swir1))", "px")
+def bands_unpivot(s, d):
+    return C.bands_as_rows(V.px(s, d).select(*KEY, "nir", "red", "swir1"), KEY, ["nir", "red", "swir1"])
+
+
+@query("SELECT qa_cloud, qa_class, count(*) AS n FROM px GROUP BY ALL", "px")
+def regex_projection(s, d):
+    df = V.px(s, d)
+    return df.groupBy(*C.matching(df, "^qa_")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT product, strftime(time, '%Y%m') AS month, count(*) AS n, sum(nir) AS nir FROM px_month GROUP BY ALL", "px_month")
+def stack_scan(s, d):
+    return I.with_month(V.px_month(s, d)).groupBy("product", "month").agg(F.count("*").alias("n"), F.sum("nir").alias("nir"))
+
+
+@query("SELECT time, y, x, CAST(vclass AS TINYINT) AS vclass FROM inside JOIN classes USING (lot)", "inside", "classes")
+def class_scan(s, d):
+    return _class_pixels(s, d).select("time", "y", "x", F.col("vclass").cast("tinyint").alias("vclass"))
+
+
+def _class_pixels(s, d):
+    return G.places_in_lots(_places(s, d), V.lots(s, d)).select("y", "x", "lot").join(F.broadcast(V.lot_classes(V.lots(s, d)).drop("ring")), "lot")
+
+
+def _places(s, d):
+    return V.px(s, d).select("y", "x").distinct()
+
+
+SPLIT = """k AS (SELECT *, row_number() OVER (PARTITION BY vclass ORDER BY md5('33|' || time::VARCHAR || '|' || lot::VARCHAR), time, lot) AS k, count(*) OVER (PARTITION BY vclass) AS n FROM classes),
+split AS (SELECT lot, time, vclass, CASE WHEN k <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' ELSE 'test' END AS tt FROM k)"""
+
+
+def _split_sql(sql: str, *views: str) -> str:
+    base = with_views("", "classes", *views).rstrip()
+    return f"{base},\n{SPLIT}\n{sql}"
+
+
+def _register_sql(name: str, sql: str) -> None:
+    ORACLES[name] = sql
+
+
+def _split(s, d):
+    return FT.stratified_split(V.lot_classes(V.lots(s, d)).drop("ring"))
+
+
+@query()
+def train_test_filter(s, d):
+    return _split(s, d).where("tt = 'train' AND vclass > 0").select("lot", "time", "vclass")
+
+
+_register_sql("train_test_filter", _split_sql("SELECT lot, time, vclass FROM split WHERE tt = 'train' AND vclass > 0"))
+
+
+# ---- catalogue and names
+
+
+@query("SELECT product, time, name FROM catalog WHERE product = 'S2' AND time BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' AND regexp_matches(name, 'MSIL2A_1998(0[1-6])')", "catalog")
+def catalog_search(s, d):
+    return CAT.search(V.catalog(s, d), "S2", "1998-01-01", "1998-12-31", "MSIL2A_1998(0[1-6])")
+
+
+_BAND_ROWS = ", ".join(f"('{p}', '{k}', '{v}')" for p in ("S2", "LC08") for k, v in B.BANDS[p].items())
+
+
+@query(f"SELECT product, provider, band, count(*) AS n, min(name || '_' || provider || '.tif') AS first FROM catalog JOIN (VALUES {_BAND_ROWS}) t(p, provider, band) ON p = product GROUP BY ALL", "catalog")
+def catalog_bands(s, d):
+    return CAT.with_bands(V.catalog(s, d)).groupBy("product", "provider", "band").agg(F.count("*").alias("n"), F.min("file").alias("first"))
+
+
+@query("SELECT name, CASE WHEN product = 'S2' THEN CAST(strptime(substr(name, 12, 8), '%Y%m%d') AS DATE) ELSE CAST(strptime(substr(name, 11, 8), '%Y%m%d') AS DATE) END AS date FROM catalog", "catalog")
+def catalog_dates(s, d):
+    name = F.col("name")
+    return V.catalog(s, d).select("name", F.when(F.col("product") == "S2", CAT.date_of("S2", name)).otherwise(CAT.date_of("LC08", name)).alias("date"))
+
+
+@query("SELECT name, regexp_matches(name, '^S2[AB]_[MSIL2A]') AS optical, regexp_matches(name, '^LC08.*T1$') AS tier1 FROM catalog", "catalog")
+def name_regex(s, d):
+    return V.catalog(s, d).select("name", F.col("name").rlike("^S2[AB]_[MSIL2A]").alias("optical"), F.col("name").rlike("^LC08.*T1$").alias("tier1"))
+
+
+@query("SELECT name, split_part(name, '_', 1) AS token1, split_part(name, '_', 3) AS token3, substr(name, 1, 2) AS sensor FROM catalog", "catalog")
+def name_tokens(s, d):
+    part = lambda k: F.split_part("name", F.lit("_"), F.lit(k))
+    return V.catalog(s, d).select("name", part(1).alias("token1"), part(3).alias("token3"), F.substring("name", 1, 2).alias("sensor"))
+
+
+@query("SELECT name, time AS radar, strftime(time, '%Y-%m-%d') AS iso FROM catalog", "catalog")
+def name_dates(s, d):
+    radar = F.concat(F.lit("S1_IW_VV_"), F.date_format("time", "ddMMMyyyy"), F.lit("_db"))
+    return V.catalog(s, d).select("name", CAT.radar_date(radar).alias("radar"), F.date_format("time", "yyyy-MM-dd").alias("iso"))
+
+
+@query("SELECT name FROM catalog WHERE time > DATE '1999-06-30'", "catalog")
+def ingest_skip_existing(s, d):
+    found = V.catalog(s, d)
+    return I.missing(found, found.where("time <= DATE '1999-06-30'"), ["name"]).select("name")
+
+
+@query("SELECT name, CAST((row_number() OVER (ORDER BY name) - 1) // 15 AS INTEGER) AS batch FROM catalog", "catalog")
+def batch_assign(s, d):
+    return CAT.batches(V.catalog(s, d).select("name"), 15, "name")
+
+
+@query("SELECT year, list_sort(list(i)) AS positions FROM (SELECT year(time) AS year, row_number() OVER (ORDER BY time) - 1 AS i FROM (SELECT DISTINCT date_trunc('month', time) AS time FROM px)) GROUP BY year", "px")
+def list_indices(s, d):
+    months = V.px(s, d).select(F.trunc("time", "MM").alias("time")).distinct().withColumn("year", F.year("time").cast("long"))
+    return CAT.positions(months, "year", "time").select("year", F.transform("positions", lambda p: p.cast("long")).alias("positions"))
+
+
+@query("SELECT product, orbit, strftime(time, '%Y%m') AS month, count(*) AS n FROM px WHERE time >= DATE '1996-01-01' GROUP BY ALL", "px")
+def monthly_partitions(s, d):
+    df = V.px(s, d).withColumn("month", F.date_format("time", "yyyyMM"))
+    done = df.where("time < DATE '1996-01-01'").select("product", "orbit", "month")
+    return I.missing(df, done, ["product", "orbit", "month"]).groupBy("product", "orbit", "month").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT CAST(date_trunc('month', time) AS DATE) AS month FROM px", "px")
+def unique_months(s, d):
+    return V.px(s, d).select(F.trunc("time", "MM").alias("month")).distinct()
+
+
+@query("SELECT orbit, count(DISTINCT time) AS dates, count(*) AS n FROM px GROUP BY orbit", "px")
+def orbit_partition(s, d):
+    return V.px(s, d).groupBy("orbit").agg(F.count_distinct("time").alias("dates"), F.count("*").alias("n"))
+
+
+# ---- grid and joins
+
+
+@query("SELECT min(x) AS x0, (max(x) - min(x)) / (count(DISTINCT x) - 1) AS dx, count(DISTINCT x) AS nx, min(y) AS y0, (max(y) - min(y)) / (count(DISTINCT y) - 1) AS dy, count(DISTINCT y) AS ny FROM px WHERE product = 'S2'", "px")
+def ref_grid(s, d):
+    return C.grid_of(V.px(s, d).where("product = 'S2'"))
+
+
+def _two(s, d):
+    df = V.px_month(s, d)
+    cut = lambda p, c: df.where((F.col("product") == p) & c).select("time", "y", "x", "nir")
+    return cut("S2", F.col("x") < 30), cut("LC08", F.col("x") >= 15)
+
+
+TWO = "a AS (SELECT time, y, x, nir FROM px_month WHERE product = 'S2' AND x < 30), b AS (SELECT time, y, x, nir FROM px_month WHERE product = 'LC08' AND x >= 15)"
+
+
+def two(sql: str) -> str:
+    return with_views("", "px_month").rstrip() + ",\n" + TWO + "\n" + sql
+
+
+@query()
+def align_inner(s, d):
+    a, b = C.align_inner(*_two(s, d))
+    return a.withColumn("side", F.lit("a")).union(b.withColumn("side", F.lit("b")))
+
+
+_register_sql("align_inner", two("SELECT *, 'a' AS side FROM a WHERE (y, x) IN (SELECT y, x FROM b) UNION ALL SELECT *, 'b' FROM b WHERE (y, x) IN (SELECT y, x FROM a)"))
+
+
+@query()
+def align_left(s, d):
+    a, b = _two(s, d)
+    return C.align_left(a.where("y < 3"), b)
+
+
+_register_sql("align_left", two("SELECT g.y, g.x, t.time, b.nir FROM (SELECT DISTINCT y, x FROM a WHERE y < 3) g CROSS JOIN (SELECT DISTINCT time FROM b) t LEFT JOIN b ON b.y = g.y AND b.x = g.x AND b.time = t.time"))
+
+
+@query()
+def concat_time(s, d):
+    return C.concat(_two(s, d))
+
+
+_register_sql("concat_time", two("SELECT * FROM a UNION ALL SELECT * FROM b"))
+
+
+@query()
+def merge_outer(s, d):
+    a, b = _two(s, d)
+    return C.merge(a, b.withColumnRenamed("nir", "nir_l8"), ["time", "y", "x"])
+
+
+_register_sql("merge_outer", two("SELECT time, y, x, a.nir, b.nir AS nir_l8 FROM a FULL JOIN b USING (time, y, x)"))
+
+
+@query()
+def merge_no_conflicts(s, d):
+    a, _ = _two(s, d)
+    return C.merge(a.where("x < 20"), a.where("x >= 10"), ["time", "y", "x"])
+
+
+_register_sql("merge_no_conflicts", two("SELECT time, y, x, nir FROM a"))
+
+
+@query()
+def merge_conflicts(s, d):
+    a, b = _two(s, d)
+    return C.conflicts(a, b, ["time", "y", "x"], "nir")
+
+
+_register_sql("merge_conflicts", two("SELECT time, y, x, a.nir AS value, b.nir AS other FROM a JOIN b USING (time, y, x) WHERE a.nir <> b.nir"))
+
+
+@query("SELECT time FROM opt INTERSECT SELECT time FROM s1", "opt", "s1")
+def date_intersect(s, d):
+    return V.scenes(s, d, 2).select("time").intersect(V.scenes(s, d, 1).select("time"))
+
+
+@query("SELECT time FROM opt UNION SELECT time FROM s1", "opt", "s1")
+def date_union(s, d):
+    return V.scenes(s, d, 2).select("time").unionAll(V.scenes(s, d, 1).select("time")).distinct()
+
+
+@query("SELECT tile, part, time FROM px WHERE time IN (SELECT time FROM opt INTERSECT SELECT time FROM s1)", "px", "opt", "s1")
+def date_semi_join(s, d):
+    days = V.scenes(s, d, 2).select("time").intersect(V.scenes(s, d, 1).select("time"))
+    return V.px(s, d).join(days, "time", "left_semi").select(*KEY, "time")
+
+
+@query("SELECT time, round(fraction, 9) AS fraction FROM fractions WHERE fraction > 0.6", "fractions")
+def quality_dates(s, d):
+    return _fractions(s, d).where("fraction > 0.6").select("time", r9("fraction").alias("fraction"))
+
+
+def _fractions(s, d):
+    return D.clear_fraction(V.px(s, d).where("product = 'S2'"))
+
+
+@query(
+    """SELECT time, "row", col, nir FROM (SELECT time, CAST(floor((y - 0) / 2 + 0.5) AS INTEGER) AS "row", CAST(floor((x - 0) / 5 + 0.5) AS INTEGER) AS col, nir,
+  row_number() OVER (PARTITION BY time, floor(y / 2 + 0.5), floor(x / 5 + 0.5) ORDER BY (y - floor(y / 2 + 0.5) * 2) ** 2 + (x - floor(x / 5 + 0.5) * 5) ** 2, y, x) AS k
+  FROM px_month WHERE product = 'S2' AND floor(y / 2 + 0.5) < 20 AND floor(x / 5 + 0.5) < 10) WHERE k = 1""",
+    "px_month",
+)
+def collocate_nearest(s, d):
+    df = V.px_month(s, d).where("product = 'S2'").select("time", "y", "x", "nir")
+    return C.collocate(df, (0.0, 0.0), (2.0, 5.0), (20, 10), ["nir"], ["time"])
+
+
+@query("SELECT time, y + dy AS y, x + dx AS x, nir FROM px_month, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) a(dy), (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) b(dx) WHERE product = 'LC08' AND time < DATE '1996-01-01'", "px_month")
+def resample_nearest(s, d):
+    return C.refine(V.px_month(s, d).where("product = 'LC08' AND time < DATE '1996-01-01'").select("time", "y", "x", "nir"), 2)
+
+
+@query("SELECT product, time, y, x, arg_min(nir, (tile, part)) AS nir, arg_min(CASE WHEN mask THEN red END, (tile, part)) AS red FROM px GROUP BY ALL", "px")
+def mosaic_first(s, d):
+    df = V.px(s, d).withColumn("red", B.where(F.col("mask"), F.col("red")))
+    return C.first_wins(df, ["product", "time", "y", "x"], ["nir", "red"], KEY)
+
+
+# ---- dates
+
+
+@query("SELECT time, orbit, arg_min(radar, (abs(gap), -epoch(radar))) AS radar FROM (SELECT opt.time, s1.orbit, s1.time AS radar, date_diff('day', opt.time, s1.time) AS gap FROM opt JOIN s1 ON abs(date_diff('day', opt.time, s1.time)) <= 10) GROUP BY ALL", "opt", "s1")
+def asof_nearest_radar(s, d):
+    out = D.nearest(V.scenes(s, d, 2), V.scenes(s, d, 1), 10)
+    return out.select(F.col("left_time").alias("time"), "orbit", F.col("right_time").alias("radar"))
+
+
+@query("SELECT time, round(fraction, 9) AS fraction FROM fractions", "fractions")
+def clear_fraction(s, d):
+    return _fractions(s, d).select("time", r9("fraction").alias("fraction"))
+
+
+@query("SELECT time, round(fraction, 9) AS fraction FROM fractions ORDER BY fractions.fraction DESC, time LIMIT 1", "fractions")
+def best_date(s, d):
+    return D.best_date(_fractions(s, d)).select("time", r9("fraction").alias("fraction"))
+
+
+@query(
+    "SELECT DISTINCT CASE WHEN date_diff('day', t0, time) < 5 AND q0 >= fraction THEN t0 ELSE time END AS time FROM (SELECT time, fraction, lag(time) OVER w AS t0, lag(fraction) OVER w AS q0 FROM fractions WHERE fraction > 1 - 0.4 WINDOW w AS (ORDER BY time))",
+    "fractions",
+)
+def best_dates_spaced(s, d):
+    return D.best_dates_spaced(_fractions(s, d), 0.4, 5)
+
+
+@query("SELECT time, round(fraction, 9) AS fraction FROM fractions ORDER BY fractions.fraction DESC, time LIMIT 10", "fractions")
+def topk_quality(s, d):
+    return _fractions(s, d).orderBy(F.desc("fraction"), "time").limit(10).select("time", r9("fraction").alias("fraction"))
+
+
+def _trend_sql(k: int) -> str:
+    return f"SELECT time, y, x, round((nir - lag(nir, {k}) OVER w) / date_diff('day', lag(time, {k}) OVER w, time)::DOUBLE, 9) AS trend FROM px_month WHERE product = 'S2' WINDOW w AS (PARTITION BY y, x ORDER BY time)"
+
+
+def _trend(s, d, k):
+    df = D.trend(V.px_month(s, d).where("product = 'S2'"), "nir", ["y", "x"], k)
+    return df.select("time", "y", "x", r9("trend").alias("trend"))
+
+
+@query(_trend_sql(1), "px_month")
+def trend_all(s, d):
+    return _trend(s, d, 1)
+
+
+@query(_trend_sql(3), "px_month")
+def trend_lag_k(s, d):
+    return _trend(s, d, 3)
+
+
+@query(
+    "SELECT a.y, a.x, round((a.nir - b.nir) / date_diff('day', b.time, a.time)::DOUBLE, 9) AS trend FROM px_month a JOIN px_month b USING (y, x) WHERE a.product = 'S2' AND b.product = 'S2'"
+    " AND a.time = (SELECT max(time) FROM px_month WHERE product = 'S2') AND b.time = (SELECT max(time) FROM px_month WHERE product = 'S2' AND time < (SELECT max(time) FROM px_month WHERE product = 'S2'))",
+    "px_month",
+)
+def trend_lag(s, d):
+    return D.trend_between(V.px_month(s, d).where("product = 'S2'"), "nir", ["y", "x"]).select("y", "x", r9("trend").alias("trend"))
+
+
+@query(
+    "SELECT DISTINCT CAST(doa + 16 - k * 16 AS DATE) AS time FROM (SELECT unnest([DATE '1997-01-15', DATE '1998-06-15', DATE '1999-12-15']) AS doa), (SELECT unnest(range(0, 400))::INTEGER AS k), (SELECT min(time) AS f FROM px) WHERE doa + 16 - k * 16 > f",
+    "px",
+)
+def target_dates(s, d):
+    first = V.px(s, d).agg(F.min("time").alias("f"))
+    doas = s.createDataFrame([(f"{x[:4]}-{x[4:6]}-{x[6:]}",) for x in V.CLASS_DATES], "doa string").select(F.col("doa").cast("date"))
+    df = doas.withColumn("f", first.scalar())
+    return df.select(F.explode(D.target_dates(F.col("f"), F.col("doa"), 16)).alias("time")).distinct()
+
+
+# ---- series
+
+_W = TS.gaussian_weights()
+_WEIGHTS = ", ".join(f"({k - len(_W) // 2}, {w!r}::DOUBLE)" for k, w in enumerate(_W))
+
+
+@query(
+    f"""SELECT pixel, band, a.time, round(sum(w * b.value), 9) AS value FROM (SELECT pixel, band, time, n, ((i + k) % (2 * n) + 2 * n) % (2 * n) AS m, w FROM ranked, (VALUES {_WEIGHTS}) t(k, w)) a
+JOIN (SELECT pixel, band, i, value FROM ranked) b USING (pixel, band) WHERE b.i = CASE WHEN a.m >= a.n THEN 2 * a.n - 1 - a.m ELSE a.m END GROUP BY ALL""",
+    "ranked",
+)
+def gaussian_smooth(s, d):
+    df = TS.as_arrays(V.series(s, d), ["pixel", "band"]).withColumn("s", TS.smoothed())
+    return df.select("pixel", "band", F.explode("s").alias("p")).select("pixel", "band", F.col("p.t").alias("time"), r9("p.v").alias("value"))
+
+
+@query(
+    "SELECT pixel, band, round((max(value) - min(value)) / 2, 9) AS amplitude, round(max(value), 9) AS maximum, round(quantile_cont(value, 0.5), 9) AS median, round(min(value), 9) AS minimum, round(stddev_pop(value), 9) AS std, round(avg(value), 9) AS weighted_average FROM series GROUP BY ALL",
+    "series",
+)
+def ts_features(s, d):
+    df = TS.features(V.series(s, d), ["pixel", "band"])
+    return df.select("pixel", "band", *[r9(c).alias(c) for c in df.columns[2:]])
+
+
+@query(
+    """SELECT pixel, band, round(avg((abs(value - mean) > sd)::INTEGER), 9) AS percent_beyond_1_std, round(max(step), 9) AS max_slope, round(quantile_cont(abs(value - med), 0.5), 9) AS median_absolute_deviation,
+round(avg((abs(value - med) < 0.1::DOUBLE * amp)::INTEGER), 9) AS percent_close_to_median, round(CASE WHEN any_value(sd) > 0 THEN avg((value - mean) ** 3) / any_value(sd) ** 3 END, 9) AS skew
+FROM (SELECT *, abs((value - lag(value) OVER o) / date_diff('day', lag(time) OVER o, time)) AS step, avg(value) OVER p AS mean, stddev_pop(value) OVER p AS sd, quantile_cont(value, 0.5) OVER p AS med, (max(value) OVER p - min(value) OVER p) / 2 AS amp
+FROM series WINDOW p AS (PARTITION BY pixel, band), o AS (PARTITION BY pixel, band ORDER BY time)) GROUP BY ALL""",
+    "series",
+)
+def ts_features_ext(s, d):
+    df = TS.features_ext(TS.as_arrays(V.series(s, d), ["pixel", "band"]), ["pixel", "band"])
+    return df.select("pixel", "band", *[r9(c).alias(c) for c in df.columns[2:]])
+
+
+@query(f"SELECT time, round(avg({ND.replace('round(', '(').replace(', 9)', ')')}), 9) AS ndvi FROM px WHERE mask AND x BETWEEN 5 AND 25 GROUP BY time", "px")
+def aoi_mean_series(s, d):
+    df = C.within(V.px(s, d).where("mask"), x=(5.0, 25.0)).withColumn("ndvi", B.ndvi())
+    return df.groupBy("time").agg(r9(F.avg("ndvi")).alias("ndvi"))
+
+
+TARGETS = ("1996-01-15", "1997-01-15", "1998-06-15", "1999-12-15", "2001-01-15")
+_SMALL = """obs AS (SELECT y, x, list(time ORDER BY time) AS ts, list(nir::DOUBLE ORDER BY time) AS vs, count(*) AS n, count(DISTINCT time) AS m FROM px WHERE product = 'S2' AND mask GROUP BY y, x),
+small AS (SELECT y, x, ts, vs, n FROM obs WHERE n BETWEEN 2 AND 4 AND n = m), target AS (SELECT unnest([{0}]) AS time)""".format(", ".join(f"DATE '{t}'" for t in TARGETS))
+
+
+def small(value: str) -> str:
+    base = with_views("", "px").rstrip()
+    return f"{base},\n{_SMALL}\nSELECT y, x, time, CASE WHEN time >= ts[1] AND time <= ts[n] THEN round({value}, 4) END AS value FROM small, target"
+
+
+_TERM = "vs[i] * list_product(list_transform(list_filter(range(1, n + 1), lambda j: j <> i), lambda j: date_diff('day', ts[j], time)::DOUBLE / date_diff('day', ts[j], ts[i])))"
+_SLOPE = (
+    "vs[i] * list_sum(list_transform(list_filter(range(1, n + 1), lambda k: k <> i), lambda k: coalesce(list_product(list_transform(list_filter(range(1, n + 1), lambda j: j <> i AND j <> k), lambda j: date_diff('day', ts[j], time)::DOUBLE)), 1)))"
+    " / list_product(list_transform(list_filter(range(1, n + 1), lambda j: j <> i), lambda j: date_diff('day', ts[j], ts[i])::DOUBLE))"
+)
+
+
+def _splines(s, d):
+    df = V.px(s, d).where("product = 'S2' AND mask").select("y", "x", "time", F.col("nir").alias("value"))
+    arrays = TS.as_arrays(df, ["y", "x"])
+    return arrays, F.array(*[F.lit(t).cast("date") for t in TARGETS])
+
+
+def _small(s, d):
+    arrays, at = _splines(s, d)
+    few = arrays.where(F.size("s").between(2, 4) & (F.size("s") == F.size(F.array_distinct(F.transform("s", lambda p: p["t"])))))
+    return TS.interpolated(few, at)
+
+
+@query()
+def interp_spline(s, d):
+    """Series of up to four observations, where the spline is the polynomial through them and SQL can say it."""
+    return _small(s, d).select("y", "x", "time", F.round("value", 4).alias("value"))
+
+
+@query()
+def interp_spline_der(s, d):
+    return _small(s, d).select("y", "x", "time", F.round("slope", 4).alias("value"))
+
+
+_register_sql("interp_spline", small(f"list_sum(list_transform(range(1, n + 1), lambda i: {_TERM}))"))
+_register_sql("interp_spline_der", small(f"list_sum(list_transform(range(1, n + 1), lambda i: {_SLOPE}))"))
+
+
+@query()
+def interp_all(s, d):
+    """Every pixel's spline and its derivative; tested by the reproduction of cubics."""
+    arrays, at = _splines(s, d)
+    return TS.interpolated(arrays, at).select("y", "x", "time", F.round("value", 4).alias("value"), F.round("slope", 4).alias("slope"))
+
+
+@query()
+def interp_smooth(s, d):
+    df = TS.as_arrays(V.series(s, d), ["pixel", "band"]).withColumn("s", TS.smoothed())
+    out = TS.interpolated(df, F.array(*[F.lit(f"2024-01-{k:02d}").cast("date") for k in (8, 16, 24)]))
+    return out.select("pixel", "band", "time", r9("value").alias("value"))
+
+
+@query(
+    """SELECT id, r, c, round(l * avg(CASE WHEN l <> 0 THEN v / l END) OVER (PARTITION BY class, r, c), 9) AS filtered FROM (
+SELECT a.id, a.class, a.r, a.c, any_value(a.v) AS v, avg(b.v) AS l FROM (SELECT id, class, r, c, abs(v) + 1 AS v FROM cells) a JOIN (SELECT id, r, c, abs(v) + 1 AS v FROM cells) b
+ON a.id = b.id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.id, a.class, a.r, a.c)""",
+    "cells",
+)
+def mt_speckle(s, d):
+    cells = V.cells(V.tiles8(s, d)).withColumn("v", F.abs("v") + 1)
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    near = cells.withColumn("s", shifts).select("id", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), F.col("v").alias("w"))
+    local = near.groupBy("id", "r", "c").agg(F.avg("w").alias("local"))
+    out = TS.speckle_filtered(cells.join(local, ["id", "r", "c"]), ["id"], ["class", "r", "c"], "local", "v")
+    return out.select("id", "r", "c", r9("filtered").alias("filtered"))
+
+
+# ---- lots
+
+
+@query("SELECT lot, time, vclass FROM classes", "classes")
+def lots_unpivot(s, d):
+    return V.lot_classes(V.lots(s, d)).select("lot", "time", "vclass")
+
+
+@query()
+def lots_reproject(s, d):
+    """Lots as degrees around 72 W 5 N to metres; tested against known points."""
+    p = V.lots(s, d).select("lot", F.posexplode("ring").alias("vertex", "p"))
+    east, north = G.utm(-72.0 + F.col("p.x") / 1000, 5.0 + F.col("p.y") / 1000)
+    return p.select("lot", "vertex", F.round(east, 3).alias("east"), F.round(north, 3).alias("north"))
+
+
+@query("SELECT lot, list_min(xs) AS x_min, list_min(ys) AS y_min, list_max(xs) AS x_max, list_max(ys) AS y_max FROM lots", "lots")
+def polygon_bounds(s, d):
+    return V.lots(s, d).select("lot", *G.bounds())
+
+
+@query("SELECT y, x, lot FROM inside", "inside")
+def points_in_polygon(s, d):
+    return G.places_in_lots(_places(s, d), V.lots(s, d)).select("y", "x", "lot")
+
+
+@query("SELECT p.y, p.x, coalesce(arg_max(X19980615, lot), 0) AS X19980615 FROM places p LEFT JOIN (SELECT y, x, lot, X19980615 FROM inside JOIN lots USING (lot) WHERE X19980615 IS NOT NULL) i ON i.y = p.y AND i.x = p.x GROUP BY p.y, p.x", "inside")
+def rasterize_lots(s, d):
+    return G.rasterized(_places(s, d), V.lots(s, d), "X19980615").select("y", "x", "X19980615")
+
+
+@query("SELECT p.y, p.x, coalesce(arg_max(X19970115, lot), 0) AS vclass FROM places p LEFT JOIN (SELECT y, x, lot, X19970115 FROM inside JOIN lots USING (lot) WHERE X19970115 IS NOT NULL) i ON i.y = p.y AND i.x = p.x GROUP BY p.y, p.x", "inside")
+def class_tag(s, d):
+    return FT.class_tagged(_places(s, d), V.lots(s, d), "X19970115").select("y", "x", "vclass")
+
+
+# ---- features and splits
+
+VARIABLES = ("NDVI", "LSWI")
+
+
+def _pivot(s, d):
+    df = V.px16(s, d).withColumns({v: r9(v) for v in VARIABLES})
+    return FT.pivoted(df, ["doa", "y", "x"], VARIABLES)
+
+
+_PIVOT = f"pivoted AS (SELECT doa, y, x, {pivot_columns(VARIABLES, FT.RELATIVE)} FROM px16 WHERE rel BETWEEN -96 AND 16 GROUP BY doa, y, x)"
+
+
+def pivot_sql(sql: str, *views: str, more: str = "") -> str:
+    return with_views("", "px16", *views).rstrip() + ",\n" + _PIVOT + more + "\n" + sql
+
+
+@query()
+def feature_pivot(s, d):
+    return _pivot(s, d)
+
+
+@query()
+def lot_features(s, d):
+    return FT.lot_features(_pivot(s, d), V.lot_classes(V.lots(s, d)))
+
+
+@query()
+def date_features(s, d):
+    return FT.date_features(_pivot(s, d), V.lot_classes(V.lots(s, d)))
+
+
+_register_sql("feature_pivot", pivot_sql("SELECT * FROM pivoted"))
+_register_sql("lot_features", pivot_sql("SELECT p.*, lot, vclass FROM pivoted p JOIN inside USING (y, x) JOIN classes c USING (lot) WHERE c.time = p.doa", "inside", "classes"))
+_register_sql("date_features", pivot_sql("SELECT p.*, lot, vclass, tt FROM pivoted p JOIN inside USING (y, x) JOIN split c USING (lot) WHERE c.time = p.doa AND vclass > 0", "inside", "classes", more=",\n" + SPLIT))
+
+
+@query()
+def stratified_split(s, d):
+    return _split(s, d).select("lot", "time", "vclass", "tt")
+
+
+_register_sql("stratified_split", _split_sql("SELECT lot, time, vclass, tt FROM split"))
+
+
+@query("SELECT lot, CASE WHEN row_number() OVER (ORDER BY md5('200|' || lot::VARCHAR), lot) <= round_even(count(*) OVER () * 0.7::DOUBLE, 0) THEN 'train' ELSE 'test' END AS tt FROM lots", "lots")
+def holdout_split(s, d):
+    return FT.holdout_split(V.lots(s, d).select("lot"))
+
+
+@query()
+def split_lookup(s, d):
+    rows = _class_pixels(s, d).select("lot", "y", "x", "time")
+    return FT.looked_up(rows, _split(s, d).where("lot % 3 <> 0"), ["lot", "time"])
+
+
+_register_sql("split_lookup", _split_sql("SELECT lot, y, x, c.time, coalesce(tt, 'nd') AS tt FROM inside JOIN classes c USING (lot) LEFT JOIN (SELECT * FROM split WHERE lot % 3 <> 0) q USING (lot, time)", "inside"))
+
+
+@query()
+def split_counts(s, d):
+    return _split(s, d).groupBy("vclass", "tt").agg(F.count("*").alias("n"))
+
+
+_register_sql("split_counts", _split_sql("SELECT vclass, tt, count(*) AS n FROM split GROUP BY ALL"))
+
+
+@query(
+    """SELECT seed, vclass, count(*) FILTER (k <= round_even(n * 0.7::DOUBLE, 0)) AS train, sum(lot) FILTER (k <= round_even(n * 0.7::DOUBLE, 0))::BIGINT AS lots FROM (
+SELECT seed, lot, vclass, row_number() OVER (PARTITION BY seed, vclass ORDER BY md5(seed::VARCHAR || '|' || time::VARCHAR || '|' || lot::VARCHAR), time, lot) AS k, count(*) OVER (PARTITION BY seed, vclass) AS n
+FROM classes, (SELECT unnest(range(11, 100, 11)) AS seed)) GROUP BY ALL""",
+    "classes",
+)
+def split_stability(s, d):
+    df = V.lot_classes(V.lots(s, d)).drop("ring").withColumn("seed", F.explode(F.array(*[F.lit(k).cast("long") for k in range(11, 100, 11)])))
+    out = FT.stratified_split(df, seed=F.col("seed"), more=("seed",)).where("tt = 'train'")
+    return out.groupBy("seed", "vclass").agg(F.count("*").alias("train"), F.sum("lot").alias("lots"))
+
+
+HOLD = "hold AS (SELECT lot, CASE WHEN row_number() OVER (ORDER BY md5('200|' || lot::VARCHAR), lot) <= round_even(count(*) OVER () * 0.7::DOUBLE, 0) THEN 'train' ELSE 'test' END AS tt FROM lots)"
+BURNT = """burnt AS (SELECT p.y, p.x, c.time, coalesce(max(CASE WHEN tt = 'train' THEN vclass END), 0) AS train, coalesce(max(CASE WHEN tt = 'test' THEN vclass END), 0) AS test
+FROM places p CROSS JOIN (SELECT DISTINCT time FROM classes) c LEFT JOIN (SELECT y, x, time, vclass, tt FROM inside JOIN classes USING (lot) JOIN hold USING (lot)) i ON i.y = p.y AND i.x = p.x AND i.time = c.time GROUP BY p.y, p.x, c.time)"""
+
+
+def burnt(sql: str, *views: str) -> str:
+    return with_views("", "inside", "classes", *views).rstrip() + ",\n" + HOLD + ",\n" + BURNT + "\n" + sql
+
+
+def _training(s, d):
+    split = FT.holdout_split(V.lots(s, d).select("lot"))
+    hit = _class_pixels(s, d).join(F.broadcast(split), "lot")
+    one = lambda t: F.max(F.when(F.col("tt") == t, F.col("vclass"))).alias(t)
+    sets = hit.groupBy("y", "x", "time").agg(one("train"), one("test"))
+    grid = _places(s, d).withColumn("time", F.explode(F.array(*[F.to_date(F.lit(x), "yyyyMMdd") for x in V.CLASS_DATES])))
+    return grid.join(sets, ["y", "x", "time"], "left").withColumns({t: F.coalesce(F.col(t), F.lit(0)) for t in ("train", "test")})
+
+
+@query()
+def training_classes(s, d):
+    return _training(s, d)
+
+
+@query()
+def training_rows(s, d):
+    return I.training_rows(_training(s, d), ["train", "test"], ["y", "x", "time"])
+
+
+@query()
+def training_frame(s, d):
+    cube = V.px16(s, d).where("rel = 0").select("y", "x", F.col("doa").alias("time"), "nir", "red")
+    dates = cube.select("time").distinct().intersect(_training(s, d).select("time").distinct())
+    both = C.merge(cube.join(F.broadcast(dates), "time", "left_semi"), _training(s, d), ["y", "x", "time"])
+    return I.training_rows(both, ["train", "test"], ["y", "x", "time", "nir", "red"])
+
+
+_register_sql("training_classes", burnt("SELECT y, x, time, train, test FROM burnt"))
+_register_sql("training_rows", burnt('SELECT y, x, time, "set", vclass FROM burnt UNPIVOT (vclass FOR "set" IN (train, test)) WHERE vclass > 0'))
+_register_sql(
+    "training_frame",
+    burnt(
+        """SELECT y, x, time, nir, red, "set", vclass FROM (SELECT y, x, time, train, test FROM burnt) UNPIVOT (vclass FOR "set" IN (train, test)) LEFT JOIN (SELECT y, x, doa AS time, nir, red FROM px16 WHERE rel = 0) USING (y, x, time) WHERE vclass > 0""",
+        "px16",
+    ),
+)
+
+
+@query("SELECT vclass, count(*) AS n, count(DISTINCT lot) AS lots FROM classes GROUP BY vclass", "classes")
+def class_levels(s, d):
+    return V.lot_classes(V.lots(s, d)).groupBy("vclass").agg(F.count("*").alias("n"), F.count_distinct("lot").alias("lots"))
+
+
+# ---- rasters and texture
+
+
+@query("SELECT id, 100.0 - r * 10.0 AS y, 500.0 + c * 10.0 AS x, nullif(round(v, 9), 0) AS v FROM cells", "cells")
+def raster_to_rows(s, d):
+    df = TX.raster_rows(V.tiles8(s, d), 8, (100.0, 500.0), (10.0, 10.0), 0.0)
+    return df.select("id", "y", "x", r9("v").alias("v"))
+
+
+@query("SELECT vec_id AS id, list_transform(embedding, lambda v: round(v::DOUBLE, 6)) AS data FROM embeddings")
+def rows_to_raster(s, d):
+    rows = TX.raster_rows(V.tiles8(s, d), 8, (100.0, 500.0), (10.0, 10.0)).withColumn("v", F.round("v", 6))
+    return TX.rows_raster(rows, ["id"])
+
+
+@query(
+    "SELECT g.id, g.r::DOUBLE AS y, g.c::DOUBLE AS x, coalesce(round(f.v, 9), 0) AS v FROM cells g LEFT JOIN cells f ON f.id = g.id AND f.r = g.r + 1 AND f.c = g.c - 2",
+    "cells",
+)
+def translate_shift(s, d):
+    cells = V.cells(V.tiles8(s, d)).select("id", F.col("r").cast("double").alias("y"), F.col("c").cast("double").alias("x"), r9("v").alias("v"))
+    return C.translate(cells, cells.select("id", "y", "x"), 1, -2, ["v"], ["id"])
+
+
+_PAIR = "a AS (SELECT id, r, c, round(v * 1000)::BIGINT AS v FROM cells WHERE id % 2 = 0), b AS (SELECT id - 1 AS id, r, c, round(v * 1000)::BIGINT AS v FROM cells WHERE id % 2 = 1)"
+
+
+@query()
+def coregistration_shift(s, d):
+    cells = V.cells(V.tiles8(s, d)).withColumn("v", F.round(F.col("v") * 1000).cast("long"))
+    a, b = cells.where("id % 2 = 0").select("id", "r", "c", "v"), cells.where("id % 2 = 1").select((F.col("id") - 1).alias("id"), "r", "c", "v")
+    return TX.best_shift(TX.shift_scores(a, b, ["id"], 2), ["id"])
+
+
+_register_sql(
+    "coregistration_shift",
+    with_views("", "cells").rstrip()
+    + ",\n"
+    + _PAIR
+    + """
+SELECT id, dr, dc, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, abs(dr) + abs(dc), dr, dc) AS k FROM (
+SELECT a.id, dr, dc, sum(a.v * b.v)::BIGINT AS score FROM a JOIN b ON b.id = a.id, (SELECT unnest(range(-2, 3))::INTEGER AS dr), (SELECT unnest(range(-2, 3))::INTEGER AS dc) WHERE b.r = a.r + dr AND b.c = a.c + dc GROUP BY ALL)) WHERE k = 1""",
+)
+
+
+@query(
+    """SELECT id, round(sum(p * (i - j) ** 2), 9) AS contrast, round(sum(p * abs(i - j)), 9) AS dissimilarity, round(sum(p / (1 + (i - j) ** 2)), 9) AS homogeneity, round(sum(p * p), 9) AS asm, round(sqrt(sum(p * p)), 9) AS energy,
+round(sum(-p * ln(p)), 9) AS entropy, round(sum(p * i), 9) AS mean, round(sum(p * i * i) - sum(p * i) ** 2, 7) AS variance FROM (SELECT id, i, j, n / sum(n) OVER (PARTITION BY id) AS p FROM (SELECT id, i, j, count(*)::DOUBLE AS n FROM (
+SELECT a.id, a.q AS i, b.q AS j FROM q a JOIN q b ON a.id = b.id AND a.r = b.r AND b.c = a.c + 4 UNION ALL SELECT a.id, b.q, a.q FROM q a JOIN q b ON a.id = b.id AND a.r = b.r AND b.c = a.c + 4) GROUP BY ALL)) GROUP BY id""",
+    "cells",
+)
+def glcm_tile(s, d):
+    df = TX.glcm(V.cells(V.tiles8(s, d)), ["id"], 0, 4)
+    return df.select("id", *[r9(c).alias(c) for c in ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "entropy", "mean")], F.round("variance", 7).alias("variance"))
+
+
+ORACLES["glcm_tile"] = ORACLES["glcm_tile"].replace(
+    "\nSELECT id, round(sum(p * (i - j) ** 2)",
+    ",\nq AS (SELECT id, r, c, least(15, floor((v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) * 16))::INTEGER AS q FROM cells WINDOW w AS (PARTITION BY id))\nSELECT id, round(sum(p * (i - j) ** 2)",
+    1,
+)
+
+
+@query()
+def glcm_windowed(s, d):
+    df = TX.glcm_windows(V.tiles8(s, d), 8)
+    return df.select("id", "r", "c", *[r9(c).alias(c) for c in ("contrast", "entropy", "asm")])
+
+
+@query(
+    """SELECT id, r, c, round(sqrt(gx * gx + gy * gy), 9) AS edge FROM (SELECT a.id, a.r, a.c, sum(b.v * (b.c - a.c) * (2 - abs(b.r - a.r))) AS gx, sum(b.v * (b.r - a.r) * (2 - abs(b.c - a.c))) AS gy
+FROM cells a JOIN cells b ON a.id = b.id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 WHERE a.r BETWEEN 1 AND 6 AND a.c BETWEEN 1 AND 6 GROUP BY ALL)""",
+    "cells",
+)
+def sobel_edges(s, d):
+    return TX.sobel(V.cells(V.tiles8(s, d)), ["id"]).select("id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), r9("edge").alias("edge"))
+
+
+@query("SELECT id, r, c, round(avg(v) OVER (PARTITION BY id, r // 4, c // 4), 9) AS zonal_mean FROM cells", "cells")
+def zonal_mean(s, d):
+    df = V.cells(V.tiles8(s, d)).withColumns({"zr": F.floor(F.col("r") / 4), "zc": F.floor(F.col("c") / 4)})
+    return TX.zonal_mean(df, ["id", "zr", "zc"]).select("id", "r", "c", r9("zonal_mean").alias("zonal_mean"))
+
+
+@query()
+def slic_segments(s, d):
+    return TX.slic(V.tiles8(s, d), 8)
+
+
+_HARMONIC = f"CAST(trunc(least(greatest(({1.0 / B.BANDPASS['nir'][0]!r})::DOUBLE * nir + ({-B.BANDPASS['nir'][1] / B.BANDPASS['nir'][0]!r})::DOUBLE, 0), 65535)) AS INTEGER)"
+
+
+@query(
+    f"SELECT g.time, g.y, g.x, coalesce({_HARMONIC}, 0) AS nir FROM (SELECT time, y, x FROM px_month WHERE product = 'LC08') g LEFT JOIN (SELECT time, y, x, nir FROM px_month WHERE product = 'LC08') f ON f.time = g.time AND f.y = g.y + 1 AND f.x = g.x - 3",
+    "px_month",
+)
+def harmonize_pipeline(s, d):
+    """Band-pass relation, then the co-registration offset, by month."""
+    l8 = B.with_harmonized(V.px_month(s, d).where("product = 'LC08'").select("time", "y", "x", "nir"))
+    return C.translate(l8, l8.select("time", "y", "x"), 1, -3, ["nir"], ["time"])
+
+
+# ---- statistics and metrics
+
+
+@query(
+    """SELECT product, mo, round(q1, 9) AS q1, round(median, 9) AS median, round(q3, 9) AS q3, round(min(v) FILTER (v >= q1 - 1.5 * (q3 - q1)), 9) AS low, round(max(v) FILTER (v <= q3 + 1.5 * (q3 - q1)), 9) AS high FROM (
+SELECT product, month(time)::INTEGER AS mo, nir::DOUBLE AS v, quantile_cont(nir::DOUBLE, 0.25) OVER w AS q1, quantile_cont(nir::DOUBLE, 0.5) OVER w AS median, quantile_cont(nir::DOUBLE, 0.75) OVER w AS q3 FROM px_month WINDOW w AS (PARTITION BY product, month(time))) GROUP BY ALL""",
+    "px_month",
+)
+def boxplot_stats(s, d):
+    df = V.px_month(s, d).select("product", F.month("time").alias("mo"), F.col("nir").cast("double").alias("v"))
+    out = M.boxplot(df, ["product", "mo"], "v")
+    return out.select("product", "mo", *[r9(c).alias(c) for c in ("q1", "median", "q3", "low", "high")])
+
+
+_OTHERS = ("red", "swir1", "vv", "qa_cloud")
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS variable, round(corr(nir::DOUBLE, {c}::DOUBLE), 9) AS r FROM px" for c in _OTHERS), "px")
+def corr_rank(s, d):
+    df = V.px(s, d).select(*[F.col(c).cast("double").alias(c) for c in ("nir", *_OTHERS)])
+    return M.correlations(df, "nir", list(_OTHERS)).select("variable", r9("r").alias("r"))
+
+
+@query("SELECT truth, pred, count(*) AS n FROM truth WHERE truth IS NOT NULL AND pred IS NOT NULL GROUP BY ALL", "truth")
+def confusion_matrix(s, d):
+    return M.confusion(V.labels_as_classes(s, d))
+
+
+@query("SELECT round(100.0::DOUBLE * sum((truth = pred)::INTEGER) / count(*), 9) AS overall_accuracy FROM truth WHERE truth IS NOT NULL AND pred IS NOT NULL", "truth")
+def overall_accuracy(s, d):
+    return M.overall_accuracy(V.labels_as_classes(s, d)).select(r9(F.col("overall_accuracy").cast("double")).alias("overall_accuracy"))
+
+
+_OK = "ok AS (SELECT * FROM truth WHERE truth IS NOT NULL AND pred IS NOT NULL)"
+
+
+@query()
+def cohen_kappa(s, d):
+    return M.cohen_kappa(V.labels_as_classes(s, d)).select(r9("kappa").alias("kappa"))
+
+
+_register_sql(
+    "cohen_kappa",
+    with_views("", "truth").rstrip()
+    + ",\n"
+    + _OK
+    + """, m AS (SELECT count(*)::DOUBLE AS n, sum((truth = pred)::INTEGER) / count(*)::DOUBLE AS po FROM ok),
+e AS (SELECT sum(t * p)::DOUBLE AS agree FROM (SELECT truth AS k, count(*) AS t FROM ok GROUP BY 1) JOIN (SELECT pred AS k, count(*) AS p FROM ok GROUP BY 1) USING (k))
+SELECT round((po - agree / (n * n)) / (1 - agree / (n * n)), 9) AS kappa FROM m, e""",
+)
+
+
+@query()
+def user_producer_accuracy(s, d):
+    df = M.user_producer(V.labels_as_classes(s, d))
+    return df.select("class", r9("user_accuracy").alias("user_accuracy"), r9("producer_accuracy").alias("producer_accuracy"))
+
+
+_register_sql(
+    "user_producer_accuracy",
+    with_views("", "truth").rstrip()
+    + ",\n"
+    + _OK
+    + """, k AS (SELECT truth AS k FROM ok UNION SELECT pred FROM ok)
+SELECT k AS class, round(h / nullif(p, 0)::DOUBLE, 9) AS user_accuracy, round(h / nullif(t, 0)::DOUBLE, 9) AS producer_accuracy FROM (
+SELECT k, (SELECT count(*) FROM ok WHERE truth = k AND pred = k) AS h, (SELECT count(*) FROM ok WHERE truth = k) AS t, (SELECT count(*) FROM ok WHERE pred = k) AS p FROM k)""",
+)
+
+
+# ---- models: results depend on the library's own random numbers, so they are checked by their quality in tests
+
+_FEATURES = [f"f{i}" for i in range(8)]
+
+
+def _vectors(s, d):
+    """Tiles with the means of their rows as features; even tiles train."""
+    df = V.tiles8(s, d).withColumns({f"f{i}": F.expr(f"aggregate(slice(data, {8 * i + 1}, 8), 0D, (a, x) -> a + x) / 8") for i in range(8)})
+    df = ML.assembled(df.drop("data"), _FEATURES, "class")
+    return df.where("id % 2 = 0"), df.where("id % 2 = 1")
+
+
+def _model(kind: str, **params) -> Query:
+    def run(s, d):
+        train, test = _vectors(s, d)
+        return ML.predicted(train, test, kind, **params).select("id", "truth", "pred")
+
+    return run
+
+
+QUERIES["model_random_forest"] = _model("rf", trees=20, depth=5)
+QUERIES["model_gbm"] = _model("gbm", rounds=3, depth=3)
+QUERIES["model_naive_bayes"] = _model("bayes")
+QUERIES["model_mlp"] = _model("mlp", layers=[8, 16, 10], rounds=30)
+
+
+@query()
+def model_accuracy(s, d):
+    """Overall accuracy and kappa of the naive Bayes model on tiles it has not seen."""
+    train, test = _vectors(s, d)
+    out = ML.predicted(train, test, "bayes").select("truth", "pred")
+    return out.agg((F.avg((F.col("truth") == F.col("pred")).cast("double")) * 100).alias("overall_accuracy")).withColumn("kappa", M.cohen_kappa(out).scalar())
+
+
+@query()
+def model_pca(s, d):
+    train, test = _vectors(s, d)
+    _, scores = ML.principal(train.select("id", *_FEATURES), test.select("id", *_FEATURES), _FEATURES, 5)
+    return scores.select("id", *[F.round(f"pc{i}", 6).alias(f"pc{i}") for i in range(1, 6)])
+
+
+@query()
+def model_grid(s, d):
+    train, _ = _vectors(s, d)
+    rows = ML.searched(train, {"maxDepth": (2, 4), "subsamplingRate": (0.7, 1.0)}, trees=5)
+    return s.createDataFrame([(p["maxDepth"], p["subsamplingRate"], a) for p, a in rows], "max_depth int, sample_rate double, accuracy double")
+
+
+@query()
+def model_ablation(s, d):
+    """Accuracy of naive Bayes by set of features."""
+    train, test = _vectors(s, d)
+    out = None
+    for name, cols in (("first", _FEATURES[:2]), ("half", _FEATURES[:4]), ("all", _FEATURES)):
+        a, b = (ML.assembled(x.drop("features", "label"), cols, "class") for x in (train, test))
+        row = ML.predicted(a, b, "bayes").agg(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("columns"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+
+
+def entry(s: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship: features of all lots at all dates of analysis, with class and split."""
+    return date_features(s, sf_dir)
