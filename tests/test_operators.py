@@ -43,7 +43,7 @@ def test_spline_edges():
     twice = TS.spline_at(np.array([1.0, 1.0, 2.0]), np.array([1.0, 2.0, 3.0]), np.array([1.0]))
     out = TS.spline_at(np.array([0.0, 10.0]), np.array([0.0, 5.0]), np.array([-1.0, 4.0, 11.0]))
     assert np.isnan(one[0]).all() and np.isnan(twice[0]).all()
-    assert np.isnan(out[0][[0, 2]]).all() and out[0][1] == 2.0 and out[1][1] == 0.5
+    assert np.isnan(out[0][[0, 2]]).all() and np.isclose(out[0][1], 2.0) and out[1][1] == 0.5
 
 
 def test_interpolated_has_no_nan(spark):
