@@ -369,7 +369,9 @@ def sets_for(ids: DataFrame, docs: DataFrame, text_col: str, k: int, scratch: Sc
             yield pa.RecordBatch.from_arrays([signed(np.array(found, np.uint64)), pa.array(blobs, pa.binary())], ["sid", "grams"])
 
     sets = docs.select(F.col(text_col).cast("string")).mapInArrow(emit, "sid long, grams binary")
-    return scratch.table(sets.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")))
+    out = scratch.table(sets.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")))
+    wanted.destroy()
+    return out
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -483,6 +485,7 @@ def jaccard_components(
     grams = shared_grams(docs, text_col, k, num, den, table, spark)
     known = scratch.table(sets.select("sid", "n").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root")))
     parts = scratch.table(partial_counts(grams.join(known, "sid"), num, den, spark))
+    table.destroy()
     least = F.floor(F.least("na", "nb") / 24) + 1
     pairs = parts.where(F.col("part") != TIE).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared")).where(F.col("shared") >= least)
     pairs = scratch.table(pairs.select("a", "b"))

@@ -270,6 +270,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
 
     anchors = share(bitmap(repeated_anchors(texts, size, anchor, ranges), F.col("anchor"), TABLE_BITS))
     runs = scratch.table(open_runs(texts, size, anchor, anchors))
+    anchors.destroy()
     equal = scratch.table(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor")))
     mixed = equal.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
     mixed_at = share(bitmap(mixed, F.col("anchor"), TABLE_BITS))
