@@ -5,12 +5,14 @@ expression over paths: pages are aligned one after the other (and wrappers with
 repeated group, what one side lacks becomes an optional group, and texts that differ become slots; texts that all pages of the
 host share at a place stay constant. Constant texts, seen on LEAST_PAGES different pages or more, are the template's own.
 
-A page's main text is its article: the article element with the most text, else the main element, else the element around the
-most text that is neither template nor links. Blocks of menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments (by element, role, class or id) and the template's own texts are left out.
+The wrapper tells where a host's pages have their text: the container of its slots with the most text, an article element if there
+is one, else a main element, else the deepest element that holds most of it. Elements of menus, headers, footers, sidebars,
+notices, adverts, forms and reader comments (by name, role, class or id) hold no slots of text. A page's main text is its blocks at the
+wrapper's slots, without the template's own texts; of several articles at one place the longest. A page without text there is of
+another layout and has its own wrapper asked.
 
 Tasks fold the pages they have into one wrapper for each host, and the few wrappers of a host are folded again, first in salted
-groups; a host with a third of all pages is so no large group. What extraction needs (constant texts by host and path) is
+groups; a host with a third of all pages is so no large group. What extraction needs (container and constant texts of each host) is
 broadcast if its size, which is checked, is within BROADCAST_BYTES; beyond it is joined by host.
 
 A null html gives an empty text; a null url has the empty host. Broken markup, also a page that ends inside a tag, is read as far as
@@ -33,7 +35,7 @@ from cropcube.llm.shared import Scratch
 from cropcube.llm.url_rules import host_path
 from cropcube.session import ship
 
-LEAST_PAGES = 3
+LEAST_PAGES = 4
 #: Distinct pages that an item of a wrapper remembers, to tell that there are enough of them.
 SUPPORT = 6
 #: Hosts whose wrappers a task holds at once, and longest repeated group of blocks.
@@ -66,34 +68,33 @@ SPACE = re.compile(r"\s+")
 
 
 class Block:
-    __slots__ = ("path", "text", "links", "regions", "dropped", "owner")
+    """A text with the path of elements around it (``!`` behind those that hold no article text) and their numbers in the page."""
 
-    def __init__(self, path, text, links, regions, dropped, owner):
-        self.path, self.text, self.links, self.regions, self.dropped, self.owner = path, text, links, regions, dropped, owner
+    __slots__ = ("path", "text", "links", "owner")
+
+    def __init__(self, path: str, text: str, links: int, owner: tuple[int, ...]):
+        self.path, self.text, self.links, self.owner = path, text, links, owner
+
+    @property
+    def weight(self) -> int:
+        return max(0, len(self.text) - 2 * self.links)
 
 
 def blocks_of(source: str) -> list[Block]:
     """The page's blocks in order: text between block elements, white space as one space, references decoded."""
     out: list[Block] = []
-    # element: (tag, signature, dropped, article or main number, serial)
-    stack: list[tuple[str, str, bool, tuple, int]] = []
+    # element: (tag, signature, number)
+    stack: list[tuple[str, str, int]] = []
     text: list[str] = []
     links = [0]
     serial = 0
-    regions = 0
 
     def flush():
         if text:
             joined = SPACE.sub(" ", "".join(text)).strip()
             if joined:
-                blocks = [e for e in stack if e[0] not in INLINE]
-                top = blocks[-1] if blocks else None
-                out.append(
-                    Block(
-                        "/".join(e[1] for e in blocks), joined, links[0], tuple(e[3] for e in stack if e[3]),
-                        any(e[2] for e in stack), tuple(e[4] for e in blocks) if top else (),
-                    )
-                )
+                around = [e for e in stack if e[0] not in INLINE or e[1].endswith("!")]
+                out.append(Block("/".join(e[1] for e in around), joined, links[0], tuple(e[2] for e in around)))
             text.clear()
             links[0] = 0
 
@@ -117,8 +118,9 @@ def blocks_of(source: str) -> list[Block]:
                 continue
             if tag in INLINE and any(e[0] not in INLINE for e in stack[at:]):
                 continue  # it would close blocks inside it
-            if tag not in INLINE or not any(e[0] not in INLINE for e in stack[at:]):
-                del stack[at:]
+            if tag in INLINE and any(e[1].endswith("!") for e in stack[at:]):
+                flush()
+            del stack[at:]
             continue
         if tag == "br":
             text.append(" ")
@@ -140,14 +142,11 @@ def blocks_of(source: str) -> list[Block]:
             tag in DROPPED or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
             or "display:none" in attrs.get("style", "").replace(" ", "").lower() or bool(named and tag not in ("html", "body", "main") and NAMES.search(named))
         )
-        region: tuple = ()
-        if tag == "article" or attrs.get("itemprop") == "articleBody":
-            regions += 1
-            region = ("article", regions)
-        elif tag == "main" or role == "main":
-            regions += 1
-            region = ("main", regions)
-        stack.append((tag, tag + ("." + ".".join(sorted(attrs.get("class", "").split())) if attrs.get("class") else ""), dropped, region, serial))
+        mark = "@article" if attrs.get("itemprop") == "articleBody" else "@main" if role == "main" else ""
+        classes = "." + ".".join(sorted(attrs["class"].replace("/", "").replace("!", "").split())) if attrs.get("class") else ""
+        if dropped and tag in INLINE:
+            flush()
+        stack.append((tag, f"{tag}{classes}{mark}{'!' if dropped else ''}", serial))
     flush()
     return out
 
@@ -156,12 +155,18 @@ def blocks_of(source: str) -> list[Block]:
 
 
 class Item:
-    """A group of paths at a place of the wrapper. ``common``: texts that every page has there; ``pages``: some that have it."""
+    """A group of paths at a place of the wrapper. ``common``: texts that every page has there; ``pages``: some that have it;
+    ``mass``: characters that are not links, of each path."""
+
+    __slots__ = ("paths", "common", "pages", "mass", "optional", "repeated")
 
-    __slots__ = ("paths", "common", "pages", "optional", "repeated")
+    def __init__(self, paths, common, pages, mass, optional=False, repeated=False):
+        self.paths, self.common, self.pages, self.mass, self.optional, self.repeated = paths, common, pages, mass, optional, repeated
 
-    def __init__(self, paths, common, pages, optional=False, repeated=False):
-        self.paths, self.common, self.pages, self.optional, self.repeated = paths, common, pages, optional, repeated
+    @property
+    def constant(self) -> bool:
+        """One text, the same on enough pages."""
+        return not self.repeated and len(self.paths) == len(self.common) == 1 and len(self.pages) >= LEAST_PAGES
 
 
 def digest(text: str) -> int:
@@ -194,7 +199,7 @@ def wrapper_of(blocks: list[Block]) -> list[Item]:
     paths = [b.path for b in blocks]
     page = hash_64("\0".join(b.text for b in blocks).encode("utf-8", "surrogatepass"))
     return [
-        Item(tuple(paths[a : a + p]), frozenset(digest(b.text) for b in blocks[a:e]), frozenset([page]), False, e > a + p)
+        Item(tuple(paths[a : a + p]), frozenset(digest(b.text) for b in blocks[a:e]), frozenset([page]), tuple(sum(b.weight for b in blocks[a + k : e : p]) for k in range(p)), False, e > a + p)
         for a, p, e in folded(paths)
     ]
 
@@ -208,10 +213,11 @@ def merged(a: list[Item], b: list[Item]) -> list[Item]:
         if op == "equal":
             for x, y in zip(a[i:j], b[k:m], strict=True):
                 pages = frozenset(sorted(x.pages | y.pages)[:SUPPORT])
-                out.append(Item(x.paths, x.common & y.common, pages, x.optional or y.optional, x.repeated or y.repeated))
+                mass = tuple(v + w for v, w in zip(x.mass, y.mass, strict=True))
+                out.append(Item(x.paths, x.common & y.common, pages, mass, x.optional or y.optional, x.repeated or y.repeated))
         else:
             for x in (*a[i:j], *b[k:m]):
-                out.append(Item(x.paths, x.common, x.pages, True, x.repeated))
+                out.append(Item(x.paths, x.common, x.pages, x.mass, True, x.repeated))
     return out
 
 
@@ -228,32 +234,47 @@ def constants(wrapper: list[Item]) -> set[int]:
 # ---- extraction
 
 
-def main_text(blocks: list[Block], template: set[int] | frozenset[int] = frozenset()) -> str:
-    own = [b for b in blocks if not (template and hash_64(f"{b.path}\0{digest(b.text)}".encode("utf-8", "surrogatepass")) in template)]
-    kept = [b for b in own if not b.dropped]
+def container(wrapper: list[Item]) -> str:
+    """The path around the wrapper's slots of text; empty if it has none."""
+    slots = [(path.split("/"), m) for w in wrapper if not w.constant for path, m in zip(w.paths, w.mass, strict=True) if "!" not in path and m > 0]
     for kind in ("article", "main"):
-        size: dict[tuple, int] = {}
-        for b in kept:
-            for r in b.regions:
-                if r[0] == kind:
-                    size[r] = size.get(r, 0) + len(b.text) - b.links
+        size: dict[str, int] = {}
+        for path, m in slots:
+            k = next((k for k, e in enumerate(path) if re.split(r"[.@]", e)[0] == kind or e.endswith("@" + kind)), None)
+            if k is not None:
+                top = "/".join(path[: k + 1])
+                size[top] = size.get(top, 0) + m
         if size:
-            best = max(size, key=lambda r: (size[r], -r[1]))
-            return "\n\n".join(b.text for b in kept if best in b.regions)
-    # no such element: the smallest one that holds most of the text that is not links
-    weight: dict[int, int] = {}
-    depth: dict[int, int] = {}
-    total = 0
-    for b in kept:
-        w = max(0, len(b.text) - 2 * b.links)
-        total += w
-        for d, owner in enumerate(b.owner):
-            weight[owner] = weight.get(owner, 0) + w
-            depth[owner] = d
-    if not total:
-        return "\n\n".join(b.text for b in kept if not b.links)
-    best = max((o for o in weight if 3 * weight[o] >= 2 * total), key=lambda o: (depth[o], -o), default=None)
-    return "\n\n".join(b.text for b in kept if (best is None or best in b.owner) and 2 * b.links <= len(b.text))
+            return max(size, key=lambda p: (size[p], p))
+    total = sum(m for _, m in slots)
+    weight: dict[str, int] = {}
+    for path, m in slots:
+        for k in range(1, max(2, len(path))):  # the block's own element is around itself only
+            top = "/".join(path[:k])
+            weight[top] = weight.get(top, 0) + m
+    return max((p for p in weight if 3 * weight[p] >= 2 * total), key=lambda p: (p.count("/"), p), default="")
+
+
+def under(path: str, top: str) -> bool:
+    return not top or path == top or path.startswith(top + "/")
+
+
+def main_text(blocks: list[Block], top: str | None = None, template: set[int] | frozenset[int] = frozenset()) -> str:
+    """The blocks at the slots under ``top``; where the page has none, under the container of its own wrapper."""
+    own = [b for b in blocks if "!" not in b.path and not (template and hash_64(f"{b.path}\0{digest(b.text)}".encode("utf-8", "surrogatepass")) in template)]
+    inside = [b for b in own if under(b.path, top)] if top else []
+    if not inside:
+        top = container(wrapper_of(blocks))
+        inside = [b for b in own if under(b.path, top)]
+    last = top.rsplit("/", 1)[-1]
+    if re.split(r"[.@]", last)[0] in ("article", "main") or "@" in last:
+        k = top.count("/")
+        size: dict[int, int] = {}
+        for b in inside:
+            size[b.owner[k]] = size.get(b.owner[k], 0) + len(b.text) - b.links
+        best = max(size, key=lambda n: (size[n], -n), default=None)
+        return "\n\n".join(b.text for b in inside if b.owner[k] == best)
+    return "\n\n".join(b.text for b in inside if 2 * b.links <= len(b.text))
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -294,11 +315,11 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def packed(wrapper: list[Item]) -> bytes:
-    return pickle.dumps([(w.paths, sorted(w.common), sorted(w.pages), w.optional, w.repeated) for w in wrapper])
+    return pickle.dumps([(w.paths, sorted(w.common), sorted(w.pages), w.mass, w.optional, w.repeated) for w in wrapper])
 
 
 def unpacked(blob: bytes) -> list[Item]:
-    return [Item(p, frozenset(c), frozenset(s), o, r) for p, c, s, o, r in pickle.loads(blob)]
+    return [Item(p, frozenset(c), frozenset(s), m, o, r) for p, c, s, m, o, r in pickle.loads(blob)]
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -312,14 +333,15 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
 
     def known(batches):
         for batch in batches:
-            cs = [sorted(constants(unpacked(x.as_py()))) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([[x - (1 << 64) if x >> 63 else x for x in c] for c in cs], pa.list_(pa.int64()))], ["cc_host", "cc_known"])
+            made = [unpacked(x.as_py()) for x in batch.column(1)]
+            fixed = [[x - (1 << 64) if x >> 63 else x for x in sorted(constants(w))] for w in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([container(w) for w in made], pa.string()), pa.array(fixed, pa.list_(pa.int64()))], ["cc_host", "cc_top", "cc_known"])
 
-    template = scratch.table(made.mapInArrow(known, "cc_host string, cc_known array<long>"))
-    size = template.agg(F.coalesce(F.sum(F.length("cc_host") + 8 * F.size("cc_known") + 64), F.lit(0))).first()[0]
+    template = scratch.table(made.mapInArrow(known, "cc_host string, cc_top string, cc_known array<long>"))
+    size = template.agg(F.coalesce(F.sum(F.length("cc_host") + F.length("cc_top") + 8 * F.size("cc_known") + 64), F.lit(0))).first()[0]
     shared = None
     if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r.cc_host: frozenset(x % (1 << 64) for x in r.cc_known) for r in template.where(F.size("cc_known") > 0).toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r.cc_host: (r.cc_top, frozenset(x % (1 << 64) for x in r.cc_known)) for r in template.toLocalIterator()})
     else:
         told = told.join(template, "cc_host", "left")
 
@@ -328,10 +350,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
             at = batch.schema.get_field_index
             hosts, sources = batch.column(at("cc_host")).to_pylist(), batch.column(at("cc_html")).to_pylist()
             if shared is not None:
-                sets = [shared.value.get(h, frozenset()) for h in hosts]
+                told_ = [shared.value.get(h, ("", frozenset())) for h in hosts]
             else:
-                sets = [frozenset(x % (1 << 64) for x in c or ()) for c in batch.column(at("cc_known")).to_pylist()]
-            texts = [main_text(blocks_of(s or ""), t) for s, t in zip(sources, sets, strict=True)]
+                tops, fixed = (batch.column(at(c)).to_pylist() for c in ("cc_top", "cc_known"))
+                told_ = [(t, frozenset(x % (1 << 64) for x in c or ())) for t, c in zip(tops, fixed, strict=True)]
+            texts = [main_text(blocks_of(s or ""), top, fixed) for s, (top, fixed) in zip(sources, told_, strict=True)]
             texts = [t.encode("utf-8", "replace").decode() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(at(c)) for c in keep] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 
