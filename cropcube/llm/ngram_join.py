@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from cropcube.llm import kernels as K
 from cropcube.llm.graph import components
-from cropcube.llm.shared import Scratch, bitmap, in_bitmap, partitions
+from cropcube.llm.shared import Scratch, Sparse, bitmap, partitions
 from cropcube.session import ship
 
 WORDS = 5
@@ -234,7 +234,7 @@ def shared_grams(docs: DataFrame, text_col: str, k: int, num: int, den: int, tab
         held, size = [], 0
         for batch in batches:
             for _, _, h, at in sets_of(batch.column(0), k):
-                g, d = prefixes(h, at, table.value, num, den)
+                g, d = prefixes(h, at, table.value.get(), num, den)
                 held.append((g >> np.uint64(16), set_ids(h, at)[d]))
                 size += len(g)
                 if size >= CHUNK:
@@ -361,7 +361,7 @@ def sets_for(ids: DataFrame, docs: DataFrame, text_col: str, k: int, scratch: Sc
             found, blobs = [], []
             for _, _, h, at in sets_of(batch.column(0), k):
                 sid = set_ids(h, at)
-                for d in np.flatnonzero(in_bitmap(wanted.value, sid, FILTER_BITS) & (sid != 0)).tolist():
+                for d in np.flatnonzero(wanted.value.holds(sid) & (sid != 0)).tolist():
                     if (x := int(sid[d])) not in seen:
                         seen.add(x)
                         found.append(x)
@@ -481,7 +481,7 @@ def jaccard_components(
     roots = scratch.table(components(first, scratch))
 
     # 2. exact: partial overlaps of prefixes by fragment, between components
-    table = spark.sparkContext.broadcast(levels(docs, text_col, k, spark))
+    table = spark.sparkContext.broadcast(Sparse(levels(docs, text_col, k, spark)))
     grams = shared_grams(docs, text_col, k, num, den, table, spark)
     known = scratch.table(sets.select("sid", "n").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root")))
     parts = scratch.table(partial_counts(grams.join(known, "sid"), num, den, spark))

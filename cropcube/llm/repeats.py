@@ -31,13 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cropcube.llm import kernels as K
-from cropcube.llm.shared import Scratch, bitmap, in_bitmap, partitions
+from cropcube.llm.shared import Scratch, bitmap, partitions
 from cropcube.session import ship
 
 SIZE = 400
 ANCHOR = 64
 STEP = 16
-#: Bits of the tables that one pass hands to the next: 16 MB each.
+#: Most bits of a table that one pass hands to the next: 16 MB.
 TABLE_BITS = 27
 #: Digits that a task sorts at once.
 CHUNK = 1_000_000
@@ -182,7 +182,7 @@ def open_runs(texts: DataFrame, size: int, anchor: int, table) -> DataFrame:
             for i, j in K.groups(offsets, PIECE):
                 base = offsets[i : j + 1] - offsets[i]
                 runs = Runs(raw[offsets[i] : offsets[j]], base, size, anchor)
-                runs.take(in_bitmap(table.value, runs.anchor, TABLE_BITS))
+                runs.take(table.value.holds(runs.anchor))
                 if len(runs.first):
                     at = base[runs.doc]
                     yield pa.RecordBatch.from_arrays(
@@ -268,15 +268,15 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
     texts = docs.select(F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= size)
     share = spark.sparkContext.broadcast
 
-    anchors = share(bitmap(repeated_anchors(texts, size, anchor, ranges), F.col("anchor"), TABLE_BITS))
+    anchors = share(bitmap(scratch.table(repeated_anchors(texts, size, anchor, ranges)), F.col("anchor"), TABLE_BITS))
     runs = scratch.table(open_runs(texts, size, anchor, anchors))
     anchors.destroy()
     equal = scratch.table(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor")))
     mixed = equal.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    mixed_at = share(bitmap(mixed, F.col("anchor"), TABLE_BITS))
+    mixed_at = share(bitmap(scratch.table(mixed), F.col("anchor"), TABLE_BITS))
 
     def by_node(r: Runs):
-        r.take(in_bitmap(mixed_at.value, r.anchor, TABLE_BITS))
+        r.take(mixed_at.value.holds(r.anchor))
         whole = r.whole()
         run, m, full = r.nodes()
         at = r.place[run] - m * STEP
@@ -291,13 +291,13 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
     core = F.max(F.when(F.col("tag") < SPANNED, F.col("value"))).alias("core")
     ends = nodes.groupBy("run", F.col("tag").bitwiseAND(SPANNED - 1).alias("m")).agg(F.max("tag").alias("top"), core).where(F.col("top") < SPANNED)
     ends = ends.join(equal.where("n > 1").select("run"), "run", "left_anti")
-    open_at = share(bitmap(ends, F.col("core"), TABLE_BITS))
+    open_at = share(bitmap(scratch.table(ends), F.col("core"), TABLE_BITS))
 
     def by_window(r: Runs):
-        r.take(in_bitmap(mixed_at.value, r.anchor, TABLE_BITS))
+        r.take(mixed_at.value.holds(r.anchor))
         whole = r.whole()
         run, m, _ = r.nodes()
-        hit = in_bitmap(open_at.value, r.common(run, m), TABLE_BITS)
+        hit = open_at.value.holds(r.common(run, m))
         run, m = run[hit], m[hit]
         run, back = np.repeat(run, STEP), (m[:, None] * STEP + np.arange(STEP)).ravel()
         at = r.place[run] - back

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,11 +53,48 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def bitmap(df: DataFrame, key: Column, bits: int) -> np.ndarray:
-    """A filter of ``2**bits`` bits with a bit for each key's hash: its size is fixed, whatever the data.
+class Sparse:
+    """An array that travels compressed and is unpacked once in each process: tables here are mostly zeros."""
 
-    Used to thin out rows before a join; rows that pass by chance are dropped by the join itself.
+    def __init__(self, array: np.ndarray):
+        self.size = array.nbytes
+        self.packed = bytes(pa.compress(np.ascontiguousarray(array), "zstd", asbytes=True))
+        self.array = None
+
+    def __getstate__(self):
+        return {"size": self.size, "packed": self.packed, "array": None}
+
+    def get(self) -> np.ndarray:
+        if self.array is None:
+            self.array = np.frombuffer(pa.decompress(self.packed, self.size, "zstd", asbytes=True), np.uint8)
+        return self.array
+
+
+class Bitmap(Sparse):
+    """A filter over 64-bit values: holds all those it was made of, and passes a few others by chance."""
+
+    def __init__(self, array: np.ndarray, bits: int):
+        super().__init__(array)
+        self.bits = bits
+
+    def __getstate__(self):
+        return super().__getstate__() | {"bits": self.bits}
+
+    def __contains__(self, value: int) -> bool:
+        return bool(self.holds(np.array([value % (1 << 64)], np.uint64))[0])
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        cell = cell_of(values, self.bits)
+        return (self.get()[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def bitmap(df: DataFrame, key: Column, most: int, per_value: int = 32) -> Bitmap:
+    """A filter with ``per_value`` bits for each row of ``df``, but never more than ``2**most`` bits in all.
+
+    So its size has a fixed bound, whatever the data. It only thins out rows: those that pass by chance are dropped by the
+    join or the pass behind it. ``df`` is read twice, so it should be a written table.
     """
+    bits = min(most, max(15, (df.count() * per_value).bit_length()))
     cell = F.shiftrightunsigned(F.xxhash64(key), 64 - bits) + 1  # Spark numbers buckets from 1 for cells from 1
     rows = (
         df.select(cell.alias("c"))
@@ -68,7 +106,7 @@ def bitmap(df: DataFrame, key: Column, bits: int) -> np.ndarray:
     for r in rows:
         at = (r.b - 1) * (BLOCK_BITS // 8)
         out[at : at + BLOCK_BITS // 8] = np.frombuffer(bytes(r.m), np.uint8)
-    return out
+    return Bitmap(out, bits)
 
 
 def cell_of(value: np.ndarray, bits: int) -> np.ndarray:
@@ -85,9 +123,3 @@ def cell_of(value: np.ndarray, bits: int) -> np.ndarray:
         h *= p3
         h ^= h >> np.uint64(32)
     return (h >> np.uint64(64 - bits)).astype(np.int64)
-
-
-def in_bitmap(table: np.ndarray, value: np.ndarray, bits: int) -> np.ndarray:
-    """Which values ``bitmap`` may hold: all of those it was made of, and a few others."""
-    cell = cell_of(value, bits)
-    return (table[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)

@@ -420,3 +420,18 @@ def test_pipeline_equals_brute_force(spark, small):
     words = sum(len(re.findall(r"[^\x20\x09-\x0D]+", source[i].text)) for i in kept)
     assert sum(r.taken for r in got.values()) == pytest.approx(words, rel=0.05)
     assert [n for n, _ in P.STAGES] == ["quality rules", "n-gram Jaccard join", "benchmark decontamination", "secret scans", "mixing sources to target weights"]
+
+
+def test_stages_take_odd_rows(spark, small):
+    import corpus_pipeline as P
+
+    rows = [(None, None, None, None, None), (None, "x " * 80, None, None, None), (None, "x " * 80, "en", "s", 9), (1, "", "", "", 0), (2, " \n", "fr", None, 2)]
+    rows += [(3, " ".join(f"w{i}" for i in range(90)), "en", "s", 7), (4, " ".join(f"w{i}" for i in range(90)), "en", None, 7), (3, " ".join(f"w{i}" for i in range(90)), "en", "s", 7)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(7) for c in CLASH})
+    for _, stage in P.STAGES:
+        out = stage(spark, df, small)
+        assert out.columns[:5] == P.COLUMNS and out.count() <= len(rows)
+        assert stage(spark, df.limit(0), small).count() == 0
+    left = P.near_duplicates(spark, df, small).collect()
+    assert sorted(r.doc_id for r in left if r.text and r.text.startswith("w0")) == [3]
+    assert sum(r.text == "x " * 80 for r in left) == 1 and sum(r.text in (None, "", " \n") for r in left) == 3
