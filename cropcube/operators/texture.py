@@ -155,6 +155,33 @@ def slic(tiles: DataFrame, width: int, segments: int = 4, rounds: int = 5, compa
     return tiles.select("id", "data").mapInPandas(run, "id long, r int, c int, segment int")
 
 
+def lee_sigma(tiles: DataFrame, width: int, window: int = 5, looks: int = 1, sigma: float = 0.9) -> DataFrame:
+    """Speckle filter of single tiles: the minimum-mean-square estimate from the neighbours within the sigma range of the place's own
+    first estimate (all neighbours where that range is empty). ``sigma`` is the share of the range that counts, for positive values."""
+    ship(tiles.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        half = window // 2
+        noise = 1 / looks
+        for pdf in batches:
+            out = []
+            for id_, data in zip(pdf["id"], pdf["data"], strict=True):
+                t = np.asarray(data, float).reshape(-1, width)
+                f = np.empty_like(t)
+                for r, c in np.ndindex(t.shape):
+                    part = t[max(0, r - half) : r + half + 1, max(0, c - half) : c + half + 1].ravel()
+                    prior = part.mean()
+                    part = part[(part >= prior * (1 - sigma)) & (part <= prior * (1 + sigma))] if prior > 0 else part
+                    part = part if len(part) else t[max(0, r - half) : r + half + 1, max(0, c - half) : c + half + 1].ravel()
+                    m, v = part.mean(), part.var()
+                    real = max(0.0, (v - m * m * noise) / (1 + noise))
+                    f[r, c] = m + (real / v if v > 0 else 0.0) * (t[r, c] - m)
+                out.append((id_, f.ravel().tolist()))
+            yield pd.DataFrame(out, columns=["id", "data"])
+
+    return tiles.select("id", "data").mapInPandas(run, "id long, data array<double>")
+
+
 def zonal_mean(df: DataFrame, zone: list[str], value: str = "v") -> DataFrame:
     """The mean of its zone at every place."""
     return df.withColumn("zonal_mean", F.avg(value).over(Window.partitionBy(*zone)))

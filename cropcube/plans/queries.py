@@ -604,6 +604,13 @@ def mt_speckle(s, d):
     return out.select("id", "r", "c", r9("filtered").alias("filtered"))
 
 
+@query()
+def mt_lee_sigma(s, d):
+    """Lee's sigma filter of single tiles; tested on flat and noisy tiles."""
+    tiles = V.tiles8(s, d).withColumn("data", F.transform("data", lambda v: F.abs(v) + 1))
+    return TX.lee_sigma(tiles, 8).select("id", F.transform("data", lambda v: F.round(v, 9)).alias("data"))
+
+
 # ---- lots
 
 

@@ -184,3 +184,32 @@ def test_registration_and_segments(spark):
 def test_projection(spark, names):
     df = spark.createDataFrame([tuple(range(len(names)))], names)
     assert C.matching(df, "^qa") == (["qa_cloud"] if "qa_cloud" in names else None)
+
+
+def test_archives(spark, tmp_path):
+    import io
+    import tarfile
+    import zipfile
+
+    from cropcube.sources import archives as A
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/b1.tif", b"one")
+    with tarfile.open(tmp_path / "b.tar.gz", "w:gz") as t:
+        info = tarfile.TarInfo("b2.tif")
+        info.size = 3
+        t.addfile(info, io.BytesIO(b"two"))
+    (tmp_path / "broken.zip").write_bytes(b"no archive")
+    (tmp_path / "note.txt").write_bytes(b"none")
+    rows = {(r.archive, r.member): (bytes(r.content) if r.content else None, r.error) for r in A.members(spark, str(tmp_path)).collect()}
+    assert rows == {("a.zip", "x/b1.tif"): (b"one", None), ("b.tar.gz", "b2.tif"): (b"two", None), ("broken.zip", None): (None, "BadZipFile")}
+    done = spark.createDataFrame([("a.zip",), ("broken.zip",)], "archive string")
+    assert [r.member for r in A.members(spark, str(tmp_path), done).collect()] == ["b2.tif"]
+
+
+def test_lee_sigma(spark):
+    rng = np.random.default_rng(3)
+    noisy = 10 * rng.gamma(4, 0.25, 64)
+    tiles = spark.createDataFrame([(1, [5.0] * 64), (2, noisy.tolist())], "id long, data array<double>")
+    out = {r.id: np.array(r.data) for r in TX.lee_sigma(tiles, 8, looks=4).collect()}
+    assert np.allclose(out[1], 5.0) and out[2].std() < 0.7 * noisy.std() and abs(out[2].mean() - noisy.mean()) < 1.5
