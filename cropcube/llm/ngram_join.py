@@ -10,9 +10,10 @@ Groups of copies never become all their pairs. Equal sets are one node from the
 n-gram of each of a few fragments, one centre per meeting point; the pairs with a centre that reach the similarity
 give first components, and the exact search then only looks at pairs between *different* components.
 
-An n-gram that more than CROWD sets have in their prefixes, and not all of one component, emits no pairs either: it ties its
-sets into a family (one tie each). Any two sets that share such an n-gram are of one family, and families are compared in
-blocks: each block against each, whole sets in the task, and only links that join components come out.
+An n-gram that more than CROWD sets have in their prefixes emits no pairs either: it ties each of its sets to the first one.
+Ties between components make families of components, so any two sets of different components that share such an n-gram are of
+one family. Families' tied sets are compared in blocks: each block against each, whole sets in the task, and only links that
+join components come out. Ties meet by joins, so an n-gram of a third of all sets is no group of one task.
 
 Texts are read again in each pass instead of being kept as sets: reading costs less than the disk.
 """
@@ -46,8 +47,6 @@ FILTER_BITS = 26
 CROWD = 16
 BLOCK = 384
 CHUNK = 1_500_000
-#: What ``part`` says of a row that is a tie of a family, not a count.
-TIE = -1
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -227,7 +226,8 @@ def prefixes(h: np.ndarray, at: np.ndarray, table: np.ndarray, num: int, den: in
 
 
 def shared_grams(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spark: SparkSession) -> DataFrame:
-    """``(gram, sid)`` of the n-grams that two or more sets have in their prefixes."""
+    """``(gram, sid, first)`` of the n-grams that two or more sets have in their prefixes; where more than CROWD sets have it,
+    ties: ``first`` is the least of them and ``gram`` is null."""
     ranges = partitions(spark)
 
     def emit(batches):
@@ -263,14 +263,21 @@ def shared_grams(docs: DataFrame, text_col: str, k: int, num: int, den: int, tab
         new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])  # copies of a set are one
         g, s = g[new], s[new]
         edge = np.concatenate([[True], g[1:] != g[:-1], [True]])
-        alone = edge[:-1] & edge[1:]
-        return pa.table({"gram": signed(g[~alone]), "sid": signed(s[~alone])})
+        start = np.flatnonzero(edge[:-1])
+        size = np.diff(np.append(start, len(g)))
+        each = np.repeat(size, size)
+        few, crowd = (each > 1) & (each <= CROWD), each > CROWD
+        ties = np.unique(np.stack([s[np.repeat(start, size)][crowd], s[crowd]], axis=1), axis=0)
+        none = pa.nulls(len(ties), pa.int64())
+        gram = pa.concat_arrays([signed(g[few]), none])
+        sid = np.concatenate([s[few], ties[:, 1]])
+        return pa.table({"gram": gram, "sid": signed(sid), "first": pa.concat_arrays([pa.nulls(int(few.sum()), pa.int64()), signed(ties[:, 0])])})
 
     return (
         docs.select(F.col(text_col).cast("string"))
         .mapInArrow(emit, "r int, grams binary, sids binary")
         .groupBy("r")
-        .applyInArrow(met, "gram long, sid long")
+        .applyInArrow(met, "gram long, sid long, first long")
     )
 
 
@@ -300,7 +307,7 @@ def crossing_pairs(order, start, size, n: np.ndarray, c: np.ndarray, num: int, d
 
 
 def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession) -> DataFrame:
-    """``(a, b, na, nb, part)``: of each fragment, how many n-grams a pair of different components shares in it; or a tie."""
+    """``(a, b, na, nb, part)``: of each fragment, how many n-grams a pair of different components shares in it."""
     ranges = partitions(spark)
 
     def count(part: pa.Table) -> pa.Table:
@@ -325,12 +332,7 @@ def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession)
             total, found, held = (u, k), [], 0
 
         order, start, members = mixed_groups(col["gram"], col["root"])
-        crowd = members > CROWD
-        ties = [(s[order[x]], s[order[x : x + k]]) for x, k in zip(start[crowd].tolist(), members[crowd].tolist(), strict=True)]
-        a = np.concatenate([np.full(len(y), x) for x, y in ties]) if ties else np.zeros(0, np.int64)
-        b = np.concatenate([y for _, y in ties]) if ties else np.zeros(0, np.int64)
-        tied = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-        for pairs in crossing_pairs(order, start[~crowd], members[~crowd], col["n"], col["root"], num, den):
+        for pairs in crossing_pairs(order, start, members, col["n"], col["root"], num, den):
             i, j = ident[pairs[0]], ident[pairs[1]]
             lo, hi = np.minimum(i, j), np.maximum(i, j)
             found.append(lo.astype(np.int64) * len(kinds) + hi)
@@ -339,9 +341,8 @@ def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession)
                 fold()
         fold()
         lo, hi = total[0] // max(1, len(kinds)), total[0] % max(1, len(kinds))
-        none = np.full(len(tied), TIE, np.int64)
-        cols = ((kinds[lo], tied[:, 0]), (kinds[hi], tied[:, 1]), (size[lo], none), (size[hi], none), (total[1].astype(np.int64), none))
-        return pa.table({x: pa.array(np.concatenate(y)) for x, y in zip(("a", "b", "na", "nb", "part"), cols, strict=True)})
+        cols = (kinds[lo], kinds[hi], size[lo], size[hi], total[1].astype(np.int64))
+        return pa.table({x: pa.array(y) for x, y in zip(("a", "b", "na", "nb", "part"), cols, strict=True)})
 
     return (
         entries.withColumn("r", (F.shiftright("gram", 16) * ranges / F.lit(1 << 32)).cast("int"))
@@ -399,11 +400,16 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     return both.mapInArrow(compare, "a long, b long")
 
 
-def members_of(families: DataFrame, known: DataFrame) -> DataFrame:
-    """``(sid, n, root, family, blocks, block)`` of the sets in families."""
-    named = families.select(F.col("node").alias("sid"), F.col("root").alias("family"))
-    size = named.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return named.join(size, "family").join(known, "sid").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
+def members_of(ties: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
+    """``(sid, n, root, family, blocks, block)`` of the tied sets whose components are in families of several."""
+    ties = scratch.table(ties.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct())
+    end = lambda c: known.select(F.col("sid").alias(c), F.col("root").alias("r" + c))
+    edges = ties.join(end("b"), "b").join(end("a"), "a").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    families = components(edges, scratch).select(F.col("node").alias("root"), F.col("root").alias("family"))
+    tied = ties.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    members = scratch.table(tied.join(known, "sid").join(families, "root").select("sid", "n", "root", "family"))
+    size = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    return members.join(size, "family").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
 
 
 def family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -484,12 +490,13 @@ def jaccard_components(
     table = spark.sparkContext.broadcast(Sparse(levels(docs, text_col, k, spark)))
     grams = shared_grams(docs, text_col, k, num, den, table, spark)
     known = scratch.table(sets.select("sid", "n").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root")))
-    parts = scratch.table(partial_counts(grams.join(known, "sid"), num, den, spark))
+    grams = scratch.table(grams)
     table.destroy()
+    parts = partial_counts(grams.where("gram IS NOT NULL").select("gram", "sid").join(known, "sid"), num, den, spark)
     least = F.floor(F.least("na", "nb") / 24) + 1
-    pairs = parts.where(F.col("part") != TIE).groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared")).where(F.col("shared") >= least)
+    pairs = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared")).where(F.col("shared") >= least)
     pairs = scratch.table(pairs.select("a", "b"))
-    members = scratch.table(members_of(components(parts.where(F.col("part") == TIE).select("a", "b"), scratch), known))
+    members = scratch.table(members_of(grams, known, scratch))
     whole = sets_for(pairs.select(ends).union(members.select("sid")), docs, text_col, k, scratch)
     second = verified(pairs, whole, num, den).union(family_links(members, whole, num, den))
 
