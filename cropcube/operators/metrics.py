@@ -36,12 +36,13 @@ def user_producer(df: DataFrame) -> DataFrame:
 
 
 def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Quartiles, and whiskers: the outermost values within 1.5 quartile ranges."""
-    q = df.groupBy(*by).agg(F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))").alias("q"), F.sort_array(F.collect_list(value)).alias("all"))
-    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "all")
-    low = F.expr("array_min(filter(all, v -> v >= q1 - 1.5D * (q3 - q1)))")
-    high = F.expr("array_max(filter(all, v -> v <= q3 + 1.5D * (q3 - q1)))")
-    return q.select(*by, "q1", "median", "q3", low.alias("low"), high.alias("high"))
+    """Quartiles, and whiskers: the outermost values within 1.5 quartile ranges. Two aggregations; no group is gathered."""
+    df = df.select(*by, F.col(value).alias("v"))
+    q = df.groupBy(*by).agg(F.expr("percentile(v, array(0.25D, 0.5D, 0.75D))").alias("q"))
+    q = q.select(*by, F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    reach = 1.5 * (F.col("q3") - F.col("q1"))
+    low, high = F.when(F.col("v") >= F.col("q1") - reach, F.col("v")), F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))
+    return df.join(q, by).groupBy(*by, "q1", "median", "q3").agg(F.min(low).alias("low"), F.max(high).alias("high"))
 
 
 def correlations(df: DataFrame, target: str, others: list[str]) -> DataFrame:
