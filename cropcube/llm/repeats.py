@@ -309,7 +309,8 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
     backs = nodes.where(F.col("tag") >= SPANNED).select("run", ((F.col("tag") - SPANNED) * STEP).alias("lo"), ((F.col("tag") - SPANNED) * STEP + STEP - 1).alias("hi"))
     backs = backs.union(singles.select("run", F.col("tag").alias("lo"), F.col("tag").alias("hi")))
     whole = equal.where("n > 1").select("run", F.lit(0).alias("lo"), F.lit(1 << 30).alias("hi"))
-    backs = backs.union(whole).groupBy("run").agg(F.collect_set(F.struct("lo", "hi")).alias("backs"))
+    # written, so that the join has plain inputs and a run of very many texts can be split
+    backs = scratch.table(backs.union(whole).groupBy("run").agg(F.collect_set(F.struct("lo", "hi")).alias("backs")))
     found = runs.select("key", "run", "first", "place", "last").distinct().join(backs, "run")
     found = found.groupBy("key").agg(F.collect_list(F.struct("first", "place", "last", "backs")).alias("found"))
 
@@ -318,19 +319,22 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
             texts_ = batch.column(batch.schema.get_field_index(text_col))
             raw, offsets = K.texts_of(texts_)
             where = batch.column(batch.schema.get_field_index("cropcube_found"))
-            spans, removed, digest, kept = [], [], [], []
+            doc, start, end = covered(where, size)
+            first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+            removed = np.bincount(doc, end - start, batch.num_rows).astype(np.int64)
+            digest, kept = [], []
             for d in range(batch.num_rows):
                 data = raw[offsets[d] : offsets[d + 1]].tobytes()
-                cover = covered(where[d].as_py(), size) if where[d].is_valid else []
-                edge = [0, *(x for s in cover for x in s), len(data)]
-                rest = b"".join(data[a:b] for a, b in zip(edge[::2], edge[1::2], strict=True)) if cover else data
-                spans.append([{"start": a, "end": b} for a, b in cover])
-                removed.append(len(data) - len(rest))
-                digest.append(hashlib.sha256(rest).hexdigest())
-                kept.append(rest)
+                if first[d] < first[d + 1]:
+                    a, b = start[first[d] : first[d + 1]].tolist(), end[first[d] : first[d + 1]].tolist()
+                    data = b"".join(data[x:y] for x, y in zip([0, *b], [*a, len(data)], strict=True))
+                digest.append(hashlib.sha256(data).hexdigest())
+                if with_kept:
+                    kept.append(data)
+            pairs = pa.StructArray.from_arrays([pa.array(start), pa.array(end)], ["start", "end"])
             out = {c: batch.column(batch.schema.get_field_index(c)) for c in keep}
-            out |= {"n_bytes": pa.array(np.diff(offsets)), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
-            out |= {"n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digest, pa.string())}
+            out |= {"n_bytes": pa.array(np.diff(offsets)), "spans": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pairs)}
+            out |= {"n_removed": pa.array(removed), "kept_sha256": pa.array(digest, pa.string())}
             if with_kept:
                 out["kept"] = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_pydict(out)
@@ -342,18 +346,27 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
     return joined.mapInArrow(judge, schema)
 
 
-def covered(found: list[dict], size: int) -> list[tuple[int, int]]:
-    """Bytes under the repeated windows of one text: disjoint runs in order; runs that touch are one."""
-    starts = []
-    for f in found:
-        for b in f["backs"]:
-            lo, hi = max(f["first"], f["place"] - b["hi"]), min(f["last"], f["place"] - b["lo"])
-            if lo <= hi:
-                starts.append((lo, hi + size))
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(starts):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def covered(found: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes under the repeated windows of each text of a batch: (text, start, end) of disjoint runs in order; runs that touch are one."""
+    lengths = lambda x: np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
+    runs = found.flatten()
+    text = np.repeat(np.arange(len(found)), lengths(found))
+    backs = runs.field("backs")
+    run = np.repeat(np.arange(len(runs)), lengths(backs))
+    near = backs.flatten()
+    place = number(runs.field("place"))[run]
+    a = np.maximum(number(runs.field("first"))[run], place - number(near.field("hi")))
+    z = np.minimum(number(runs.field("last"))[run], place - number(near.field("lo")))
+    ok = a <= z
+    text, a, z = text[run][ok], a[ok], z[ok] + size
+    if not len(a):
+        return text, a, z
+    wide = int(z.max()) + 2  # each text's places lie apart from the next one's
+    order = np.lexsort((a, text))
+    begin = text[order] * wide + a[order]
+    reach = np.maximum.accumulate(text[order] * wide + z[order])
+    new = np.flatnonzero(np.concatenate([[True], begin[1:] > reach[:-1]]))
+    last = np.append(new[1:], len(begin)) - 1
+    text = begin[new] // wide
+    return text, begin[new] - text * wide, reach[last] - text * wide
