@@ -505,5 +505,6 @@ def jaccard_components(
     final = components(links, scratch).select(F.col("node").alias("sid"), "root")
     rows = told.select("id", "n", "sid").join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rows = scratch.table(rows.select("id", "n", "root"))
-    lowest = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
+    # written, so that the join has plain inputs and a large component can be split
+    lowest = scratch.table(rows.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component")))
     return rows.join(lowest, "root", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
