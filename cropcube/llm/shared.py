@@ -28,7 +28,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder, which cuts lineage and survives lost executors; ``drop`` removes one."""
+    """Tables written to the shared folder, which cuts lineage and survives lost executors; ``drop`` removes one, the rest go with the application."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -39,14 +39,21 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.parquet(path)
+        if self.n == 1:  # results may still read the tables, so they stay until the application ends
+            root, files = self.files(self.root)
+            files.deleteOnExit(root)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._cropcube_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t._cropcube_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            path, files = self.files(t._cropcube_path)
+            files.delete(path, True)
+
+    def files(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def partitions(spark: SparkSession) -> int:
