@@ -3,20 +3,21 @@
 A page becomes a stream of text blocks, each with the path of the elements around it. A host's wrapper is a union-free regular
 expression over paths: pages are aligned one after the other (and wrappers with wrappers), neighbouring repeats fold into a
 repeated group, what one side lacks becomes an optional group, and texts that differ become slots; texts that all pages of the
-host share at a place stay constant. Constant texts, seen on LEAST_PAGES different pages or more, are the template's own.
+host share at a place stay constant. Constant texts, seen in LEAST_PAGES different articles or more, are the template's own. Near
+copies of one article (by a sketch of the words outside menus, adverts and comments) are one article here, whatever else differs.
 
 The wrapper tells where a host's pages have their text: the container of its slots with the most text, an article element if there
 is one, else a main element, else the deepest element that holds most of it. Elements of menus, headers, footers, sidebars,
 notices, adverts, forms and reader comments (by name, role, class or id) hold no slots of text. A page's main text is its blocks at the
-wrapper's slots, without the template's own texts; of several articles at one place the longest. A page without text there is of
-another layout and has its own wrapper asked.
+wrapper's slots, without the template's own texts; of several articles at one place the longest. Where the template's texts would be
+half of the page's text or more, they stay. A page without text there is of another layout and has its own wrapper asked.
 
 Tasks fold the pages they have into one wrapper for each host, and the few wrappers of a host are folded again, first in salted
 groups; a host with a third of all pages is so no large group. What extraction needs (container and constant texts of each host) is
 broadcast if its size, which is checked, is within BROADCAST_BYTES; beyond it is joined by host.
 
 A null html gives an empty text; a null url has the empty host. Broken markup, also a page that ends inside a tag, is read as far as
-it goes. Repeated pages are extracted one by one and count as one page for the wrapper.
+it goes. Repeated pages are extracted one by one and are aligned once.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from __future__ import annotations
 import html
 import pickle
 import re
+import zlib
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -36,8 +38,11 @@ from cropcube.llm.url_rules import host_path
 from cropcube.session import ship
 
 LEAST_PAGES = 4
-#: Distinct pages that an item of a wrapper remembers, to tell that there are enough of them.
+#: Distinct articles that an item of a wrapper remembers, to tell that there are enough of them.
 SUPPORT = 6
+#: Words of a shingle, and shingles that a page's sketch keeps.
+SHINGLE = 3
+SKETCH = 16
 #: Hosts whose wrappers a task holds at once, and longest repeated group of blocks.
 HELD_HOSTS = 4000
 PERIOD = 4
@@ -155,8 +160,8 @@ def blocks_of(source: str) -> list[Block]:
 
 
 class Item:
-    """A group of paths at a place of the wrapper. ``common``: texts that every page has there; ``pages``: some that have it;
-    ``mass``: characters that are not links, of each path."""
+    """A group of paths at a place of the wrapper. ``common``: texts that every page has there; ``pages``: sketches of some that have
+    it, no two of one article; ``mass``: characters that are not links, of each path."""
 
     __slots__ = ("paths", "common", "pages", "mass", "optional", "repeated")
 
@@ -195,9 +200,38 @@ def folded(paths: list[str]) -> list[tuple[int, int, int]]:
     return out
 
 
+def page_hash(blocks: list[Block]) -> int:
+    return hash_64("\0".join(b.text for b in blocks).encode("utf-8", "surrogatepass"))
+
+
+def sketch_of(blocks: list[Block]) -> tuple[int, ...]:
+    """The least hashes of the shingles of a page's text, without the blocks that hold no article text or are links."""
+    words = " ".join(b.text for b in blocks if "!" not in b.path and 2 * b.links <= len(b.text)).split()
+    grams = (" ".join(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1)))
+    return tuple(sorted({zlib.crc32(g.encode("utf-8", "surrogatepass")) for g in grams})[:SKETCH])
+
+
+def near(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Near copies: half of the shingles of both together, or more, are in both (estimated from the sketches)."""
+    x, y = set(a), set(b)
+    least = sorted(x | y)[:SKETCH]
+    return 2 * sum(h in x and h in y for h in least) >= len(least)
+
+
+def articles(a: frozenset[tuple[int, ...]], b: frozenset[tuple[int, ...]]) -> frozenset[tuple[int, ...]]:
+    """``a`` and what of ``b`` is no near copy, up to SUPPORT."""
+    if len(a) >= SUPPORT or b <= a:
+        return a
+    out = list(a)
+    for x in sorted(b):
+        if len(out) < SUPPORT and not any(near(x, y) for y in out):
+            out.append(x)
+    return frozenset(out)
+
+
 def wrapper_of(blocks: list[Block]) -> list[Item]:
     paths = [b.path for b in blocks]
-    page = hash_64("\0".join(b.text for b in blocks).encode("utf-8", "surrogatepass"))
+    page = sketch_of(blocks)
     return [
         Item(tuple(paths[a : a + p]), frozenset(digest(b.text) for b in blocks[a:e]), frozenset([page]), tuple(sum(b.weight for b in blocks[a + k : e : p]) for k in range(p)), False, e > a + p)
         for a, p, e in folded(paths)
@@ -209,10 +243,13 @@ def merged(a: list[Item], b: list[Item]) -> list[Item]:
     if not a or not b:
         return a or b
     out: list[Item] = []
+    both: dict[tuple, frozenset] = {}  # most items have the same pages
     for op, i, j, k, m in SequenceMatcher(None, [x.paths for x in a], [x.paths for x in b], autojunk=False).get_opcodes():
         if op == "equal":
             for x, y in zip(a[i:j], b[k:m], strict=True):
-                pages = frozenset(sorted(x.pages | y.pages)[:SUPPORT])
+                pages = both.get((x.pages, y.pages))
+                if pages is None:
+                    pages = both[x.pages, y.pages] = articles(x.pages, y.pages)
                 mass = tuple(v + w for v, w in zip(x.mass, y.mass, strict=True))
                 out.append(Item(x.paths, x.common & y.common, pages, mass, x.optional or y.optional, x.repeated or y.repeated))
         else:
@@ -261,20 +298,29 @@ def under(path: str, top: str) -> bool:
 
 def main_text(blocks: list[Block], top: str | None = None, template: set[int] | frozenset[int] = frozenset()) -> str:
     """The blocks at the slots under ``top``; where the page has none, under the container of its own wrapper."""
-    own = [b for b in blocks if "!" not in b.path and not (template and hash_64(f"{b.path}\0{digest(b.text)}".encode("utf-8", "surrogatepass")) in template)]
-    inside = [b for b in own if under(b.path, top)] if top else []
-    if not inside:
+    shown = [b for b in blocks if "!" not in b.path]
+    # blocks that are the template's, by identity
+    known = {id(b) for b in shown if hash_64(f"{b.path}\0{digest(b.text)}".encode("utf-8", "surrogatepass")) in template} if template else set()
+    inside = [b for b in shown if under(b.path, top)] if top else []
+    if all(id(b) in known for b in inside):
         top = container(wrapper_of(blocks))
-        inside = [b for b in own if under(b.path, top)]
+        inside = [b for b in shown if under(b.path, top)]
     last = top.rsplit("/", 1)[-1]
     if re.split(r"[.@]", last)[0] in ("article", "main") or "@" in last:
         k = top.count("/")
-        size: dict[int, int] = {}
+        size: dict[int, list[int]] = {}
         for b in inside:
-            size[b.owner[k]] = size.get(b.owner[k], 0) + len(b.text) - b.links
+            n = size.setdefault(b.owner[k], [0, 0])
+            n[0] += 0 if id(b) in known else len(b.text) - b.links
+            n[1] += len(b.text) - b.links
         best = max(size, key=lambda n: (size[n], -n), default=None)
-        return "\n\n".join(b.text for b in inside if b.owner[k] == best)
-    return "\n\n".join(b.text for b in inside if 2 * b.links <= len(b.text))
+        inside = [b for b in inside if b.owner[k] == best]
+    else:
+        inside = [b for b in inside if 2 * b.links <= len(b.text)]
+    own = [b for b in inside if id(b) not in known]
+    if 2 * sum(b.weight for b in own) <= sum(b.weight for b in inside):
+        own = inside
+    return "\n\n".join(b.text for b in own)
 
 
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
@@ -285,14 +331,15 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
         seen: dict[str, set[int]] = {}
         for batch in batches:
             for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                one = wrapper_of(blocks_of(source or ""))
-                if not one:
+                blocks = blocks_of(source or "")
+                if not blocks:
                     continue
-                page = next(iter(one[0].pages))
+                page = page_hash(blocks)
                 if page in seen.setdefault(host, set()):
                     continue
                 if len(seen[host]) < 1000:
                     seen[host].add(page)
+                one = wrapper_of(blocks)
                 held[host] = merged(held[host], one) if host in held else one
             if len(held) > HELD_HOSTS:
                 yield rows(held)

@@ -358,6 +358,32 @@ def test_html(spark):
     assert H.extract(df.limit(0)).count() == 0
 
 
+def near_copy(n, open_="<article>", close="</article>", dated=False, body=None):
+    """One article in pages that differ in menu, advert and comment, and in a line of the article if ``dated``."""
+    text = body or [f"Paragraph {k} tells of the {w} harvest in the long valley." for k, w in enumerate(("wheat", "maize", "rice"))]
+    inner = "<h1>One title</h1>" + (f"<div>Read on day {n}</div>" if dated else "") + "".join(f"<p>{p}</p>" for p in text)
+    return f"<html><body><nav><a href='/{n}'>Menu {n}</a></nav>{open_}{inner}{close}<div class='ad'>Buy {n}</div><div id='comments'><p>Comment {n}</p></div></body></html>", "\n\n".join(["One title", *([f"Read on day {n}"] if dated else []), *text])
+
+
+def test_html_keeps_articles_that_a_host_repeats(spark):
+    rows, want = [], {}
+    shapes = {"a.com": ("<article>", "</article>"), "b.com": ("<div><div>", "</div></div>")}
+    for h, (host, shape) in enumerate(shapes.items()):
+        for dated in (False, True):
+            for count in (3, 4, 9):
+                for n in range(count):
+                    i = len(rows)
+                    source, want[i] = near_copy(n, *shape, dated)
+                    rows.append((i, f"http://{count}{'d' if dated else ''}.{host}/{n}", source))
+        # articles that have more in common than of their own
+        for n in range(5):
+            i = len(rows)
+            source, want[i] = near_copy(n, *shape, body=[f"Own w{n} x{n} y{n} z{n}", "Common words that every article of the host has behind its own few ones."])
+            rows.append((i, f"http://short.{host}/{n}", source))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_wrappers_are_union_free():
     a, b = (H.wrapper_of(H.blocks_of(f"<body><h1>{x}</h1>{m}<p>one {x}</p><p>two</p><p>end {x}</p><div>foot</div></body>")) for x, m in (("A", ""), ("B", "<h2>mid</h2>")))
     assert H.expression(H.merged(a, b)) == "(body/h1 #text) (body/h2)? (body/p)+ (body/div)"
