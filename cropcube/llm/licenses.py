@@ -7,8 +7,9 @@ has if those are fewer than K.
 
 A text's fingerprints are looked up as they stream by (all of them, so that no winnowing of the text can miss a template's kept
 one). Hits of one template on near diagonals are a candidate stretch; a banded global alignment of the template against
-the words around it gives the matched words. Coverage is matched / template words; stretches from ``least`` on are reported with their
-byte span, best first where they overlap.
+the words around it gives the matched words. Coverage is matched / template words; matches from ``least`` on are reported with their
+byte span, best first where they overlap. What is left of a stretch beside reported spans is aligned again until nothing reaches
+``least``, so of a notice that is repeated every copy is reported.
 
 The index is built from the templates, the stated query set: their number of words is checked against MOST_WORDS, and more are
 scanned in blocks. Map-only. Nulls and blank texts match nothing; null templates are skipped; rows are judged one by one.
@@ -16,7 +17,9 @@ scanned in blocks. Map-only. Nulls and blank texts match nothing; null templates
 
 from __future__ import annotations
 
+from bisect import bisect
 from dataclasses import dataclass
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -160,45 +163,56 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return K.span_hashes(raw, ends - size, ends)
 
 
-def aligned(template: list[bytes], text: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
+def aligned(template: list[bytes], text: list[bytes], diagonal: int, band: int, low: int = 0, high: int | None = None) -> tuple[int, int, int]:
     """Most equal words of a global alignment of the template within ``band`` of a diagonal: (matched, first, last + 1 word matched).
 
-    The template's word i stands against text words i + diagonal - band to i + diagonal + band. Skips are free on either side;
-    of equally many matches the one with the narrowest span in the text wins.
+    The template's word i stands against text words i + diagonal - band to i + diagonal + band, those from ``low`` to before ``high``.
+    Skips are free on either side; of equally many matches the one with the narrowest span in the text wins, then the first.
     """
     width = 2 * band + 1
-    # best[c] = (matched, first matched text word, last) for text word i + diagonal - band + c
-    best: list[tuple[int, int, int]] = [(0, -1, -1)] * (width + 1)
+    high = len(text) if high is None else high
+    # best[c] = (matched, first matched text word; the latest of equally many) up to text word i + diagonal - band + c
+    best: list[tuple[int, int]] = [(0, -1)] * (width + 1)
+    # (matched, less the span, less the first word)
+    found, last = (0, 0, 1), -1
     for i, w in enumerate(template):
-        row: list[tuple[int, int, int]] = []
+        row: list[tuple[int, int]] = []
         base = i + diagonal - band
-        left = (0, -1, -1)
+        left = (0, -1)
         for c in range(width):
             j = base + c
-            up = best[c + 1] if c + 1 < len(best) else (0, -1, -1)
-            cell = up if better(up, left) else left
-            if 0 <= j < len(text) and text[j] == w:
-                m, f, _ = best[c]
-                hit = (m + 1, j if m == 0 else f, j)
-                if better(hit, cell):
-                    cell = hit
+            cell = max(best[c + 1], left)
+            if low <= j < high and text[j] == w:
+                m, f = best[c]
+                hit = (m + 1, j if m == 0 else f)
+                if (hit[0], hit[1] - j, -hit[1]) > found:
+                    found, last = (hit[0], hit[1] - j, -hit[1]), j
+                cell = max(cell, hit)
             row.append(cell)
             left = cell
-        best = [*row, (0, -1, -1)]
-    m, f, e = best[width - 1]
-    return m, f, e + 1
+        best = [*row, (0, -1)]
+    return found[0], -found[2], last + 1
 
 
-def better(a: tuple[int, int, int], b: tuple[int, int, int]) -> bool:
-    return (a[0], a[1] - a[2]) > (b[0], b[1] - b[2])
+def stretches(index: Index, at: np.ndarray, template: np.ndarray, place: np.ndarray, words: list[bytes], band: int, least: float) -> list[tuple[str, int, int, int, int]]:
+    """(template, matched, its words, first, end word) of one text: the matches of all candidate stretches, without overlaps.
 
+    The best match is reported first; what it leaves of the words around a diagonal is aligned again, where it is long enough.
+    """
+    heap: list[tuple] = []
+
+    def push(t: int, diagonal: int, low: int, high: int) -> None:
+        size = len(index.words[t])
+        low, high = max(low, diagonal - band), min(high, diagonal + size + band)
+        if high - low >= least * size:
+            m, f, e = aligned(index.words[t], words, diagonal, band, low, high)
+            if m and m >= least * size:
+                heappush(heap, (-m, -m / size, e - f, f, index.names[t], t, diagonal, low, high))
 
-def stretches(index: Index, at: np.ndarray, template: np.ndarray, place: np.ndarray, words: list[bytes], band: int, least: float) -> list[tuple[str, int, int, int, int]]:
-    """(template, matched, its words, first, end word) of one text: the best of every candidate stretch, without overlaps."""
-    found = []
     order = np.lexsort((at, at - place, template))
     t, d, a = template[order], (at - place)[order], at[order]
     i = 0
+    todo: set[tuple[int, int]] = set()
     while i < len(t):
         j = i + 1
         while j < len(t) and t[j] == t[i] and d[j] - d[j - 1] <= band // 2:
@@ -209,16 +223,28 @@ def stretches(index: Index, at: np.ndarray, template: np.ndarray, place: np.ndar
         cut = [0, *(np.flatnonzero(np.diff(a[group]) > size + band) + 1).tolist(), len(group)]
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             part = group[x:y]
-            todo = sorted({int(np.median(d[part])), *(int(v) for v in d[part])}) if y - x <= 4 else [int(v) for v in np.unique(d[part] // max(1, band // 2)) * max(1, band // 2)]
-            best = max((aligned(index.words[t[i]], words, diag, band) for diag in todo), key=lambda r: (r[0], r[1] - r[2]))
-            if best[0] >= least * size:
-                found.append((index.names[t[i]], best[0], size, best[1], best[2]))
+            diagonals = {int(np.median(d[part])), *(int(v) for v in d[part])} if y - x <= 4 else {int(v) for v in np.unique(d[part] // max(1, band // 2)) * max(1, band // 2)}
+            todo |= {(int(t[i]), v) for v in diagonals}
         i = j
+    for k, v in sorted(todo):
+        push(k, v, 0, len(words))
+    # by first word
     out: list[tuple[str, int, int, int, int]] = []
-    for f in sorted(set(found), key=lambda f: (-f[1], -f[1] / f[2], f[3], f[0])):
-        if all(f[4] <= o[3] or f[3] >= o[4] for o in out):
-            out.append(f)
-    return sorted(out, key=lambda f: (f[3], f[0]))
+    starts: list[int] = []
+    while heap:
+        m, _, width, f, name, k, v, low, high = heappop(heap)
+        n = bisect(starts, f)
+        if (n == 0 or out[n - 1][4] <= f) and (n == len(out) or starts[n] >= f + width):
+            out.insert(n, (name, -m, len(index.words[k]), f, f + width))
+            starts.insert(n, f)
+        n = max(0, bisect(starts, low) - 1)
+        while n < len(out) and starts[n] < high:
+            if out[n][4] > low:
+                push(k, v, low, starts[n])
+                low = out[n][4]
+            n += 1
+        push(k, v, low, high)
+    return out
 
 
 MATCH = "array<struct<license: string, matched: long, words: long, coverage: double, start: long, end: long>>"

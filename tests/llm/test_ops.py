@@ -209,6 +209,42 @@ def test_alignment_equals_longest_common_subsequence():
         assert L.aligned(a, b, 0, 30)[0] == t[-1][-1]
 
 
+def brute_matches(words, template, least):
+    """Without overlaps, the best window first: most words in order, then the narrowest, then the first."""
+    size, out = len(template), []
+
+    def common(a, b):
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+        return t[-1][-1]
+
+    found = [(-common(template, words[a:e]), e - a, a) for a in range(len(words)) for e in range(a + 1, min(len(words), a + size + 2) + 1)]
+    for m, n, a in sorted(found):
+        if -m >= least * size and all(a + n <= x or a >= y for _, x, y in out):
+            out.append((-m, a, a + n))
+    return sorted(out, key=lambda o: o[1])
+
+
+def test_repeated_notices_are_all_found(spark):
+    short = {k: t for k, t in L.TEMPLATES if k in ("mit", "cc-by-nc-4.0", "apache-2.0")}
+    texts = ["\n".join([t] * 100) for t in short.values()]
+    rows = {r.doc_id: r.licenses for r in L.scan(docs(spark, texts)).collect()}
+    for i, (k, t) in enumerate(short.items()):
+        want = [(k, m.start(), m.end()) for m in re.finditer(re.escape(t.rstrip(".")), texts[i])]
+        assert len(want) == 100 and [(m.license, m.start, m.end) for m in rows[i]] == want and {m.coverage for m in rows[i]} == {1.0}
+    # copies with a wrong last word, and words between copies
+    rng = random.Random(11)
+    for k, t in short.items():
+        index = L.Index.of([(k, t)])
+        for _ in range(15):
+            words = []
+            for _ in range(rng.randint(2, 25)):
+                words += [*index.words[0][:-1], b"wrong" if rng.random() < 0.3 else index.words[0][-1]] + [b"x%d" % rng.randrange(99) for _ in range(rng.choice([0, 0, 0, 1, 3]))]
+            got = L.stretches(index, *index.hits(L.hashed(words), np.array([0, len(words)])), words, L.BAND, L.LEAST)
+            assert [(m, f, e) for _, m, _, f, e in got] == brute_matches(words, index.words[0], L.LEAST)
+
+
 # ---- 5 toxicity
 
 
