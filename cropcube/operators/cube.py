@@ -116,7 +116,7 @@ def nearest_cell(value: Column, origin: float, step: float) -> Column:
     return F.floor((value - origin) / step + 0.5).cast("int")
 
 
-def collocate(slave: DataFrame, origin: tuple[float, float], step: tuple[float, float], shape: tuple[int, int], values: list[str], keep: list[str]) -> DataFrame:
+def collocate(slave: DataFrame, origin: tuple[float, float], step: tuple[float, float], shape: tuple[int | Column, int | Column], values: list[str], keep: list[str]) -> DataFrame:
     """A cube on another grid by nearest place: master cell (row, col) has the slave's values, an equi-join on cell numbers
     if the slave is the finer one. Where several slave places fall on a cell the nearest to its centre wins, then the least y, x."""
     row, col = nearest_cell(F.col("y"), origin[0], step[0]), nearest_cell(F.col("x"), origin[1], step[1])

@@ -335,6 +335,12 @@ def align_left(s, d):
 _register_sql("align_left", two("SELECT g.y, g.x, t.time, b.nir FROM (SELECT DISTINCT y, x FROM a WHERE y < 3) g CROSS JOIN (SELECT DISTINCT time FROM b) t LEFT JOIN b ON b.y = g.y AND b.x = g.x AND b.time = t.time"))
 
 
+@query()
+def align_left_all(s, d):
+    """Every place of the table; ``align_left`` is the part that is compared with SQL."""
+    return C.align_left(*_two(s, d))
+
+
 @query()
 def concat_time(s, d):
     return C.concat(_two(s, d))
@@ -406,11 +412,26 @@ def collocate_nearest(s, d):
     return C.collocate(df, (0.0, 0.0), (2.0, 5.0), (20, 10), ["nir"], ["time"])
 
 
+@query()
+def collocate_nearest_all(s, d):
+    """On a master grid as large as the table; ``collocate_nearest`` is the part that is compared with SQL."""
+    df = V.px_month(s, d).where("product = 'S2'").select("time", "y", "x", "nir")
+    last = V.px(s, d).where("product = 'S2'").agg(F.max("y").alias("y"), F.max("x").alias("x"))
+    shape = tuple(last.select(C.nearest_cell(F.col(n), 0.0, step) + 1).scalar() for n, step in (("y", 2.0), ("x", 5.0)))
+    return C.collocate(df, (0.0, 0.0), (2.0, 5.0), shape, ["nir"], ["time"])
+
+
 @query("SELECT time, y + dy AS y, x + dx AS x, nir FROM px_month, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) a(dy), (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) b(dx) WHERE product = 'LC08' AND time < DATE '1996-01-01'", "px_month")
 def resample_nearest(s, d):
     return C.refine(V.px_month(s, d).where("product = 'LC08' AND time < DATE '1996-01-01'").select("time", "y", "x", "nir"), 2)
 
 
+@query()
+def resample_nearest_all(s, d):
+    """Every month of the table; ``resample_nearest`` is the part that is compared with SQL."""
+    return C.refine(V.px_month(s, d).where("product = 'LC08'").select("time", "y", "x", "nir"), 2)
+
+
 @query("SELECT product, time, y, x, arg_min(nir, (tile, part)) AS nir, arg_min(CASE WHEN mask THEN red END, (tile, part)) AS red FROM px GROUP BY ALL", "px")
 def mosaic_first(s, d):
     df = V.px(s, d).withColumn("red", B.where(F.col("mask"), F.col("red")))
