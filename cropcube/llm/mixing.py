@@ -1,9 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share the corpus' words; a target stops at REPEATS times
-its source's words and the excess is shared again. Words are dealt in equal blocks: blocks go to sources by highest quotients
-(target / (2 seats + 1)), then each source's blocks go to its shards the same way, by their words, so every quota is a whole
-number. A shard's documents lie on a ring in a seeded order, and its blocks are cut from the ring, one behind the other, from
+its source's words and the excess is shared again. Words go to sources by highest quotients (target / (2 seats + 1)), then each
+source's words go to its shards the same way, by the shards' words, so every quota is a whole number: first in equal blocks, then what is
+left in shorter last blocks, so sources of any size come to their target. A shard's documents lie on a ring in a seeded order, and its blocks are cut from the ring, one behind the other, from
 a seeded place on; a shard with more blocks than words goes round again. So words are repeated evenly, and no document beyond
 REPEATS times.
 
@@ -112,7 +112,7 @@ def mix(
     sizes = [r["size"] for r in totals]
     wanted = targets_of(sizes, [weights[i % len(weights)] for i in range(len(totals))], repeats)
     block = block_size(sum(sizes), len(sizes))
-    quota = sainte_lague(np.array(wanted), round(sum(sizes) / block), np.array([repeats * s // block for s in sizes], np.int64)) if totals else []
+    quota = sainte_lague(np.array(wanted), sum(sizes), np.array([repeats * s for s in sizes], np.int64)) if totals else []
     seats = {r.cc_src: int(q) for r, q in zip(totals, quota, strict=True)}
 
     plan = [(r.cc_src, s, t, min(SHARDS, -(-r.n // SHARD_DOCS))) for r, s, t in zip(totals, sizes, wanted, strict=True)]
@@ -124,16 +124,16 @@ def mix(
     def quotas(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cc_shard").reset_index(drop=True)
         words = pdf["cc_words"].to_numpy(np.int64)
-        pdf["cc_blocks"] = sainte_lague(words.astype(float), seats[key[0]], repeats * words // block)
+        taken = sainte_lague(words.astype(float), seats[key[0]] // block, repeats * words // block) * block
+        pdf["cc_taken"] = taken + sainte_lague(words.astype(float), seats[key[0]] - int(taken.sum()), repeats * words - taken)
         return pdf
 
     shards = dealt.groupBy("cc_src", "cc_shard").agg(F.sum("size").alias("cc_words"))
-    shards = shards.groupBy("cc_src").applyInPandas(quotas, "cc_src string, cc_shard int, cc_words long, cc_blocks long")
+    shards = shards.groupBy("cc_src").applyInPandas(quotas, "cc_src string, cc_shard int, cc_words long, cc_taken long")
 
     ring = Window.partitionBy("cc_src", "cc_shard").orderBy("cc_h", "cc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.join(shards, ["cc_src", "cc_shard"]).withColumn("cc_end", F.sum("size").over(ring)).withColumn("cc_start", F.col("cc_end") - F.col("size"))
     out = out.withColumn("cc_off", F.when(F.col("cc_words") > 0, F.pmod(F.xxhash64(F.lit(seed), "cc_src", "cc_shard"), "cc_words")).otherwise(0))
-    out = out.withColumn("cc_taken", F.col("cc_blocks") * block)
     out = out.withColumn("cc_rest", F.when(F.col("cc_words") > 0, F.pmod("cc_taken", "cc_words")).otherwise(0))
     rounds = F.when(F.col("cc_words") > 0, F.expr("cc_taken div cc_words")).otherwise(0)
     part = F.expr("greatest(0L, least(cc_end, least(cc_off + cc_rest, cc_words)) - greatest(cc_start, cc_off))")

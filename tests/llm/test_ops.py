@@ -183,6 +183,21 @@ def test_mix_meets_targets(spark):
     assert MX.mix(df.limit(0)).count() == 0
 
 
+def test_mix_serves_small_sources(spark):
+    rows = [(i, "w " * 1000, "bcd"[i % 3]) for i in range(1500)] + [(2000 + i, "w " * (1 + 14 * i), f"a{i}") for i in range(8)]
+    df = spark.createDataFrame(rows + [(3000, "", "empty")], "doc_id long, text string, source string")
+    total, size, target = collections.Counter(), collections.Counter(), {}
+    for r in MX.mix(df).collect():
+        total[r.source] += r.taken
+        size[r.source] += r["size"]
+        target[r.source] = r.target
+    assert MX.block_size(sum(size.values()), len(size)) > 100 and sum(total.values()) == sum(size.values())
+    for s in target:
+        assert abs(total[s] - target[s]) <= 1 and total[s] <= 3 * size[s] and (total[s] > 0) == (size[s] > 0)
+    few = MX.mix(spark.createDataFrame([(i, "w " * (i + 1), f"s{i}") for i in range(6)], "doc_id long, text string, source string")).collect()
+    assert all(abs(r.taken - r.target) <= 1 and r.taken > 0 for r in few) and sum(r.taken for r in few) == 21
+
+
 # ---- 4 licenses
 
 
