@@ -10,7 +10,8 @@ pairs finds those stretches by array operations and the automaton reads just the
 own bytes.
 
 Nulls: a null text, like an empty one, has no words and is never contaminated; a null item text is
-an item without windows. Repeated rows are judged one by one. Empty tables give empty results.
+an item without windows. Items with a text and a null id count for ``n_hit`` like others, and in ``items`` together as one NULL
+at the end. Repeated rows are judged one by one. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -219,13 +220,13 @@ SCHEMA = T.StructType(
 _ARROW = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, list[bytes]]]]:
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """The test items, the stated query set, in blocks of bounded size; rows come one partition at a time."""
-    block: list[tuple[str, list[bytes]]] = []
+    block: list[tuple[str | None, list[bytes]]] = []
     size = 0
     for row in benchmark.select(F.col(id_col).cast("string"), F.col(text_col)).toLocalIterator():
         words = item_words(row[1])
-        if row[0] is None or not words:
+        if not words:
             continue
         if block and size + len(words) > block_words:
             yield block
@@ -249,7 +250,7 @@ def decontaminate(
     """``docs``' columns ``keep`` (all if None) and ``n_words``, ``n_hit``, ``items``, ``spans``.
 
     ``spans`` are the hit byte spans of the text's UTF-8 form, merged and in order; ``items`` the ids of
-    items with a window in the text, sorted as strings. Columns of ``docs`` of these names are replaced.
+    items with a window in the text, sorted as strings, NULL last. Columns of ``docs`` of these names are replaced.
     Map-only: no shuffle, whatever the size of ``docs``.
     """
     ship(docs.sparkSession)
@@ -270,12 +271,12 @@ def decontaminate(
                 n_words, hits, spans = scan_batch(auto, text)
                 n = batch.num_rows
                 runs: list = [merged(hits[d][0]) if d in hits else [] for d in range(n)]
-                items: list = [sorted({auto.names[x] for x in hits[d][1]}) if d in hits else [] for d in range(n)]
+                items: list = [ordered({auto.names[x] for x in hits[d][1]}) if d in hits else [] for d in range(n)]
                 where: list = [merged(spans[d]) if d in spans else [] for d in range(n)]
                 old = batch.column(batch.schema.get_field_index("word_runs")).to_pylist() if more else None
                 if more:
                     runs = [merged([(r["start"], r["end"]) for r in o] + r0) for o, r0 in zip(old, runs, strict=True)]
-                    items = [sorted({*o, *x}) for o, x in zip(batch.column(batch.schema.get_field_index("items")).to_pylist(), items, strict=True)]
+                    items = [ordered({*o, *x}) for o, x in zip(batch.column(batch.schema.get_field_index("items")).to_pylist(), items, strict=True)]
                     where = [merged([(r["start"], r["end"]) for r in o] + r0) for o, r0 in zip(batch.column(batch.schema.get_field_index("spans")).to_pylist(), where, strict=True)]
                 data = [pa.array(n_words), pa.array([sum(e - s for s, e in r) for r in runs], pa.int64())]
                 data += [pa.array(items, _ARROW[2]), pa.array([[{"start": s, "end": e} for s, e in r] for r in where], _ARROW[3])]
@@ -292,6 +293,10 @@ def decontaminate(
     return df
 
 
+def ordered(names: set[str | None]) -> list[str | None]:
+    return sorted(names, key=lambda x: (x is None, x or ""))
+
+
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Word runs or byte spans as sorted, disjoint spans."""
     out: list[tuple[int, int]] = []

@@ -76,6 +76,25 @@ def test_decontamination_equals_brute_force(spark):
     assert empty.count() == 0 and DC.decontaminate(docs(spark, ["a b"]), bench.limit(0)).first().n_hit == 0
 
 
+def test_items_without_id_count(spark, tmp_path):
+    import duckdb
+
+    item = lambda k: " ".join(f"i{k}w{j}" for j in range(14))
+    items = [(None, item(0)), (None, item(1)), (5, item(2)), (12, item(3)), (None, None)]
+    texts = [item(0), f"{item(0)} x {item(1)}", f"{item(2)} {item(1)} {item(3)}", item(2), "clean"]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
+    for block in (10**6, 20):
+        got = {r.doc_id: (r.n_hit, r["items"]) for r in DC.decontaminate(docs(spark, texts), bench, block_words=block).collect()}
+        assert got == {0: (14, [None]), 1: (28, [None]), 2: (42, ["12", "5", None]), 3: (14, ["5"]), 4: (0, [])}
+    duck = duckdb.connect()
+    for t in ("benchmark", "documents"):
+        duck.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    want = duck.sql(QS.ORACLES["op1_decontaminate"]).project("doc_id, n_words, n_hit, n_items, items_sha256, contaminated").fetchall()
+    assert sorted(map(tuple, QS.QUERIES["op1_decontaminate"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 # ---- 2 n-gram Jaccard join
 
 
