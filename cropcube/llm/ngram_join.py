@@ -1,19 +1,24 @@
 """N-gram Jaccard join by vertical partitioning.
 
-A document is its set of distinct word n-gram fingerprints. The global order of n-grams (rarer levels first, then the
-fingerprint) is cut into fragments; in each fragment the shared n-grams of every pair are counted on their own, and the
-partial counts are summed per pair. Only a prefix of each set takes part: two sets of Jaccard t or more share at
-least L n-grams among the first ``n - ceil(t n) + L`` of each (L grows with n), so the sum per pair decides which pairs are
-compared in full. Nothing is capped, and no pair with the similarity is missed.
-
-Groups of copies never become all their pairs. Equal sets are one node from the start. Near copies meet, by the least
-n-gram of each of a few fragments, one centre per meeting point; the pairs with a centre that reach the similarity
-give first components, and the exact search then only looks at pairs between *different* components.
-
-An n-gram that more than CROWD sets have in their prefixes emits no pairs either: it ties each of its sets to the first one.
-Ties between components make families of components, so any two sets of different components that share such an n-gram are of
-one family. Families' tied sets are compared in blocks: each block against each, whole sets in the task, and only links that
-join components come out. Ties meet by joins, so an n-gram of a third of all sets is no group of one task.
+A document is its set of distinct word n-gram fingerprints; equal sets are one node from the start. The global order of n-grams
+(rarer levels first, then the fingerprint) is cut into fragments: every set is cut with them, the overlap of a pair is counted in
+each fragment on its own, and the partial counts are summed per pair. A pair is a link if its sum reaches the similarity
+(``links``); nothing else makes links.
+
+Which pairs are counted follows from the same order. Sets of na and nb n-grams with the similarity t share t (na + nb) / (1 + t)
+of them or more, so they share one that stands at most ``n - t (na + nb) / (1 + t)`` places from the start of both. An entry of the
+index is an n-gram of such a prefix with the greatest size of a partner that it still serves (``top``): a pair is asked for where
+each one's size is within the other's ``top``. No pair with the similarity is missed, and nothing is capped.
+
+Groups of near copies never become all their pairs. First each set is counted against two members of each of its postings (the
+one with the fewest rare n-grams, and one by hash); the links found so make components, which is linear in the entries. Then only
+pairs of *different* components are left, and of those only pairs whose parity bits differ in few enough places (each n-gram
+flips one bit of its set, so two sets differ in at least as many n-grams as bits). Without the first step (``stars=False``) the
+components are the same; it is the plan for groups of copies.
+
+N-grams of very many sets are dealt out: by the hash of the set while the index is made, and in blocks of BLOCK sets when pairs are
+looked for, so that no task holds such an n-gram. What is left is quadratic in one case only: sets that share nearly all of the
+n-grams asked for, are of different components and yet are not similar.
 
 Texts are read again in each pass instead of being kept as sets: reading costs less than the disk.
 """
@@ -29,23 +34,26 @@ from pyspark.sql import functions as F
 
 from cropcube.llm import kernels as K
 from cropcube.llm.graph import components
-from cropcube.llm.shared import Scratch, Sparse, bitmap, partitions
+from cropcube.llm.shared import Scratch, Sparse, bitmap, ranges_of
 from cropcube.session import ship
 
 WORDS = 5
 #: Similarity as a fraction of whole numbers: 75 / 100.
 NUM, DEN = 75, 100
-#: Fragments whose least n-gram is a meeting point, of the 16 that the sketch has.
-MEETINGS = 6
+#: Fragments of the global order: all but the last are of n-grams of level 0, by fingerprint; the last has the frequent ones.
+FRAGMENTS = 4
+#: Bits of a set's parity.
+PARITY = 1024
 #: Cells of the table of levels (bytes of the broadcast), and bits of an n-gram that are counted.
 LEVEL_BITS = 24
 COUNT_BITS = 34
 #: Document frequency from which n-grams have a level above 0: 16, then each power of two.
 LEVEL_FROM = 4
 FILTER_BITS = 26
-#: Sets beyond which an n-gram ties its sets into a family, and sets of a family's block.
-CROWD = 16
-BLOCK = 384
+#: Level from which an n-gram's entries are dealt out by their sets' hash: 2**SALT_FROM of them or so to a task.
+SALT_FROM = 10
+#: Sets of a block of an n-gram's entries.
+BLOCK = 256
 CHUNK = 1_500_000
 
 
@@ -76,21 +84,16 @@ def set_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(h: np.ndarray, at: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray]:
-    """Least n-gram of each of the first ``num`` of 16 fragments (0 where none), and 4 bits of each of the 16."""
-    n = len(at) - 1
-    least = np.zeros((n, num), np.uint64)
-    nibbles = np.zeros(n, np.uint64)
-    if len(h):
-        doc = np.repeat(np.arange(n), np.diff(at))
-        frag = (h >> np.uint64(60)).astype(np.int64)
-        new = np.ones(len(h), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (frag[1:] != frag[:-1])
-        d, f, v = doc[new], frag[new], h[new]
-        np.bitwise_or.at(nibbles, d, ((v >> np.uint64(20)) & np.uint64(15)) << (f.astype(np.uint64) * np.uint64(4)))
-        ok = f < num
-        least[d[ok], f[ok]] = v[ok]
-    return least, nibbles
+def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A row of PARITY bits for each set, as bytes: bit k is the parity of the n-grams of cell k."""
+    out = [np.zeros((0, PARITY // 8), np.uint8)]
+    for i in range(0, len(at) - 1, 4096):
+        part = at[i : i + 4097]
+        n = len(part) - 1
+        cell = ((h[part[0] : part[-1]] >> np.uint64(7)) % np.uint64(PARITY)).astype(np.int64)
+        cell += np.repeat(np.arange(n), np.diff(part)) * PARITY
+        out.append(np.packbits(np.bincount(cell, minlength=n * PARITY).reshape(n, PARITY).astype(np.uint8) & 1, axis=1))
+    return np.concatenate(out)
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -102,20 +105,12 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0)
             for i, j, h, at in sets_of(batch.column(1), k):
-                least, nibbles = sketches(h, at, MEETINGS)
                 n = np.diff(at)
-                sid = set_ids(h, at)
-                flat = pa.array(least.reshape(-1).view(np.int64), mask=least.reshape(-1) == 0)
-                meets = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * MEETINGS, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i), pa.array(n), pa.array(sid.view(np.int64), mask=n == 0), signed(nibbles), meets],
-                    ["id", "n", "sid", "sketch", "meets"],
-                )
+                bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 8)), pa.py_buffer(parities(h, at))])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(set_ids(h, at).view(np.int64), mask=n == 0), bits], ["id", "n", "sid", "parity"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, f"id {kind}, n long, sid long, sketch long, meets array<long>"
-    )
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, sid long, parity binary")
 
 
 def by_range(values: np.ndarray, bits: int, ranges: int) -> np.ndarray:
@@ -130,7 +125,7 @@ def levels(docs: DataFrame, text_col: str, k: int, spark: SparkSession) -> np.nd
     All n-grams of all documents are counted, each range of them in one task; the tasks return fixed-size parts of
     the table, so what reaches the driver and is sent back does not grow with the data.
     """
-    ranges = partitions(spark)
+    ranges = ranges_of(docs)
 
     def emit(batches):
         held, size = [], 0
@@ -199,43 +194,59 @@ def unsqueeze(x: bytes) -> bytes:
 
 
 def spare(n: np.ndarray) -> np.ndarray:
-    """L: how many shared n-grams of the prefixes are asked for."""
-    return 1 + n // 24
+    """How many shared n-grams of the prefixes a pair needs to be counted."""
+    return np.ones_like(n)
+
 
+def prefixes(h: np.ndarray, at: np.ndarray, table: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n-grams of every set in the global order, as long as the smallest partner asks for, and whose they are."""
+    return entries_of(h, at, table, num, den)[:2]
 
-def prefix_length(n: np.ndarray, num: int, den: int) -> np.ndarray:
-    return np.minimum(n, n - -(-num * n // den) + spare(n))
 
+def entries_of(h: np.ndarray, at: np.ndarray, table: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first n-grams of every set in the global order (level, fingerprint), whose they are, and their ``top``.
 
-def prefixes(h: np.ndarray, at: np.ndarray, table: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n-grams of every set in the global order (level, fingerprint), and whose they are."""
+    ``top`` is the greatest size of a set that can have the similarity and shares no n-gram of an earlier place; n-grams whose
+    ``top`` is under the least size of any partner are left out.
+    """
     n = np.diff(at)
-    want = prefix_length(n, num, den)
+    want = n - -(-num * n // den) + spare(n)  # places up to the one that the smallest partner needs
+    want[n == 0] = 0
     level = table[(h >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)]
     cold = level == 0
     total = np.concatenate([[0], np.cumsum(cold)])
     have = total[at[1:]] - total[at[:-1]]
     doc = np.repeat(np.arange(len(n)), n)
-    take = cold & (total[1:] - total[at[:-1]][doc] <= want[doc])
+    place = total[1:] - total[at[:-1]][doc] - 1
+    take = cold & (place < want[doc])
     for d in np.flatnonzero(have < want).tolist():
         a, b = at[d], at[d + 1]
         order = np.argsort(level[a:b], kind="stable")[: want[d]]  # h is sorted: equal levels stay in order
         take[a:b] = False
         take[a + order] = True
-    return h[take], doc[take]
+        place[a + order] = np.arange(len(order))
+    doc, place = doc[take], place[take]
+    return h[take], doc, (num + den) * (n[doc] - place) // num - n[doc]
 
 
-def shared_grams(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spark: SparkSession) -> DataFrame:
-    """``(gram, sid, first)`` of the n-grams that two or more sets have in their prefixes; where more than CROWD sets have it,
-    ties: ``first`` is the least of them and ``gram`` is null."""
-    ranges = partitions(spark)
+def index(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spark: SparkSession) -> DataFrame:
+    """``(gram, sid, n, top)`` of the n-grams that two or more sets have in their prefixes."""
+    ranges = ranges_of(docs)
 
     def emit(batches):
         held, size = [], 0
         for batch in batches:
             for _, _, h, at in sets_of(batch.column(0), k):
-                g, d = prefixes(h, at, table.value.get(), num, den)
-                held.append((g >> np.uint64(16), set_ids(h, at)[d]))
+                sid = set_ids(h, at)
+                g, d, top = entries_of(h, at, table.value.get(), num, den)
+                first = np.zeros(len(sid), bool)
+                first[np.unique(sid, return_index=True)[1]] = True
+                keep = first[d]  # copies of a set are one
+                g, d, top = g[keep], d[keep], top[keep]
+                level = table.value.get()[(g >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.int64) + LEVEL_FROM - 1
+                salt = (sid[d] >> np.uint64(40)).astype(np.int64) % (1 << np.maximum(0, level - SALT_FROM))
+                salt[level >= SALT_FROM] += 1
+                held.append((g, salt, sid[d], np.diff(at)[d], top))
                 size += len(g)
                 if size >= CHUNK:
                     yield packed(held)
@@ -244,222 +255,197 @@ def shared_grams(docs: DataFrame, text_col: str, k: int, num: int, den: int, tab
             yield packed(held)
 
     def packed(held):
-        g, s = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(g, kind="stable")
-        g, s = g[order], s[order]
-        edge = by_range(g, 48, ranges)
-        rows = [(r, a, b) for r, (a, b) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)) if b > a]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _, _ in rows], pa.int32()), pa.array([K.pack(g[a:b]) for _, a, b in rows], pa.binary()), pa.array([s[a:b].tobytes() for _, a, b in rows], pa.binary())],
-            ["r", "grams", "sids"],
-        )
+        g, salt, s, n, top = (np.concatenate(x) for x in zip(*held, strict=True))
+        r = (g >> np.uint64(32)).astype(np.int64) * ranges >> 32
+        order = np.lexsort((g, salt, r))
+        g, salt, r, s, n, top = (x[order] for x in (g, salt, r, s, n, top))
+        new = np.flatnonzero(np.concatenate([np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (salt[1:] != salt[:-1])]))
+        ends = [*new[1:].tolist(), len(r)]
+        rows = list(zip(new.tolist(), ends, strict=True))
+        raw = lambda x: pa.array([x[a:b].tobytes() for a, b in rows], pa.binary())
+        grams = pa.array([K.pack(g[a:b]) for a, b in rows], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(r[new]), pa.array(salt[new]), grams, raw(s), raw(n.astype(np.uint32)), raw(top.astype(np.uint32))], ["r", "salt", "grams", "sids", "ns", "tops"])
 
     def met(part: pa.Table) -> pa.Table:
+        raw = lambda c, kind: np.concatenate([np.frombuffer(b.as_py(), kind) for b in part.column(c)])
         g = np.concatenate([K.unpack(b.as_py()) for b in part.column("grams")])
-        s = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in part.column("sids")])
+        s, n, top = raw("sids", np.uint64), raw("ns", np.uint32).astype(np.int64), raw("tops", np.uint32).astype(np.int64)
         order = np.lexsort((s, g))
-        g, s = g[order], s[order]
+        g, s, n, top = g[order], s[order], n[order], top[order]
         new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])  # copies of a set are one
-        g, s = g[new], s[new]
-        edge = np.concatenate([[True], g[1:] != g[:-1], [True]])
-        start = np.flatnonzero(edge[:-1])
-        size = np.diff(np.append(start, len(g)))
-        each = np.repeat(size, size)
-        few, crowd = (each > 1) & (each <= CROWD), each > CROWD
-        ties = np.unique(np.stack([s[np.repeat(start, size)][crowd], s[crowd]], axis=1), axis=0)
-        none = pa.nulls(len(ties), pa.int64())
-        gram = pa.concat_arrays([signed(g[few]), none])
-        sid = np.concatenate([s[few], ties[:, 1]])
-        return pa.table({"gram": gram, "sid": signed(sid), "first": pa.concat_arrays([pa.nulls(int(few.sum()), pa.int64()), signed(ties[:, 0])])})
-
-    return (
-        docs.select(F.col(text_col).cast("string"))
-        .mapInArrow(emit, "r int, grams binary, sids binary")
-        .groupBy("r")
-        .applyInArrow(met, "gram long, sid long, first long")
-    )
+        new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
+        g, s, n, top = g[new], s[new], n[new], top[new]
+        if part.column("salt")[0].as_py() == 0:  # all entries of these n-grams are here
+            for _ in range(2):
+                keep = served(g, n, top)
+                g, s, n, top = g[keep], s[keep], n[keep], top[keep]
+        return pa.table({"gram": signed(g), "sid": signed(s), "n": pa.array(n), "top": pa.array(top)})
 
+    kinds = "r long, salt long, grams binary, sids binary, ns binary, tops binary"
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(emit, kinds).groupBy("r", "salt").applyInArrow(met, "gram long, sid long, n long, top long")
 
-def mixed_groups(g: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by n-gram and component, and start and size of the n-grams whose sets are of several components."""
-    order = np.lexsort((c, g))
+
+def served(g: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Entries, sorted by n-gram, that another one of their n-gram can stand against."""
     if not len(g):
-        return order, order, order
-    g, c = g[order], c[order]
+        return np.zeros(0, bool)
     start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-    end = np.concatenate([start[1:], [len(g)]])
-    mixed = c[start] != c[end - 1]
-    return order, start[mixed], (end - start)[mixed]
+    size = np.diff(np.append(start, len(g)))
+    spread = lambda x: np.repeat(x, size)
+    return (spread(size) > 1) & (top >= spread(np.minimum.reduceat(n, start))) & (n <= spread(np.maximum.reduceat(top, start)))
+
+
+def star_pairs(entries: DataFrame) -> DataFrame:
+    """``(a, b)``: every entry with two members of its posting, where their sizes serve each other."""
+    member = F.struct("sid", "n", "top")
+    by_hash = F.xxhash64("sid")
+    heads = entries.groupBy("gram").agg(
+        F.min(F.struct((F.col("n") - F.col("top")).alias("off"), by_hash.alias("h"), member.alias("m"))).alias("c"), F.min(F.struct(by_hash.alias("h"), member.alias("m"))).alias("d")
+    )
+    both = entries.join(heads, "gram").select("sid", "n", "top", F.explode(F.array("c.m", "d.m")).alias("m"))
+    both = both.where("sid <> m.sid AND n <= m.top AND m.n <= top")
+    return both.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
+
 
+def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """``(a, b)``: all pairs of different components that share an entry, serve each other and whose parities are near enough.
 
-def crossing_pairs(order, start, size, n: np.ndarray, c: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
-    """Entries that share an n-gram, are of different components and near enough in size: runs of index pairs."""
-    for k in np.unique(size).tolist():
+    In a posting the entries of its main component only stand against the others (``odd``). Where a posting has more entries than
+    BLOCK, blocks of the odd ones meet blocks of all.
+    """
+    rooted = entries.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+    rooted = scratch.table(rooted)
+    main = F.min_by("root", F.struct(F.col("n") - F.col("top"), F.xxhash64("root"))).alias("main")
+    heads = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), main, F.min("n").alias("low"), F.max("top").alias("high")).where("r0 <> r1")
+    live = rooted.join(heads.select("gram", "main", "low", "high"), "gram").where("top >= low AND n <= high")
+    live = scratch.table(live.select("gram", "sid", "n", "top", "root", (F.col("root") != F.col("main")).alias("odd")))
+    blocks = lambda c: F.expr(f"cast(pow(2, greatest(0, ceil(log2({c} / {BLOCK})))) as int)")
+    size = live.groupBy("gram").agg(F.count("*").alias("k"), F.count_if("odd").alias("o")).where("k > 1 AND o > 0").select("gram", blocks("o").alias("bo"), blocks("k").alias("bk"))
+    h = F.xxhash64("sid")
+    alone = F.col("bk") == 1
+    none = F.expr("cast(array() as array<struct<i: int, j: int, side: int>>)")
+    deal = lambda many, i, j, side: F.transform(F.sequence(F.lit(0), F.col(many) - 1), lambda x: F.struct(i(x).cast("int").alias("i"), j(x).cast("int").alias("j"), F.lit(side).alias("side")))
+    as_odd = deal("bk", lambda x: F.pmod(h, "bo"), lambda x: x, 0)
+    as_any = deal("bo", lambda x: x, lambda x: F.pmod(h, "bk"), 1)
+    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
+    dealt = live.join(size, "gram").withColumn("to", F.explode(F.when(alone, one).otherwise(F.concat(F.when(F.col("odd"), as_odd).otherwise(none), as_any))))
+    ranges = ranges_of(rooted)
+    dealt = dealt.select(F.shiftright(F.shiftrightunsigned("gram", 32) * ranges, 32).alias("r"), "to.i", "to.j", "to.side", "gram", "sid", "n", "top", "root").join(parity, "sid")
+
+    def found(part: pa.Table) -> pa.Table:
+        gram, sid, n, top, root, side = (part.column(c).to_numpy() for c in ("gram", "sid", "n", "top", "root", "side"))
+        bits = np.frombuffer(b"".join(part.column("parity").to_pylist()), np.uint64).reshape(len(gram), -1)
+        kinds, row, ident = np.unique(sid, return_index=True, return_inverse=True)
+        keys = [np.zeros(0, np.int64)]
+        held = 0
+        for a, b in index_pairs(gram, side):
+            ok = (root[a] != root[b]) & (n[a] <= top[b]) & (n[b] <= top[a])
+            a, b = ident[a[ok]], ident[b[ok]]
+            keys.append(np.minimum(a, b) * len(kinds) + np.maximum(a, b))
+            held += len(a)
+            if held > 4_000_000:
+                keys, held = [np.unique(np.concatenate(keys))], 0
+        every = np.unique(np.concatenate(keys))
+        out = []
+        for x in range(0, len(every), 1 << 17):
+            a, b = every[x : x + (1 << 17)] // len(kinds), every[x : x + (1 << 17)] % len(kinds)
+            a, b = row[a], row[b]
+            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
+            out.append(np.stack([a, b])[:, (num + den) * differ <= (den - num) * (n[a] + n[b])])
+        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.table({"a": pa.array(np.minimum(sid[a], sid[b])), "b": pa.array(np.maximum(sid[a], sid[b]))})
+
+    return dealt.groupBy("r", "i", "j").applyInArrow(found, "a long, b long").distinct()
+
+
+def index_pairs(gram: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the same n-gram against each other (side 2), or of side 0 against side 1: runs of pairs of rows."""
+    order = np.lexsort((side, gram))
+    if not len(order):
+        return
+    g, s = gram[order], side[order]
+    start = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    size = np.diff(np.append(start, len(g)))
+    whole = s[start] == 2
+    for k in np.unique(size[whole]).tolist():
         i, j = np.triu_indices(k, 1)
-        at = start[size == k]
-        step = max(1, 2_000_000 // len(i))
+        at = start[whole & (size == k)]
+        step = max(1, 2_000_000 // max(1, len(i)))
         for x in range(0, len(at), step):
             base = at[x : x + step, None]
-            a, b = order[(base + i).ravel()], order[(base + j).ravel()]
-            ok = (c[a] != c[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
-            yield np.stack([a[ok], b[ok]])
-
-
-def partial_counts(entries: DataFrame, num: int, den: int, spark: SparkSession) -> DataFrame:
-    """``(a, b, na, nb, part)``: of each fragment, how many n-grams a pair of different components shares in it."""
-    ranges = partitions(spark)
-
-    def count(part: pa.Table) -> pa.Table:
-        col = {x: part.column(x).to_numpy() for x in ("gram", "sid", "n", "root")}
-        found: list[np.ndarray] = []
-        s = col["sid"]
-        kinds, ident = np.unique(s, return_inverse=True)
-        size = np.zeros(len(kinds), np.int64)
-        size[ident] = col["n"]
-        held = 0
-        total: tuple[np.ndarray, np.ndarray] | None = None
-
-        def fold():
-            nonlocal found, held, total
-            keys = np.concatenate(found) if found else np.zeros(0, np.int64)
-            u, k = np.unique(keys, return_counts=True)
-            if total is not None:
-                u2 = np.concatenate([total[0], u])
-                k2 = np.concatenate([total[1], k])
-                u, inv = np.unique(u2, return_inverse=True)
-                k = np.bincount(inv, k2, len(u)).astype(np.int64)
-            total, found, held = (u, k), [], 0
-
-        order, start, members = mixed_groups(col["gram"], col["root"])
-        for pairs in crossing_pairs(order, start, members, col["n"], col["root"], num, den):
-            i, j = ident[pairs[0]], ident[pairs[1]]
-            lo, hi = np.minimum(i, j), np.maximum(i, j)
-            found.append(lo.astype(np.int64) * len(kinds) + hi)
-            held += len(lo)
-            if held > 4_000_000:
-                fold()
-        fold()
-        lo, hi = total[0] // max(1, len(kinds)), total[0] % max(1, len(kinds))
-        cols = (kinds[lo], kinds[hi], size[lo], size[hi], total[1].astype(np.int64))
-        return pa.table({x: pa.array(y) for x, y in zip(("a", "b", "na", "nb", "part"), cols, strict=True)})
-
-    return (
-        entries.withColumn("r", (F.shiftright("gram", 16) * ranges / F.lit(1 << 32)).cast("int"))
-        .groupBy("r")
-        .applyInArrow(count, "a long, b long, na long, nb long, part long")
-    )
+            yield order[(base + i).ravel()], order[(base + j).ravel()]
+    for a, k in zip(start[~whole].tolist(), size[~whole].tolist(), strict=True):
+        cut = a + int(np.searchsorted(s[a : a + k], 1))
+        x, y = np.meshgrid(order[a:cut], order[cut : a + k], indexing="ij")
+        yield x.ravel(), y.ravel()
 
 
-def sets_for(ids: DataFrame, docs: DataFrame, text_col: str, k: int, scratch: Scratch) -> DataFrame:
-    """``(sid, grams)``: the sets (48 bits of each n-gram) of the ids in column ``sid``, read from the texts again."""
+def pieces_of(ids: DataFrame, docs: DataFrame, text_col: str, k: int, table, scratch: Scratch) -> DataFrame:
+    """``(sid, f, n, grams)``: the sets of the ids in column ``sid``, cut by fragment, read from the texts again."""
     ids = scratch.table(ids.distinct())
     wanted = docs.sparkSession.sparkContext.broadcast(bitmap(ids, F.col("sid"), FILTER_BITS))
 
     def emit(batches):
         for batch in batches:
             seen: set[int] = set()
-            found, blobs = [], []
+            rows: list[tuple[int, int, int, bytes]] = []
             for _, _, h, at in sets_of(batch.column(0), k):
                 sid = set_ids(h, at)
                 for d in np.flatnonzero(wanted.value.holds(sid) & (sid != 0)).tolist():
-                    if (x := int(sid[d])) not in seen:
+                    if (x := int(sid.view(np.int64)[d])) not in seen:
                         seen.add(x)
-                        found.append(x)
-                        blobs.append(K.pack(h[at[d] : at[d + 1]] >> np.uint64(16)))
-            yield pa.RecordBatch.from_arrays([signed(np.array(found, np.uint64)), pa.array(blobs, pa.binary())], ["sid", "grams"])
-
-    sets = docs.select(F.col(text_col).cast("string")).mapInArrow(emit, "sid long, grams binary")
-    out = scratch.table(sets.join(ids, "sid", "left_semi").groupBy("sid").agg(F.first("grams").alias("grams")))
+                        one = h[at[d] : at[d + 1]]
+                        f = fragment_of(one, table.value.get())
+                        rows += [(x, y, len(one), K.pack(one[f == y])) for y in np.unique(f).tolist()]
+            columns = [[r[c] for r in rows] for c in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["sid", "f", "n", "grams"])
+
+    sets = docs.select(F.col(text_col).cast("string")).mapInArrow(emit, "sid long, f long, n long, grams binary")
+    out = scratch.table(sets.join(ids, "sid", "left_semi").groupBy("sid", "f").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
     wanted.destroy()
     return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Of pairs (a, b) of set ids those whose sets reach the similarity, by the sets themselves."""
-    both = (
-        pairs.select("a", "b")
-        .join(sets.select(F.col("sid").alias("b"), F.col("grams").alias("gb")), "b")
-        .join(sets.select(F.col("sid").alias("a"), F.col("grams").alias("ga")), "a")
-        .select("a", "b", "ga", "gb")
-    )
+def fragment_of(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The fragment of the global order that an n-gram is in."""
+    cold = ((h >> np.uint64(32)) * np.uint64(FRAGMENTS - 1) >> np.uint64(32)).astype(np.int64)
+    return np.where(table[(h >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)] > 0, FRAGMENTS - 1, cold)
 
-    def compare(batches):
+
+def links(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, num: int, den: int, table, scratch: Scratch) -> DataFrame:
+    """Of pairs (a, b) of set ids those with the similarity: overlaps are counted in each fragment and summed per pair."""
+
+    pairs = scratch.table(pairs)
+    pieces = pieces_of(pairs.select(F.explode(F.array("a", "b")).alias("sid")), docs, text_col, k, table, scratch)
+    of = lambda c: pieces.select(F.col("sid").alias(c), "f", F.col("n").alias("n" + c), F.col("grams").alias("g" + c))
+    both = pairs.join(of("a"), "a").join(of("b"), ["b", "f"]).select("a", "b", "na", "nb", "ga", "gb")
+
+    def count(batches):
         for batch in batches:
-            last, mine = None, None
-            ok = []
-            for a, ga, gb in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:
-                    last, mine = a, K.unpack(ga.as_py())
-                other = K.unpack(gb.as_py())
-                both = len(np.intersect1d(mine, other, assume_unique=True))
-                ok.append(den * both >= num * (len(mine) + len(other) - both))
-            mask = pa.array(ok, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
-
-    return both.mapInArrow(compare, "a long, b long")
-
-
-def members_of(ties: DataFrame, known: DataFrame, scratch: Scratch) -> DataFrame:
-    """``(sid, n, root, family, blocks, block)`` of the tied sets whose components are in families of several."""
-    ties = scratch.table(ties.where("first IS NOT NULL").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct())
-    end = lambda c: known.select(F.col("sid").alias(c), F.col("root").alias("r" + c))
-    edges = ties.join(end("b"), "b").join(end("a"), "a").where("ra <> rb").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    families = components(edges, scratch).select(F.col("node").alias("root"), F.col("root").alias("family"))
-    tied = ties.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    members = scratch.table(tied.join(known, "sid").join(families, "root").select("sid", "n", "root", "family"))
-    size = members.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    return members.join(size, "family").withColumn("block", F.pmod(F.xxhash64("sid"), "blocks").cast("int"))
-
-
-def family_links(members: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links between components inside families: every block of a family is compared with every block, itself included."""
-    dealt = members.join(sets, "sid").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "sid", "n", "root", "block", "grams")
-
-    def test(table: pa.Table) -> pa.Table:
-        sid, n, root, block = (table.column(x).to_numpy() for x in ("sid", "n", "root", "block"))
-        grams = [K.unpack(x.as_py()) for x in table.column("grams")]
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        row = np.repeat(np.arange(len(grams)), [len(x) for x in grams])
-        _, col, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
-        common = count > 1  # n-grams of one set alone add to no overlap
-        at = (np.cumsum(common) - 1)[col]
-        use = common[col]
-        row, at = row[use], at[use]
-        order = np.argsort(at, kind="stable")
-        row, at = row[order], at[order]
-        overlap = np.zeros((len(left), len(right)), np.float32)
-        width = 4096
-        for c in range(0, int(common.sum()), width):
-            a, b = np.searchsorted(at, [c, c + width])
-            x = np.zeros((len(grams), width), np.float32)
-            x[row[a:b], at[a:b] - c] = 1
-            overlap += x[left] @ x[right].T
-        share = overlap.astype(np.int64)
-        ok = den * share >= num * (n[left][:, None] + n[right][None, :] - share)
-        a, b = np.nonzero(ok & (root[left][:, None] != root[right][None, :]))
-        a, b, label = left[a], right[b], root.copy()
-        links = []
-        while len(a):  # only links that join components that no link found here has joined
-            links.append((sid[a[0]], sid[b[0]]))
-            label[label == label[b[0]]] = label[a[0]]
-            still = label[a] != label[b]
-            a, b = a[still], b[still]
-        found = np.array(links, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(found[:, 0]), "b": pa.array(found[:, 1])})
-
-    return dealt.groupBy("family", "i", "j").applyInArrow(test, "a long, b long")
+            last, mine, part = None, None, []
+            for ga, gb in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+                if ga != last:
+                    last, mine = ga, K.unpack(ga)
+                other = K.unpack(gb)
+                at = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                part.append(int((mine[at] == other).sum()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(part, pa.int64())], ["a", "b", "na", "nb", "part"])
+
+    parts = both.mapInArrow(count, "a long, b long, na long, nb long, part long")
+    total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
+    return scratch.table(total.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = NUM, den: int = DEN
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, num: int = NUM, den: int = DEN, stars: bool = True
 ) -> DataFrame:
     """``(id, n, component)`` for every row: its set's size, and the least id that links of Jaccard num/den reach.
 
-    A null or blank text has the empty set: n 0, linked with nothing, its component its own id. Rows are judged one by one,
-    so a repeated row is a copy of the first. Null ids take part; the least id ignores them. Only the two columns named are read.
+    A null or blank text has the empty set: n 0, linked with nothing, its component its own id. A text of fewer than k words, but
+    not none, is one n-gram; a text of any length is taken whole. Rows are judged one by one, so a repeated row is a copy of the
+    first; of equal least ids it does not matter which row has it. Null ids take part; the least id ignores them. Only the two
+    columns named are read, so other columns of any name are no matter. An empty table gives no rows. Sets and n-grams are
+    64-bit fingerprints, so results are right but for collisions of those.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -467,42 +453,23 @@ def jaccard_components(
         raise ValueError("the similarity is num/den, above 0 and at most 1")
     scratch = Scratch(spark, "ngram-join")
     told = scratch.table(described(docs, id_col, text_col, k))
-    sets = scratch.table(told.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("meets").alias("meets")))
-
-    # 1. near copies by meeting points: one centre each
-    keyed = sets.select("sid", "n", "sketch", F.explode("meets").alias("key")).where("key IS NOT NULL")
-    centre = keyed.groupBy("key").agg(F.min(F.struct("sid", "n", "sketch")).alias("c"), F.count("*").alias("k")).where("k > 1").select("key", "c")
-    off = F.col("sketch").bitwiseXOR(F.col("c.sketch"))
-    off = off.bitwiseOR(F.shiftrightunsigned(off, 1))
-    off = off.bitwiseOR(F.shiftrightunsigned(off, 2)).bitwiseAND(F.lit(0x1111111111111111))
-    near = (
-        keyed.join(centre, "key")
-        .where((F.col("sid") != F.col("c.sid")) & (F.bit_count(off) <= 8) & (F.least("n", "c.n") * den >= F.greatest("n", "c.n") * num))
-        .select(F.col("c.sid").alias("a"), F.col("sid").alias("b"))
-        .distinct()
-    )
-    near = scratch.table(near)
-    ends = F.explode(F.array("a", "b")).alias("sid")
-    first = verified(near, sets_for(near.select(ends), docs, text_col, k, scratch), num, den)
+    table = spark.sparkContext.broadcast(Sparse(levels(docs, text_col, k, spark)))
+    entries = scratch.table(index(docs, text_col, k, num, den, table, spark))
+
+    # groups of near copies: entries against two members of their postings
+    first = spark.createDataFrame([], "a long, b long")
+    if stars:
+        first = links(star_pairs(entries), docs, text_col, k, num, den, table, scratch)
     roots = scratch.table(components(first, scratch))
 
-    # 2. exact: partial overlaps of prefixes by fragment, between components
-    table = spark.sparkContext.broadcast(Sparse(levels(docs, text_col, k, spark)))
-    grams = shared_grams(docs, text_col, k, num, den, table, spark)
-    known = scratch.table(sets.select("sid", "n").join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("sid", "n", F.coalesce("root", "sid").alias("root")))
-    grams = scratch.table(grams)
+    # all pairs that are left, between components
+    bits = scratch.table(told.where("n > 0").groupBy("sid").agg(F.first("parity").alias("parity")))
+    second = links(crossing_pairs(entries, roots, bits, num, den, scratch), docs, text_col, k, num, den, table, scratch)
     table.destroy()
-    parts = partial_counts(grams.where("gram IS NOT NULL").select("gram", "sid").join(known, "sid"), num, den, spark)
-    least = F.floor(F.least("na", "nb") / 24) + 1
-    pairs = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("shared")).where(F.col("shared") >= least)
-    pairs = scratch.table(pairs.select("a", "b"))
-    members = scratch.table(members_of(grams, known, scratch))
-    whole = sets_for(pairs.select(ends).union(members.select("sid")), docs, text_col, k, scratch)
-    second = verified(pairs, whole, num, den).union(family_links(members, whole, num, den))
-
-    # 3. components of all links, and the least id of each
-    links = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(second)
-    final = components(links, scratch).select(F.col("node").alias("sid"), "root")
+
+    # components of all links, and the least id of each
+    known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+    final = components(known.union(second), scratch).select(F.col("node").alias("sid"), "root")
     rows = told.select("id", "n", "sid").join(final, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rows = scratch.table(rows.select("id", "n", "root"))
     # written, so that the join has plain inputs and a large component can be split

@@ -60,6 +60,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def ranges_of(df: DataFrame) -> int:
+    """Ranges of keys that ``df`` is dealt into: two for each shuffle partition, and one for each input partition at least.
+
+    An input partition has a bounded size, so a range has one too, however many rows there are.
+    """
+    return max(2 * partitions(df.sparkSession), df._jdf.queryExecution().toRdd().getNumPartitions())
+
+
 class Sparse:
     """An array that travels compressed and is unpacked once in each process: tables here are mostly zeros."""
 

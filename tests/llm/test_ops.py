@@ -139,6 +139,44 @@ def test_components_equal_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("block", [256, 8])
+def test_sums_alone_give_the_components(spark, monkeypatch, block):
+    """Near copies of one text, many of them too far apart to be links: with and without the first step, in blocks or not."""
+    rng = random.Random(17)
+    base = [f"w{rng.randrange(4000)}" for _ in range(140)]
+    texts = [edited(rng, base, rng.randint(0, 8)) for _ in range(150)] + [edited(rng, base[:110], rng.randint(0, 3)) for _ in range(30)] + EDGES
+    want = brute_components(texts)
+    monkeypatch.setattr(NJ, "BLOCK", block)
+    monkeypatch.setattr(NJ, "SALT_FROM", 10 if block == 256 else 5)
+    for stars in (True, False):
+        got = {r.id: (r.n, r.component) for r in NJ.jaccard_components(docs(spark, texts), stars=stars).collect()}
+        assert got == want
+
+
+def test_entries_serve_every_link():
+    """Two sets with the similarity share an n-gram whose entries allow each other's size, whatever the order; parities do not rule them out."""
+    rng = np.random.default_rng(3)
+    table = np.zeros(1 << NJ.LEVEL_BITS, np.uint8)
+    table[rng.integers(0, len(table), len(table) // 3)] = rng.integers(1, 9, len(table) // 3)
+    links = 0
+    for _ in range(400):
+        a = np.unique(rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64) * np.uint64(2))
+        keep = a[rng.random(len(a)) > rng.random() * 0.3]
+        b = np.unique(np.concatenate([keep, rng.integers(0, 2**63, rng.integers(0, 40), dtype=np.uint64) * np.uint64(2)]))
+        both = len(np.intersect1d(a, b))
+        if not len(b) or 100 * both < 75 * (len(a) + len(b) - both):
+            continue
+        links += 1
+        h, at = np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)])
+        g, d, top = NJ.entries_of(h, at, table, 75, 100)
+        left, right = (dict(zip(g[d == x].tolist(), top[d == x].tolist(), strict=True)) for x in (0, 1))
+        assert any(left[x] >= len(b) and right[x] >= len(a) for x in left.keys() & right.keys())
+        x, y = NJ.parities(h, at)
+        assert 175 * int(np.bitwise_count(x ^ y).sum()) <= 25 * (len(a) + len(b))
+        assert sum(len(np.intersect1d(a[NJ.fragment_of(a, table) == f], b[NJ.fragment_of(b, table) == f])) for f in range(NJ.FRAGMENTS)) == both
+    assert links > 100
+
+
 def test_components_at_the_edges(spark):
     assert NJ.jaccard_components(docs(spark, ["a"]).limit(0)).count() == 0
     rows = NJ.jaccard_components(docs(spark, [None, ""])).collect()
