@@ -53,7 +53,7 @@ FILTER_BITS = 26
 #: Level from which an n-gram's entries are dealt out by their sets' hash: 2**SALT_FROM of them or so to a task.
 SALT_FROM = 10
 #: Sets of a block of an n-gram's entries.
-BLOCK = 256
+BLOCK = 128
 CHUNK = 1_500_000
 
 
@@ -307,16 +307,33 @@ def star_pairs(entries: DataFrame) -> DataFrame:
     return both.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
 
 
-def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+def near_in_parity(pairs: DataFrame, parity: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) whose parities do not rule out the similarity."""
+    pairs = scratch.table(pairs)
+    of = lambda c: parity.select(F.col("sid").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c))
+
+    def test(batches):
+        for batch in batches:
+            n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (4, 5))
+            ok = pa.array((num + den) * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (den - num) * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
+
+    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long")
+
+
+def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, least: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """``(a, b)``: all pairs of different components that share an entry, serve each other and whose parities are near enough.
 
+    Postings of fewer than ``least`` entries are left out: those of two are settled by ``star_pairs``.
+
     In a posting the entries of its main component only stand against the others (``odd``). Where a posting has more entries than
     BLOCK, blocks of the odd ones meet blocks of all.
     """
     rooted = entries.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
     rooted = scratch.table(rooted)
     main = F.min_by("root", F.struct(F.col("n") - F.col("top"), F.xxhash64("root"))).alias("main")
-    heads = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), main, F.min("n").alias("low"), F.max("top").alias("high")).where("r0 <> r1")
+    heads = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), main, F.min("n").alias("low"), F.max("top").alias("high"), F.count("*").alias("k")).where(f"r0 <> r1 AND k >= {least}")
     live = rooted.join(heads.select("gram", "main", "low", "high"), "gram").where("top >= low AND n <= high")
     live = scratch.table(live.select("gram", "sid", "n", "top", "root", (F.col("root") != F.col("main")).alias("odd")))
     blocks = lambda c: F.expr(f"cast(pow(2, greatest(0, ceil(log2({c} / {BLOCK})))) as int)")
@@ -330,7 +347,7 @@ def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, num:
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
     dealt = live.join(size, "gram").withColumn("to", F.explode(F.when(alone, one).otherwise(F.concat(F.when(F.col("odd"), as_odd).otherwise(none), as_any))))
     ranges = ranges_of(rooted)
-    dealt = dealt.select(F.shiftright(F.shiftrightunsigned("gram", 32) * ranges, 32).alias("r"), "to.i", "to.j", "to.side", "gram", "sid", "n", "top", "root").join(parity, "sid")
+    dealt = dealt.select(F.shiftright(F.shiftrightunsigned("gram", 32) * ranges, 32).alias("r"), "to.i", "to.j", "to.side", "gram", "sid", "n", "top", "root").join(parity.select("sid", "parity"), "sid")
 
     def found(part: pa.Table) -> pa.Table:
         gram, sid, n, top, root, side = (part.column(c).to_numpy() for c in ("gram", "sid", "n", "top", "root", "side"))
@@ -433,7 +450,9 @@ def links(pairs: DataFrame, docs: DataFrame, text_col: str, k: int, num: int, de
 
     parts = both.mapInArrow(count, "a long, b long, na long, nb long, part long")
     total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
-    return scratch.table(total.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    out = scratch.table(total.where(den * F.col("both") >= num * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"))
+    scratch.drop(pieces)
+    return out
 
 
 def jaccard_components(
@@ -458,13 +477,13 @@ def jaccard_components(
 
     # groups of near copies: entries against two members of their postings
     first = spark.createDataFrame([], "a long, b long")
+    bits = scratch.table(told.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
     if stars:
-        first = links(star_pairs(entries), docs, text_col, k, num, den, table, scratch)
+        first = links(near_in_parity(star_pairs(entries), bits, num, den, scratch), docs, text_col, k, num, den, table, scratch)
     roots = scratch.table(components(first, scratch))
 
     # all pairs that are left, between components
-    bits = scratch.table(told.where("n > 0").groupBy("sid").agg(F.first("parity").alias("parity")))
-    second = links(crossing_pairs(entries, roots, bits, num, den, scratch), docs, text_col, k, num, den, table, scratch)
+    second = links(crossing_pairs(entries, roots, bits, 3 if stars else 2, num, den, scratch), docs, text_col, k, num, den, table, scratch)
     table.destroy()
 
     # components of all links, and the least id of each
