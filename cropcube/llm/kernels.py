@@ -145,11 +145,11 @@ def shingles(words: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray,
 
 
 def prefix_hash(raw: np.ndarray) -> np.ndarray:
-    """Sums from which any substring's fingerprint follows (``window_hash``)."""
+    """Sums from which any substring's fingerprint follows (``window_hash``); of bytes, or of words' fingerprints."""
     power, _ = _powers(len(raw) + 1)
     s = np.zeros(len(raw) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        np.multiply(_VALUE[raw], power[: len(raw)], out=s[1:])
+        np.multiply(_VALUE[raw] if raw.dtype == np.uint8 else raw, power[: len(raw)], out=s[1:])
         np.cumsum(s, out=s)
     return s
 

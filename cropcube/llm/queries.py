@@ -73,8 +73,11 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_
 """
 
 def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = repeats.repeated_spans(read(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False)
-    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    """Bytes by the contract; and words in passages of 50 words or more that stand elsewhere too, which may be shorter than 400 bytes."""
+    out = repeats.repeated_spans(read(spark, sf_dir, "documents"), keep=["doc_id"], with_kept=False, passage=50)
+    return out.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_passage_words", (F.col("n_passage_words") > 0).alias("repeats_passage")
+    )
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

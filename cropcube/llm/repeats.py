@@ -17,12 +17,16 @@ spread over all tasks. What one pass tells the next is a bit table of fixed size
 the next pass. Texts are read again in each pass, which costs less than keeping their suffixes.
 
 A removed byte is one that a repeated window covers. Nothing is capped or sampled.
+
+Suffixes may be of bytes or of words (``Unit``): a passage of given words that stands elsewhere too need not have 400 bytes, so
+``repeated_spans`` can tell it beside what it removes, by the same passes over words.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cropcube.llm import kernels as K
-from cropcube.llm.shared import Scratch, bitmap, partitions
+from cropcube.llm.shared import Scratch, bitmap, ranges_of
 from cropcube.session import ship
 
 SIZE = 400
 ANCHOR = 64
+#: Windows of a node are ANCHOR // 4 neighbours or fewer.
 STEP = 16
 #: Most bits of a table that one pass hands to the next: 16 MB.
 TABLE_BITS = 27
@@ -57,11 +62,36 @@ def sliding_min(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
+@dataclass(frozen=True)
+class Unit:
+    """What suffixes are made of: windows of ``size`` bytes, or words, with anchors of ``anchor`` and nodes of ``step`` windows."""
+
+    size: int
+    anchor: int
+    step: int
+    words: bool = False
+
+    def __post_init__(self):
+        if not self.step < self.anchor < self.size < 1024 * self.step:
+            raise ValueError("the anchor is longer than a step and shorter than the window")
+
+    @property
+    def least_bytes(self) -> int:
+        return 2 * self.size - 1 if self.words else self.size
+
+    def symbols(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not self.words:
+            return raw, offsets
+        starts, ends, first = K.word_bounds(raw, offsets, K.NOT_SPACE)
+        return K.span_hashes(raw, starts, ends, fold=False), first
+
+
 class Runs:
     """The runs of a piece of texts: windows [first, last] of one anchor place each, and the document of each run."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray, size: int, anchor: int):
-        self.size = size
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, unit: Unit):
+        size, anchor = unit.size, unit.anchor
+        self.size, self.step = size, unit.step
         empty = np.zeros(0, np.int64)
         self.first = self.last = self.place = self.doc = empty
         self.anchor = np.zeros(0, np.uint64)
@@ -105,24 +135,26 @@ class Runs:
             return K.mix(self.span(self.first, self.last + self.size) + (self.place - self.first).astype(np.uint64) * _SPAN)
 
     def nodes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(run, node, whether it has all its windows): node m has the windows that start 16m to 16m+15 bytes before the anchor."""
+        """(run, node, whether it has all its windows): node m has the windows that start ``m * step`` and up to ``step - 1`` more before the anchor."""
         near, far = self.place - self.last, self.place - self.first
-        lo, hi = near // STEP, far // STEP
+        lo, hi = near // self.step, far // self.step
         count = hi - lo + 1
         run = np.repeat(np.arange(len(lo)), count)
         m = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + lo[run]
-        return run, m, (m * STEP >= near[run]) & (m * STEP + STEP - 1 <= far[run])
+        return run, m, (m * self.step >= near[run]) & (m * self.step + self.step - 1 <= far[run])
 
     def common(self, run: np.ndarray, m: np.ndarray) -> np.ndarray:
         """Fingerprints of the bytes that all windows of a node share."""
-        at = self.place[run] - m * STEP
-        return self.span(at, at - STEP + 1 + self.size)
+        at = self.place[run] - m * self.step
+        return self.span(at, at - self.step + 1 + self.size)
 
 
-def runs_of(batch: pa.RecordBatch, size: int, anchor: int) -> Iterator[tuple[int, Runs, np.ndarray]]:
+def runs_of(batch: pa.RecordBatch, unit: Unit) -> Iterator[tuple[int, Runs, np.ndarray]]:
+    """Of pieces of a batch: the first text, its runs, and where each text begins in the piece."""
     raw, offsets = K.texts_of(batch.column(batch.schema.get_field_index("text")))
     for i, j in K.groups(offsets, PIECE):
-        yield i, Runs(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size, anchor), offsets[i:j]
+        symbols, begin = unit.symbols(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+        yield i, Runs(symbols, begin, unit), begin
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -135,13 +167,13 @@ def cuts(values: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
     return [(r, a, b) for r, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
 
 
-def repeated_anchors(texts: DataFrame, size: int, anchor: int, ranges: int) -> DataFrame:
+def repeated_anchors(texts: DataFrame, unit: Unit, ranges: int) -> DataFrame:
     """Pass 1: fingerprints of the anchors of two or more runs. A task sends each of its own once, marked if it has several."""
 
     def emit(batches):
         held, n = [], 0
         for batch in batches:
-            for _, runs, _ in runs_of(batch, size, anchor):
+            for _, runs, _ in runs_of(batch, unit):
                 held.append(runs.anchor)
                 n += len(runs.anchor)
                 if n >= CHUNK:
@@ -172,16 +204,13 @@ def repeated_anchors(texts: DataFrame, size: int, anchor: int, ranges: int) -> D
     return texts.select("text").mapInArrow(emit, "r int, vals binary, twice binary").groupBy("r").applyInArrow(judged, "anchor long")
 
 
-def open_runs(texts: DataFrame, size: int, anchor: int, table) -> DataFrame:
+def open_runs(texts: DataFrame, unit: Unit, table) -> DataFrame:
     """Pass 2's digits: the runs whose anchor is not alone, of every text (``key``); places count from the text's start."""
 
     def emit(batches):
         for batch in batches:
             keys = batch.column(batch.schema.get_field_index("key")).to_numpy(zero_copy_only=False)
-            raw, offsets = K.texts_of(batch.column(batch.schema.get_field_index("text")))
-            for i, j in K.groups(offsets, PIECE):
-                base = offsets[i : j + 1] - offsets[i]
-                runs = Runs(raw[offsets[i] : offsets[j]], base, size, anchor)
+            for i, runs, base in runs_of(batch, unit):
                 runs.take(table.value.holds(runs.anchor))
                 if len(runs.first):
                     at = base[runs.doc]
@@ -200,13 +229,13 @@ def open_runs(texts: DataFrame, size: int, anchor: int, table) -> DataFrame:
     return texts.select("key", "text").mapInArrow(emit, "key long, first long, place long, last long, anchor long, run long")
 
 
-def repeated_digits(texts: DataFrame, size: int, anchor: int, digits, ranges: int) -> DataFrame:
+def repeated_digits(texts: DataFrame, unit: Unit, digits, ranges: int) -> DataFrame:
     """Passes 3 and 4: ``(run, tag, value)`` of the digits that are not alone; ``digits`` gives a piece's digits, runs and tags."""
 
     def emit(batches):
         held, n = [], 0
         for batch in batches:
-            for _, runs, _ in runs_of(batch, size, anchor):
+            for _, runs, _ in runs_of(batch, unit):
                 found = digits(runs)
                 if len(found[0]):
                     held.append(found)
@@ -250,26 +279,16 @@ def repeated_digits(texts: DataFrame, size: int, anchor: int, digits, ranges: in
 SPANNED = 1 << 15
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, anchor: int = ANCHOR, keep: list[str] | None = None, with_kept: bool = True) -> DataFrame:
-    """``docs``' columns ``keep`` (all if None) and ``n_bytes``, ``spans`` (removed byte runs, in order), ``n_removed``, ``kept_sha256`` and, if ``with_kept``, ``kept``.
-
-    A null text is empty; texts shorter than ``size`` keep all bytes; equal texts of ``size`` bytes or more lose all. Rows
-    are judged on the input. ``kept`` is binary, since a window may end inside a character. Columns of ``docs`` of these
-    names are replaced.
-    """
-    if not STEP < anchor < size < 1024 * STEP:
-        raise ValueError("the anchor is longer than a step and shorter than the window")
+def repeated_windows(docs: DataFrame, text_col: str, unit: Unit, scratch: Scratch) -> DataFrame:
+    """``(key, found)``: of each text (by its hash) with repeated windows the runs they are in, and which of their windows."""
     spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "repeats")
-    ranges = partitions(spark)
-    names = ["n_bytes", "spans", "n_removed", "kept_sha256", "kept"]
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
-    texts = docs.select(F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= size)
+    ranges = ranges_of(docs)
+    step = unit.step
+    texts = docs.select(F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text")).where(F.octet_length("text") >= unit.least_bytes)
     share = spark.sparkContext.broadcast
 
-    anchors = share(bitmap(scratch.table(repeated_anchors(texts, size, anchor, ranges)), F.col("anchor"), TABLE_BITS))
-    runs = scratch.table(open_runs(texts, size, anchor, anchors))
+    anchors = share(bitmap(scratch.table(repeated_anchors(texts, unit, ranges)), F.col("anchor"), TABLE_BITS))
+    runs = scratch.table(open_runs(texts, unit, anchors))
     anchors.destroy()
     equal = scratch.table(runs.groupBy("run").agg(F.count("*").alias("n"), F.min("anchor").alias("anchor")))
     mixed = equal.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
@@ -279,15 +298,15 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
         r.take(mixed_at.value.holds(r.anchor))
         whole = r.whole()
         run, m, full = r.nodes()
-        at = r.place[run] - m * STEP
+        at = r.place[run] - m * step
         shared = r.common(run, m)
         run2, m2, at2 = run[full], m[full], at[full]
-        spanned = r.span(at2 - STEP + 1, at2 + size)
+        spanned = r.span(at2 - step + 1, at2 + unit.size)
         return np.concatenate([shared, spanned]), whole[np.concatenate([run, run2])], np.concatenate([m, m2 | SPANNED]).astype(np.uint16)
 
-    nodes = scratch.table(repeated_digits(texts, size, anchor, by_node, ranges))
-    # a node of a single run is open if its shared bytes are repeated and its spanned ones are not; every node with its
-    # shared bytes, also of runs and nodes that are settled, then shows its windows
+    nodes = scratch.table(repeated_digits(texts, unit, by_node, ranges))
+    # a node of a single run is open if its shared symbols are repeated and its spanned ones are not; every node with its
+    # shared symbols, also of runs and nodes that are settled, then shows its windows
     core = F.max(F.when(F.col("tag") < SPANNED, F.col("value"))).alias("core")
     ends = nodes.groupBy("run", F.col("tag").bitwiseAND(SPANNED - 1).alias("m")).agg(F.max("tag").alias("top"), core).where(F.col("top") < SPANNED)
     ends = ends.join(equal.where("n > 1").select("run"), "run", "left_anti")
@@ -299,20 +318,41 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
         run, m, _ = r.nodes()
         hit = open_at.value.holds(r.common(run, m))
         run, m = run[hit], m[hit]
-        run, back = np.repeat(run, STEP), (m[:, None] * STEP + np.arange(STEP)).ravel()
+        run, back = np.repeat(run, step), (m[:, None] * step + np.arange(step)).ravel()
         at = r.place[run] - back
         ok = (at >= r.first[run]) & (at <= r.last[run])
         run, back, at = run[ok], back[ok], at[ok]
-        return r.span(at, at + size), whole[run], back.astype(np.uint16)
+        return r.span(at, at + unit.size), whole[run], back.astype(np.uint16)
 
-    singles = repeated_digits(texts, size, anchor, by_window, ranges)
-    backs = nodes.where(F.col("tag") >= SPANNED).select("run", ((F.col("tag") - SPANNED) * STEP).alias("lo"), ((F.col("tag") - SPANNED) * STEP + STEP - 1).alias("hi"))
+    singles = repeated_digits(texts, unit, by_window, ranges)
+    backs = nodes.where(F.col("tag") >= SPANNED).select("run", ((F.col("tag") - SPANNED) * step).alias("lo"), ((F.col("tag") - SPANNED) * step + step - 1).alias("hi"))
     backs = backs.union(singles.select("run", F.col("tag").alias("lo"), F.col("tag").alias("hi")))
     whole = equal.where("n > 1").select("run", F.lit(0).alias("lo"), F.lit(1 << 30).alias("hi"))
     # written, so that the join has plain inputs and a run of very many texts can be split
     backs = scratch.table(backs.union(whole).groupBy("run").agg(F.collect_set(F.struct("lo", "hi")).alias("backs")))
     found = runs.select("key", "run", "first", "place", "last").distinct().join(backs, "run")
-    found = found.groupBy("key").agg(F.collect_list(F.struct("first", "place", "last", "backs")).alias("found"))
+    return found.groupBy("key").agg(F.collect_list(F.struct("first", "place", "last", "backs")).alias("found"))
+
+
+def repeated_spans(
+    docs: DataFrame, text_col: str = "text", size: int = SIZE, anchor: int = ANCHOR, keep: list[str] | None = None, with_kept: bool = True, passage: int | None = None
+) -> DataFrame:
+    """``docs``' columns ``keep`` (all if None) and ``n_bytes``, ``spans`` (removed byte runs, in order), ``n_removed``, ``kept_sha256``,
+    if ``with_kept`` ``kept``, and if ``passage`` ``n_passage_words``: words in windows of that many words that stand elsewhere too.
+
+    A null text is empty; texts shorter than ``size`` keep all bytes, texts of any length are taken whole; equal texts of ``size``
+    bytes or more lose all, and so does each of repeated rows. Rows are judged on the input, an empty table gives no rows. ``kept`` is
+    binary, since a window may end inside a character. Columns of ``docs`` of these names are replaced. Windows are told apart by
+    64-bit fingerprints. What stands elsewhere stands in another row or at another place of the same one.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "repeats")
+    names = ["n_bytes", "spans", "n_removed", "kept_sha256", "kept", "n_passage_words"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in names]
+    found = {"cropcube_found": repeated_windows(docs, text_col, Unit(size, anchor, STEP), scratch)}
+    if passage:
+        found["cropcube_passages"] = repeated_windows(docs, text_col, Unit(passage, max(4, passage // 6), max(3, passage // 12), True), scratch)
 
     def judge(batches):
         for batch in batches:
@@ -320,6 +360,10 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
             raw, offsets = K.texts_of(texts_)
             where = batch.column(batch.schema.get_field_index("cropcube_found"))
             doc, start, end = covered(where, size)
+            told = np.zeros(batch.num_rows, np.int64)
+            if passage:
+                d, x, y = covered(batch.column(batch.schema.get_field_index("cropcube_passages")), passage)
+                told = np.bincount(d, y - x, batch.num_rows).astype(np.int64)
             first = np.searchsorted(doc, np.arange(batch.num_rows + 1))
             removed = np.bincount(doc, end - start, batch.num_rows).astype(np.int64)
             digest, kept = [], []
@@ -337,17 +381,20 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", size: int = SIZE, an
             out |= {"n_removed": pa.array(removed), "kept_sha256": pa.array(digest, pa.string())}
             if with_kept:
                 out["kept"] = pa.array(kept, pa.binary())
+            if passage:
+                out["n_passage_words"] = pa.array(told)
             yield pa.RecordBatch.from_pydict(out)
 
-    carried = docs.select(*dict.fromkeys([*keep, text_col])).withColumn("cropcube_key", F.xxhash64(F.col(text_col)))
-    joined = carried.join(found.select(F.col("key").alias("cropcube_key"), F.col("found").alias("cropcube_found")), "cropcube_key", "left").drop("cropcube_key")
-    added = "n_bytes long, spans array<struct<start: long, end: long>>, n_removed long, kept_sha256 string" + ", kept binary" * with_kept
+    joined = docs.select(*dict.fromkeys([*keep, text_col])).withColumn("cropcube_key", F.xxhash64(F.col(text_col)))
+    for name, table in found.items():
+        joined = joined.join(table.select(F.col("key").alias("cropcube_key"), F.col("found").alias(name)), "cropcube_key", "left")
+    added = "n_bytes long, spans array<struct<start: long, end: long>>, n_removed long, kept_sha256 string" + ", kept binary" * with_kept + ", n_passage_words long" * bool(passage)
     schema = T.StructType([docs.schema[c] for c in keep] + T.StructType.fromDDL(added).fields)
-    return joined.mapInArrow(judge, schema)
+    return joined.drop("cropcube_key").mapInArrow(judge, schema)
 
 
 def covered(found: pa.ListArray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes under the repeated windows of each text of a batch: (text, start, end) of disjoint runs in order; runs that touch are one."""
+    """Bytes (or words) under the repeated windows of each text of a batch: (text, start, end) of disjoint runs in order; runs that touch are one."""
     lengths = lambda x: np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
     number = lambda x: x.to_numpy(zero_copy_only=False).astype(np.int64)
     runs = found.flatten()

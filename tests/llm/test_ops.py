@@ -378,6 +378,36 @@ def test_repeats_equal_brute_force(spark, seed):
         assert got == brute_repeats(texts, size)
 
 
+def test_repeats_of_400_bytes_equal_brute_force(spark, small):
+    texts = [r.text for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in RP.repeated_spans(docs(spark, texts)).collect()}
+    want = brute_repeats(texts, 400)
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 10
+
+
+def brute_passages(texts, size):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    count = collections.Counter(tuple(w[i : i + size]) for w in words for i in range(len(w) - size + 1))
+    return {d: len({i + k for i in range(len(w) - size + 1) if count[tuple(w[i : i + size])] > 1 for k in range(size)}) for d, w in enumerate(words)}
+
+
+def test_passages_equal_brute_force(spark, small):
+    rng = random.Random(5)
+    base = [" ".join(rng.choice(["a", "bb", "É", "c.", "d"]) for _ in range(rng.randint(20, 200))) for _ in range(6)]
+    texts = EDGES + ["a b " * 40, "x\ty\x0bz " * 9]
+    for _ in range(80):
+        t = rng.choice(base).split()
+        a, b = sorted((rng.randrange(len(t)), rng.randrange(len(t))))
+        texts.append(" \n".join([f"u{rng.random()}", *t[a:b], *(rng.choice(["a", "v"]) for _ in range(rng.randint(0, 9)))]))
+    for size in (12, 25):
+        got = {r.doc_id: r.n_passage_words for r in RP.repeated_spans(docs(spark, texts, True), size=60, anchor=20, passage=size).collect()}
+        assert got == brute_passages(texts, size)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    want = brute_passages(list(texts.values()), 50)
+    got = {r.doc_id: (r.n_passage_words, r.repeats_passage) for r in QS.QUERIES["op6_repeats"](spark, small).collect()}
+    assert got == {d: (n, n > 0) for d, n in zip(texts, want.values(), strict=True)}
+
+
 def test_repeats_of_nothing(spark):
     assert RP.repeated_spans(docs(spark, ["a"]).limit(0)).count() == 0
 
