@@ -459,6 +459,37 @@ def test_secrets_equal_python(spark):
     assert S.scan(docs(spark, texts).limit(0)).count() == 0
 
 
+def test_postings_are_intersected(spark):
+    texts = [t for t in SECRETS + EDGES] + ["tok ken oke", "TOKEN", "secret passwd", "aki kia", "akia", "api pik ike key", None]
+    df = docs(spark, texts)
+    queries = [S.trigram_query(r.pattern) for r in (*S.BASE, *S.ADDED)]
+    grams = sorted(set().union(*(S.trigrams(q) for q in queries)))
+    low = [(t or "").lower() for t in texts]
+    index = {(r.gram, r.bucket): bytes(r.bits) for r in S.postings(df, "doc_id", "text", grams).collect()}
+    for k, g in enumerate(grams):
+        held = {i for i, t in enumerate(low) if g in t}
+        bits = index.get((k, 1), bytes(4096))
+        assert held == {i for i in range(len(texts)) if bits[i // 8] >> (i % 8) & 1}
+    got = {r.id: r.rules for r in S.candidates(S.postings(df, "doc_id", "text", grams), queries, grams).collect()}
+    ok = lambda q, t: q if isinstance(q, bool) else q in t if isinstance(q, str) else (ok(q[1], t) and ok(q[2], t)) if q[0] == "and" else (ok(q[1], t) or ok(q[2], t))
+    want = {i: sum(1 << k for k, q in enumerate(queries) if q is not True and ok(q, t)) for i, t in enumerate(low)}
+    assert got == {i: b for i, b in want.items() if b} and 0 < len(got) < len(texts)
+    assert S.clauses(S.trigram_query("(?:a|b)cde?")) == [frozenset({"acd"}), frozenset({"bcd"})] and S.clauses(True) == [frozenset()]
+
+
+def test_very_many_secrets_in_one_text(spark):
+    import time
+
+    rng = random.Random(10)
+    text = " ".join(f"token={'k' * rng.randint(6, 9)}" for _ in range(32_000))
+    df = docs(spark, [text, "plain"])
+    S.scan(df).count()
+    start = time.perf_counter()
+    rows = {r.doc_id: r.spans for r in S.scan(df).select("doc_id", "spans").collect()}
+    assert [tuple(x) for x in rows[0]] == brute_spans(text) and rows[1] == [] and time.perf_counter() - start < 20
+    assert S.redact(S.scan(df)).where("doc_id = 0").first().text == re.sub(r"token=k{8,}", "<secret>", text)
+
+
 def test_trigram_queries_pass_every_match():
     rng = random.Random(8)
     for rule in (*S.BASE, *S.ADDED):
