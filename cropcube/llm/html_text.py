@@ -6,18 +6,19 @@ repeated group, what one side lacks becomes an optional group, and texts that di
 host share at a place stay constant. Constant texts, seen in LEAST_PAGES different articles or more, are the template's own. Near
 copies of one article (by a sketch of the words outside menus, adverts and comments) are one article here, whatever else differs.
 
-The wrapper tells where a host's pages have their text: the container of its slots with the most text, an article element if there
-is one, else a main element, else the deepest element that holds most of it. Elements of menus, headers, footers, sidebars,
-notices, adverts, forms and reader comments (by name, role, class or id) hold no slots of text. A page's main text is its blocks at the
-wrapper's slots, without the template's own texts; of several articles at one place the longest. Where the template's texts would be
-half of the page's text or more, they stay. A page without text there is of another layout and has its own wrapper asked.
+The wrapper tells what is text: a page's main text is its blocks at the host's slots, in optional and repeated groups too, wherever
+they stand in the page; blocks at its constants are the template's (menus, headers, footers, notices without telling names). Where
+constants are half or more of the text in the element that holds all of a page's slots, they belong to its articles and stay; so do
+they on a page without any slot. What differs from page to page and yet is no article, such as an advert or a reader's comment, is
+a slot for the wrapper; there element names, roles, classes and ids break the tie, and on hosts of too few pages to tell constants.
 
 Tasks fold the pages they have into one wrapper for each host, and the few wrappers of a host are folded again, first in salted
-groups; a host with a third of all pages is so no large group. What extraction needs (container and constant texts of each host) is
+groups; a host with a third of all pages is so no large group. What extraction needs (the constant texts of each host) is
 broadcast if its size, which is checked, is within BROADCAST_BYTES; beyond it is joined by host.
 
-A null html gives an empty text; a null url has the empty host. Broken markup, also a page that ends inside a tag, is read as far as
-it goes. Repeated pages are extracted one by one and are aligned once.
+A null or empty html gives an empty text; a null url has the empty host. Broken markup, also a page that ends inside a tag, is read as
+far as it goes, and pages of any length are read whole. Repeated pages are extracted one by one and are aligned once; aligning one
+again changes nothing. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,8 +44,9 @@ SUPPORT = 6
 #: Words of a shingle, and shingles that a page's sketch keeps.
 SHINGLE = 3
 SKETCH = 16
-#: Hosts whose wrappers a task holds at once, and longest repeated group of blocks.
+#: Hosts whose wrappers a task holds at once, hashes of a host's pages that it knows to be aligned, and longest repeated group of blocks.
 HELD_HOSTS = 4000
+SEEN_PAGES = 1000
 PERIOD = 4
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
@@ -80,10 +82,6 @@ class Block:
     def __init__(self, path: str, text: str, links: int, owner: tuple[int, ...]):
         self.path, self.text, self.links, self.owner = path, text, links, owner
 
-    @property
-    def weight(self) -> int:
-        return max(0, len(self.text) - 2 * self.links)
-
 
 def blocks_of(source: str) -> list[Block]:
     """The page's blocks in order: text between block elements, white space as one space, references decoded."""
@@ -147,11 +145,10 @@ def blocks_of(source: str) -> list[Block]:
             tag in DROPPED or role in ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true"
             or "display:none" in attrs.get("style", "").replace(" ", "").lower() or bool(named and tag not in ("html", "body", "main") and NAMES.search(named))
         )
-        mark = "@article" if attrs.get("itemprop") == "articleBody" else "@main" if role == "main" else ""
         classes = "." + ".".join(sorted(attrs["class"].replace("/", "").replace("!", "").split())) if attrs.get("class") else ""
         if dropped and tag in INLINE:
             flush()
-        stack.append((tag, f"{tag}{classes}{mark}{'!' if dropped else ''}", serial))
+        stack.append((tag, f"{tag}{classes}{'!' if dropped else ''}", serial))
     flush()
     return out
 
@@ -161,17 +158,12 @@ def blocks_of(source: str) -> list[Block]:
 
 class Item:
     """A group of paths at a place of the wrapper. ``common``: texts that every page has there; ``pages``: sketches of some that have
-    it, no two of one article; ``mass``: characters that are not links, of each path."""
-
-    __slots__ = ("paths", "common", "pages", "mass", "optional", "repeated")
+    it, no two of one article."""
 
-    def __init__(self, paths, common, pages, mass, optional=False, repeated=False):
-        self.paths, self.common, self.pages, self.mass, self.optional, self.repeated = paths, common, pages, mass, optional, repeated
+    __slots__ = ("paths", "common", "pages", "optional", "repeated")
 
-    @property
-    def constant(self) -> bool:
-        """One text, the same on enough pages."""
-        return not self.repeated and len(self.paths) == len(self.common) == 1 and len(self.pages) >= LEAST_PAGES
+    def __init__(self, paths, common, pages, optional=False, repeated=False):
+        self.paths, self.common, self.pages, self.optional, self.repeated = paths, common, pages, optional, repeated
 
 
 def digest(text: str) -> int:
@@ -233,7 +225,7 @@ def wrapper_of(blocks: list[Block]) -> list[Item]:
     paths = [b.path for b in blocks]
     page = sketch_of(blocks)
     return [
-        Item(tuple(paths[a : a + p]), frozenset(digest(b.text) for b in blocks[a:e]), frozenset([page]), tuple(sum(b.weight for b in blocks[a + k : e : p]) for k in range(p)), False, e > a + p)
+        Item(tuple(paths[a : a + p]), frozenset(digest(b.text) for b in blocks[a:e]), frozenset([page]), False, e > a + p)
         for a, p, e in folded(paths)
     ]
 
@@ -250,11 +242,10 @@ def merged(a: list[Item], b: list[Item]) -> list[Item]:
                 pages = both.get((x.pages, y.pages))
                 if pages is None:
                     pages = both[x.pages, y.pages] = articles(x.pages, y.pages)
-                mass = tuple(v + w for v, w in zip(x.mass, y.mass, strict=True))
-                out.append(Item(x.paths, x.common & y.common, pages, mass, x.optional or y.optional, x.repeated or y.repeated))
+                out.append(Item(x.paths, x.common & y.common, pages, x.optional or y.optional, x.repeated or y.repeated))
         else:
             for x in (*a[i:j], *b[k:m]):
-                out.append(Item(x.paths, x.common, x.pages, x.mass, True, x.repeated))
+                out.append(Item(x.paths, x.common, x.pages, True, x.repeated))
     return out
 
 
@@ -271,58 +262,28 @@ def constants(wrapper: list[Item]) -> set[int]:
 # ---- extraction
 
 
-def container(wrapper: list[Item]) -> str:
-    """The path around the wrapper's slots of text; empty if it has none."""
-    slots = [(path.split("/"), m) for w in wrapper if not w.constant for path, m in zip(w.paths, w.mass, strict=True) if "!" not in path and m > 0]
-    for kind in ("article", "main"):
-        size: dict[str, int] = {}
-        for path, m in slots:
-            k = next((k for k, e in enumerate(path) if re.split(r"[.@]", e)[0] == kind or e.endswith("@" + kind)), None)
-            if k is not None:
-                top = "/".join(path[: k + 1])
-                size[top] = size.get(top, 0) + m
-        if size:
-            return max(size, key=lambda p: (size[p], p))
-    total = sum(m for _, m in slots)
-    weight: dict[str, int] = {}
-    for path, m in slots:
-        for k in range(1, max(2, len(path))):  # the block's own element is around itself only
-            top = "/".join(path[:k])
-            weight[top] = weight.get(top, 0) + m
-    return max((p for p in weight if 3 * weight[p] >= 2 * total), key=lambda p: (p.count("/"), p), default="")
-
-
-def under(path: str, top: str) -> bool:
-    return not top or path == top or path.startswith(top + "/")
-
-
-def main_text(blocks: list[Block], top: str | None = None, template: set[int] | frozenset[int] = frozenset()) -> str:
-    """The blocks at the slots under ``top``; where the page has none, under the container of its own wrapper."""
+def main_text(blocks: list[Block], template: set[int] | frozenset[int] = frozenset()) -> str:
+    """The page's blocks at slots; ``template``: the host's constants."""
     shown = [b for b in blocks if "!" not in b.path]
-    # blocks that are the template's, by identity
-    known = {id(b) for b in shown if hash_64(f"{b.path}\0{digest(b.text)}".encode("utf-8", "surrogatepass")) in template} if template else set()
-    inside = [b for b in shown if under(b.path, top)] if top else []
-    if all(id(b) in known for b in inside):
-        top = container(wrapper_of(blocks))
-        inside = [b for b in shown if under(b.path, top)]
-    last = top.rsplit("/", 1)[-1]
-    if re.split(r"[.@]", last)[0] in ("article", "main") or "@" in last:
-        k = top.count("/")
-        size: dict[int, list[int]] = {}
-        for b in inside:
-            n = size.setdefault(b.owner[k], [0, 0])
-            n[0] += 0 if id(b) in known else len(b.text) - b.links
-            n[1] += len(b.text) - b.links
-        best = max(size, key=lambda n: (size[n], -n), default=None)
-        inside = [b for b in inside if b.owner[k] == best]
-    else:
-        inside = [b for b in inside if 2 * b.links <= len(b.text)]
-    own = [b for b in inside if id(b) not in known]
-    if 2 * sum(b.weight for b in own) <= sum(b.weight for b in inside):
-        own = inside
+    fixed = [hash_64(f"{b.path}\0{digest(b.text)}".encode("utf-8", "surrogatepass")) in template for b in shown] if template else [False] * len(shown)
+    own = [b for b, f in zip(shown, fixed, strict=True) if not f]
+    if not own:
+        own = shown
+    elif any(fixed):
+        top = around(own)
+        inside = [b for b in shown if b.owner[: len(top)] == top]
+        if 2 * sum(len(b.text) for b in own) <= sum(len(b.text) for b in inside):
+            own = inside
     return "\n\n".join(b.text for b in own)
 
 
+def around(blocks: list[Block]) -> tuple[int, ...]:
+    """The elements that all blocks are in; of a single one those around its own element."""
+    first, last = min(b.owner for b in blocks), max(b.owner for b in blocks)
+    n = next((k for k, (x, y) in enumerate(zip(first, last, strict=False)) if x != y), min(len(first), len(last)))
+    return first[: min(n, len(first) - 1)] if first else first
+
+
 def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """``(host, wrapper)`` of ``pages`` (columns host, html): pickled items."""
 
@@ -337,8 +298,9 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
                 page = page_hash(blocks)
                 if page in seen.setdefault(host, set()):
                     continue
-                if len(seen[host]) < 1000:
-                    seen[host].add(page)
+                if len(seen[host]) == SEEN_PAGES:
+                    seen[host].clear()
+                seen[host].add(page)
                 one = wrapper_of(blocks)
                 held[host] = merged(held[host], one) if host in held else one
             if len(held) > HELD_HOSTS:
@@ -362,11 +324,11 @@ def wrappers(pages: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def packed(wrapper: list[Item]) -> bytes:
-    return pickle.dumps([(w.paths, sorted(w.common), sorted(w.pages), w.mass, w.optional, w.repeated) for w in wrapper])
+    return pickle.dumps([(w.paths, sorted(w.common), sorted(w.pages), w.optional, w.repeated) for w in wrapper])
 
 
 def unpacked(blob: bytes) -> list[Item]:
-    return [Item(p, frozenset(c), frozenset(s), m, o, r) for p, c, s, m, o, r in pickle.loads(blob)]
+    return [Item(p, frozenset(c), frozenset(s), o, r) for p, c, s, o, r in pickle.loads(blob)]
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -380,15 +342,14 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
 
     def known(batches):
         for batch in batches:
-            made = [unpacked(x.as_py()) for x in batch.column(1)]
-            fixed = [[x - (1 << 64) if x >> 63 else x for x in sorted(constants(w))] for w in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([container(w) for w in made], pa.string()), pa.array(fixed, pa.list_(pa.int64()))], ["cc_host", "cc_top", "cc_known"])
+            fixed = [[x - (1 << 64) if x >> 63 else x for x in sorted(constants(unpacked(w.as_py())))] for w in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fixed, pa.list_(pa.int64()))], ["cc_host", "cc_known"])
 
-    template = scratch.table(made.mapInArrow(known, "cc_host string, cc_top string, cc_known array<long>"))
-    size = template.agg(F.coalesce(F.sum(F.length("cc_host") + F.length("cc_top") + 8 * F.size("cc_known") + 64), F.lit(0))).first()[0]
+    template = scratch.table(made.mapInArrow(known, "cc_host string, cc_known array<long>").where(F.size("cc_known") > 0))
+    size = template.agg(F.coalesce(F.sum(F.length("cc_host") + 8 * F.size("cc_known") + 64), F.lit(0))).first()[0]
     shared = None
     if size <= BROADCAST_BYTES:
-        shared = spark.sparkContext.broadcast({r.cc_host: (r.cc_top, frozenset(x % (1 << 64) for x in r.cc_known)) for r in template.toLocalIterator()})
+        shared = spark.sparkContext.broadcast({r.cc_host: frozenset(x % (1 << 64) for x in r.cc_known) for r in template.toLocalIterator()})
     else:
         told = told.join(template, "cc_host", "left")
 
@@ -397,11 +358,10 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", keep
             at = batch.schema.get_field_index
             hosts, sources = batch.column(at("cc_host")).to_pylist(), batch.column(at("cc_html")).to_pylist()
             if shared is not None:
-                told_ = [shared.value.get(h, ("", frozenset())) for h in hosts]
+                fixed = [shared.value.get(h, frozenset()) for h in hosts]
             else:
-                tops, fixed = (batch.column(at(c)).to_pylist() for c in ("cc_top", "cc_known"))
-                told_ = [(t, frozenset(x % (1 << 64) for x in c or ())) for t, c in zip(tops, fixed, strict=True)]
-            texts = [main_text(blocks_of(s or ""), top, fixed) for s, (top, fixed) in zip(sources, told_, strict=True)]
+                fixed = [frozenset(x % (1 << 64) for x in c or ()) for c in batch.column(at("cc_known")).to_pylist()]
+            texts = [main_text(blocks_of(s or ""), f) for s, f in zip(sources, fixed, strict=True)]
             texts = [t.encode("utf-8", "replace").decode() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(at(c)) for c in keep] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], [*keep, "text", "n_chars"])
 

@@ -553,6 +553,47 @@ def test_html_keeps_articles_that_a_host_repeats(spark):
     assert got == want
 
 
+def unnamed(n, rng):
+    """A page without telling names or elements: a menu, a notice and a foot around an article of several parts."""
+    say = lambda k: " ".join(f"w{rng.randrange(9000)}" for _ in range(k))
+    want = [say(4), say(30), say(6), say(25), *([say(9)] if n % 2 else []), say(20), say(12)]
+    title, first, link, second, *more = want
+    extra = f"<div>{more[0]}</div>" if n % 2 else ""
+    return (
+        "<html><body><div><ul><li><a href='/'>Start</a></li><li><a href='/a'>About all of this</a></li></ul></div><div>We keep what you do here for a year.</div>"
+        f"<h1>{title}</h1><div><p>{first}</p><p><a href='/{n}'>{link}</a></p><p>{second}</p>{extra}</div><div><p>{more[-2]}</p></div><article><p>{more[-1]}</p></article>"
+        "<div><p>Made in the north</p><p>Write to us</p></div></body></html>"
+    ), "\n\n".join(want)
+
+
+def test_wrappers_decide(spark):
+    rng = random.Random(14)
+    rows, want = [], {}
+    for n in range(30):
+        source, want[n] = unnamed(n, rng)
+        rows.append((n, f"http://{'many' if n < 25 else 'one' + str(n)}.com/{n}", source))
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {n: got[n] for n in range(25)} == {n: want[n] for n in range(25)}
+    # without a wrapper, or on a host of one page, the template's texts can't be told; nothing of the article is lost
+    for n, _, source in rows:
+        alone = H.main_text(H.blocks_of(source))
+        assert alone.startswith("Start\n\nAbout all of this\n\nWe keep") and want[n].split("\n\n")[0] in alone and (n < 25 or got[n] == alone)
+    assert H.SEEN_PAGES == 1000
+
+
+def test_html_is_read_whole(spark, monkeypatch):
+    long = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(0, "http://a.b/", f"<article><p>{long}</p></article>"), (1, "http://a.b/", f"<div>{long}<p>end")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == {0: long, 1: f"{long}\n\nend"}
+    rng = random.Random(3)
+    made = [unnamed(n, rng) for n in range(12)] * 3
+    df = spark.createDataFrame([(i, "http://h/", x) for i, (x, _) in enumerate(made)], "page_id long, url string, html string").coalesce(1)
+    for size in (1000, 2):  # what a task remembers changes nothing
+        monkeypatch.setattr(H, "SEEN_PAGES", size)
+        assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: t for i, (_, t) in enumerate(made)}
+
+
 def test_wrappers_are_union_free():
     a, b = (H.wrapper_of(H.blocks_of(f"<body><h1>{x}</h1>{m}<p>one {x}</p><p>two</p><p>end {x}</p><div>foot</div></body>")) for x, m in (("A", ""), ("B", "<h2>mid</h2>")))
     assert H.expression(H.merged(a, b)) == "(body/h1 #text) (body/h2)? (body/p)+ (body/div)"
