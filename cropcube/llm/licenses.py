@@ -12,7 +12,10 @@ byte span, best first where they overlap. What is left of a stretch beside repor
 ``least``, so of a notice that is repeated every copy is reported.
 
 The index is built from the templates, the stated query set: their number of words is checked against MOST_WORDS, and more are
-scanned in blocks. Map-only. Nulls and blank texts match nothing; null templates are skipped; rows are judged one by one.
+scanned in blocks; they are a list or a table (columns license, text). Map-only. Nulls and blank texts match nothing, texts of any
+length are scanned whole, null and blank templates are skipped; rows are judged one by one, repeated rows alike, and an empty table gives
+no rows. Of matches that tie, the one with more words wins, then the better covered template, the narrower, the earlier one and the
+first name. Columns of the names used are replaced.
 """
 
 from __future__ import annotations
@@ -71,6 +74,74 @@ TEMPLATES = (
         " following disclaimer in the documentation and/or other materials provided with the distribution.",
     ),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    (
+        "mpl-2.0-notice",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    (
+        "gpl-2.0-notice",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of"
+        " the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+        " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "lgpl-2.1-notice",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either"
+        " version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+        " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "agpl-3.0-notice",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either"
+        " version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+        " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice"
+        ' appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.'
+        " IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN"
+        " ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    (
+        "zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is"
+        " granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin"
+        " of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation"
+        " would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not"
+        " be removed or altered from any source distribution.",
+    ),
+    (
+        "unlicense",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form"
+        " or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    (
+        "bsl-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use,"
+        " reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.",
+    ),
+    (
+        "bsd-disclaimer",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY'
+        " AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR"
+        " CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY"
+        " OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF"
+        " SUCH DAMAGE.",
+    ),
+    (
+        "bsd-3-endorsement",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
+    (
+        "epl-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ),
+    ("cc0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("cc-by-nd-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("cc-by-nc-sa-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("gfdl-1.3", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3"),
+    ("wtfpl", "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed."),
     ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced without permission."),
 )
 
@@ -211,7 +282,7 @@ def stretches(index: Index, at: np.ndarray, template: np.ndarray, place: np.ndar
 
     order = np.lexsort((at, at - place, template))
     t, d, a = template[order], (at - place)[order], at[order]
-    i = 0
+    i, step = 0, max(1, band // 2)  # every hit is within half a step of an aligned diagonal
     todo: set[tuple[int, int]] = set()
     while i < len(t):
         j = i + 1
@@ -223,8 +294,7 @@ def stretches(index: Index, at: np.ndarray, template: np.ndarray, place: np.ndar
         cut = [0, *(np.flatnonzero(np.diff(a[group]) > size + band) + 1).tolist(), len(group)]
         for x, y in zip(cut[:-1], cut[1:], strict=True):
             part = group[x:y]
-            diagonals = {int(np.median(d[part])), *(int(v) for v in d[part])} if y - x <= 4 else {int(v) for v in np.unique(d[part] // max(1, band // 2)) * max(1, band // 2)}
-            todo |= {(int(t[i]), v) for v in diagonals}
+            todo |= {(int(t[i]), int(v) * step) for v in np.unique((d[part] + step // 2) // step)}
         i = j
     for k, v in sorted(todo):
         push(k, v, 0, len(words))
@@ -251,11 +321,13 @@ MATCH = "array<struct<license: string, matched: long, words: long, coverage: dou
 
 
 def scan(
-    docs: DataFrame, templates: list[tuple[str, str]] = list(TEMPLATES), text_col: str = "text", least: float = LEAST, band: int = BAND, gram: int = GRAM, window: int = WINDOW, keep: list[str] | None = None
+    docs: DataFrame, templates: list[tuple[str, str]] | DataFrame = TEMPLATES, text_col: str = "text", least: float = LEAST, band: int = BAND, gram: int = GRAM, window: int = WINDOW, keep: list[str] | None = None
 ) -> DataFrame:
     """``docs``' columns ``keep`` (all if None) and ``licenses``: what is found, by place; a column of this name is replaced."""
     ship(docs.sparkSession)
     keep = [c for c in (docs.columns if keep is None else keep) if c != "licenses"]
+    if isinstance(templates, DataFrame):
+        templates = [(r.license, r.text) for r in templates.where("license IS NOT NULL").select("license", "text").orderBy("license", "text").toLocalIterator()]
     blocks: list[list[tuple[str, str]]] = [[]]
     size = 0
     for name, text in templates:

@@ -317,6 +317,63 @@ def test_repeated_notices_are_all_found(spark):
             assert [(m, f, e) for _, m, _, f, e in got] == brute_matches(words, index.words[0], L.LEAST)
 
 
+def brute_scan(words, templates, least):
+    """All windows of all templates, the best first (most words, coverage, width, place, name), without overlaps."""
+    out, found = [], []
+    for name, t in templates:
+        for _, a, e in brute_windows(words, t, least):
+            t_ = common_words(t, words[a:e])
+            found.append((-t_, -t_ / len(t), e - a, a, name))
+    for m, _, n, a, name in sorted(found):
+        if all(a + n <= x or a >= y for _, _, x, y in out):
+            out.append((name, -m, a, a + n))
+    return sorted(out, key=lambda o: o[2])
+
+
+def common_words(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, j in itertools.product(range(len(a)), range(len(b))):
+        t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
+def brute_windows(words, template, least):
+    size = len(template)
+    for a in range(len(words)):
+        for e in range(a + 1, min(len(words), a + size + 2) + 1):
+            if (m := common_words(template, words[a:e])) >= least * size:
+                yield m, a, e
+
+
+def test_scan_equals_brute_force(spark):
+    rng = random.Random(19)
+    few = [(k, t) for k, t in L.TEMPLATES if k in ("mit", "cc-by-nc-4.0", "apache-2.0", "gpl-3.0")]
+    split = {k: L.words_of(t)[0] for k, t in few}
+    texts = []
+    for _ in range(14):
+        words = []
+        for _ in range(rng.randint(1, 6)):
+            own = [w.decode() for w in split[rng.choice(few)[0]]]
+            whole = rng.random() < 0.7  # a copy without its last word stands further from the next one than the band reaches
+            words += own[: len(own) - (not whole)] + [f"x{rng.randrange(99)}" for _ in range(rng.choice([0, 1, 4]) if whole else 2 * L.BAND)]
+        texts.append(" ".join(words))
+    table = spark.createDataFrame([*few, (None, "x"), ("blank", " "), ("none", None)], "license string, text string")
+    for templates in (few, table):
+        rows = {r.doc_id: r.licenses for r in L.scan(docs(spark, texts, True), templates).collect()}
+        for i, t in enumerate(texts):
+            words, spans = L.words_of(t)
+            want = [(k, m, spans[a][0], spans[e - 1][1]) for k, m, a, e in brute_scan(words, list(split.items()), L.LEAST)]
+            assert [(m.license, m.matched, m.start, m.end) for m in rows[i]] == want
+    assert L.scan(docs(spark, ["a"]).limit(0)).count() == 0 and L.scan(docs(spark, texts), table.limit(0)).where("size(licenses) > 0").count() == 0
+
+
+def test_every_template_is_found_in_a_long_text(spark):
+    filler = " ".join(f"f{i}" for i in range(30_000))
+    text = filler + "".join(f" {t} {k.replace('.', 'x')}yz" for k, t in L.TEMPLATES)
+    found = L.scan(docs(spark, [text])).first().licenses
+    assert len(L.TEMPLATES) >= 25 and {m.license for m in found if m.coverage == 1} >= {k for k, _ in L.TEMPLATES} - {"apache-2.0", "mpl-2.0"}
+
+
 # ---- 5 toxicity
 
 
