@@ -8,7 +8,9 @@ a seeded place on; a shard with more blocks than words goes round again. So word
 REPEATS times.
 
 A source has up to SHARDS shards, so its shards fit one task, and the driver sees one row for each source (a mix is declared
-by source). Documents are never gathered by source. Null texts have size 0; repeated rows are mixed one by one; reruns agree.
+by source). Documents are never gathered by source. Null and blank texts have size 0 and are never taken, texts of any length count
+whole, and an empty table gives no rows. Rows of one seeded hash follow by id, size and hash of the text; rows that are equal in
+all of these are mixed one by one, and it does not matter which of them is which. So reruns agree.
 """
 
 from __future__ import annotations
@@ -103,7 +105,7 @@ def mix(
     size = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
     src = F.when(F.col(source_col).isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), F.col(source_col).cast("string")))
     rows = docs.select(
-        *[F.col(c) for c in keep], src.alias("cc_src"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("cc_h"), F.col(id_col).alias("cc_id")
+        *[F.col(c) for c in keep], src.alias("cc_src"), size.alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("cc_h"), F.col(id_col).alias("cc_id"), F.xxhash64(F.col(text_col)).alias("cc_t")
     )
     rows = scratch.table(rows)
 
@@ -131,7 +133,7 @@ def mix(
     shards = dealt.groupBy("cc_src", "cc_shard").agg(F.sum("size").alias("cc_words"))
     shards = shards.groupBy("cc_src").applyInPandas(quotas, "cc_src string, cc_shard int, cc_words long, cc_taken long")
 
-    ring = Window.partitionBy("cc_src", "cc_shard").orderBy("cc_h", "cc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    ring = Window.partitionBy("cc_src", "cc_shard").orderBy("cc_h", "cc_id", "size", "cc_t").rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.join(shards, ["cc_src", "cc_shard"]).withColumn("cc_end", F.sum("size").over(ring)).withColumn("cc_start", F.col("cc_end") - F.col("size"))
     out = out.withColumn("cc_off", F.when(F.col("cc_words") > 0, F.pmod(F.xxhash64(F.lit(seed), "cc_src", "cc_shard"), "cc_words")).otherwise(0))
     out = out.withColumn("cc_rest", F.when(F.col("cc_words") > 0, F.pmod("cc_taken", "cc_words")).otherwise(0))

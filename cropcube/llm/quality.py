@@ -8,8 +8,9 @@ document is held against the same threshold.
 The trusted documents come from labels, up to TRUSTED_ROWS of them (chosen by a hash beyond that): that bounds what is
 broadcast. The raw counts are of all documents. What is handed back to the tasks is a table of BUCKETS weights.
 
-Nulls: a null text has no words, and fails. A null id is never trusted. Empty tables give empty results; without trusted
-documents all weights are 0, so the base rules alone decide.
+Nulls: a null or blank text has no words, and fails. A null id is never trusted. Texts of any length are judged whole. An id that several
+rows have is trusted in all of them; ties of a score with the threshold are kept. Empty tables give empty results; without
+trusted documents all weights are 0, so the base rules alone decide.
 """
 
 from __future__ import annotations

@@ -93,6 +93,71 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *count, F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
 
 
+def _marked(rank: int, rule: secrets.Rule) -> str:
+    """Of one rule: the parts of every text that has a match, cut at its matches; matches are the even ones."""
+    pattern = secrets.exact(rule).replace("'", "''")
+    size = f"length(regexp_extract(part, '{rule.pattern.replace(chr(39), chr(39) * 2)}', {rule.group}))" if rule.group else "length(part)"
+    return (
+        f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, i, part, CASE WHEN i % 2 = 0 AND {size} >= {rule.least} THEN 1 ELSE 0 END AS hit FROM ("
+        f"SELECT doc_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS x"
+        f" FROM d WHERE regexp_matches(t, '{pattern}')))"
+    )
+
+
+OP8_SQL = (
+    "WITH d AS (SELECT doc_id, translate(coalesce(text, ''), chr(57344) || chr(57345), chr(57346) || chr(57346)) AS t FROM documents), p AS ("
+    + " UNION ALL ".join(_marked(k, r) for k, r in enumerate((*secrets.BASE, *secrets.ADDED)))
+    + "), m AS (SELECT *, sum(length(part)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS e FROM p),"
+    " s AS (SELECT doc_id, rank, kind, (e - length(part))::BIGINT AS a, kind || ':' || (e - length(part))::BIGINT || ':' || e::BIGINT AS said FROM m WHERE hit = 1),"
+    " g AS (SELECT doc_id, "
+    + ", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in secrets.BASE)
+    + f", string_agg(said, ',' ORDER BY a, rank) FILTER (rank < {len(secrets.BASE)}) AS base, string_agg(said, ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)"
+    " SELECT d.doc_id, "
+    + ", ".join(f"coalesce(n_{r.kind}, 0)::BIGINT AS n_{r.kind}" for r in secrets.BASE)
+    + ", sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)"
+)
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures and the base rules of ``op10_quality``, which SQL can say; its verdict on the rest is a sum of logarithms."""
+    return op10_quality(spark, sf_dir).drop("kept", "score")
+
+
+QUALITY_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)),
+r AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+f AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM (SELECT *, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d) LEFT JOIN r USING (doc_id)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f
+"""
+
+
+def mixing_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What ``op3_mixing`` says beside the words it takes, which depend on hashes: sizes and targets, and how near the sources come."""
+    out = mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id", "source"])
+    whole = out.groupBy("source", "source_size", "target").agg(F.sum("taken").alias("all_taken"), F.max(F.col("taken") - 3 * F.col("size")).alias("over"))
+    near = (F.abs(F.col("all_taken") - F.col("target")) <= 1) & (F.col("over") <= 0)
+    told = whole.select(F.col("source").alias("s"), near.alias("near_target"))
+    out = out.join(told, F.col("source").eqNullSafe(F.col("s")))
+    return out.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "near_target")
+
+
+MIXING_TARGETS_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + ((row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 3)::INT] AS w FROM d GROUP BY source),
+r AS (SELECT *, 3 * source_size / w AS stop, row_number() OVER (ORDER BY 3 * source_size / w, source IS NULL, encode(source)) AS k FROM s),
+u AS (
+  SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(3 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (ORDER BY k DESC) AS unit FROM r
+), c AS (SELECT arg_min(unit, k) AS unit FROM u WHERE unit <= stop)
+SELECT doc_id, size, source_size, round(least(3 * source_size, w * (SELECT unit FROM c)), 4)::DOUBLE AS target, true AS near_target
+FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source
+"""
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -149,5 +214,14 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_html": op9_html,
     "op10_quality": op10_quality,
+    "mixing_targets": mixing_targets,
+    "quality_base": quality_base,
+}
+ORACLES = {
+    "op1_decontaminate": OP1_SQL,
+    "op2_ngram_join": OP2_SQL,
+    "op7_url_rules": OP7_SQL,
+    "op8_secrets": OP8_SQL,
+    "mixing_targets": MIXING_TARGETS_SQL,
+    "quality_base": QUALITY_BASE_SQL,
 }
-ORACLES = {"op1_decontaminate": OP1_SQL, "op2_ngram_join": OP2_SQL, "op7_url_rules": OP7_SQL}

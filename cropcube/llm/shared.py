@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,13 +16,15 @@ BLOCK_BITS = 32768
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only where it is unset (tests), one of our own."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset in a local session (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
         found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found is None:
         found = getattr(spark, "_cropcube_dir", None)
     if found is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         found = tempfile.mkdtemp(prefix="cropcube-")
         spark._cropcube_dir = found
     return found.rstrip("/")

@@ -210,5 +210,11 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str]
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
+    """``score``'s rows under a model of ``train``.
+
+    A null or blank text has no sentence and the score 0; texts of any length are scored whole, repeated rows alike. Labels of null ids
+    or other values than 0 and 1 are left out; an id with both labels counts as 0. Without labels of both kinds all scores are 0. A
+    score of 0.5 is predicted as 1. An empty table gives no rows.
+    """
     ship(docs.sparkSession)
     return score(docs, train(docs, labels, id_col, text_col, label_col), text_col, keep, spans)

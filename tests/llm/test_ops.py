@@ -240,6 +240,49 @@ def test_mix_meets_targets(spark):
     assert MX.mix(df.limit(0)).count() == 0
 
 
+def test_taken_equals_brute_force(spark):
+    """Words of a ring counted one by one, seats given one by one."""
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 5, 40, 200])), rng.choice(["a", "a", "a", "b", "c", None])) for i in range(1300)] + [(4, "x y", "a"), (4, "x y", "a"), (None, "x", "b"), (9, None, "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    ident = F.when(F.col("source").isNull(), "0").otherwise(F.concat(F.lit("1"), "source"))
+    told = df.select("doc_id", "source", F.size(F.split(F.trim(F.coalesce("text", F.lit(""))), " ")).alias("n"), F.trim(F.coalesce("text", F.lit(""))).alias("t"), ident.alias("s"), F.xxhash64(F.lit(MX.SEED), "doc_id").alias("h"), F.xxhash64("text").alias("th"))
+    told = [(r.s, r.h, r.doc_id, r.n if r.t else 0, r.th) for r in told.collect()]
+    names = sorted({x[0] for x in told}, key=lambda s: (s == "0", s))
+    sizes = [sum(x[3] for x in told if x[0] == s) for s in names]
+    targets = MX.targets_of(sizes, [MX.WEIGHTS[i % 3] for i in range(len(names))])
+    block = MX.block_size(sum(sizes), len(sizes))
+
+    def seats(shares, n, most):
+        got = [0] * len(shares)
+        for _ in range(n):
+            free = [i for i in range(len(shares)) if got[i] < most[i] and shares[i] > 0]
+            if not free:
+                break
+            got[max(free, key=lambda i: (shares[i] / (2 * got[i] + 1), -i))] += 1
+        return got
+
+    want = collections.Counter()
+    for s, quota in zip(names, seats(targets, sum(sizes), [3 * x for x in sizes]), strict=True):
+        own = [x for x in told if x[0] == s]
+        shards = min(MX.SHARDS, -(-len(own) // MX.SHARD_DOCS))
+        rings = {k: sorted((x for x in own if (x[1] >> 20) % shards == k), key=lambda x: (x[1], x[2] is not None, x[2] or 0, x[3], x[4])) for k in range(shards)}
+        rings = {k: v for k, v in rings.items() if v}
+        words = [sum(x[3] for x in v) for v in rings.values()]
+        first = [b * block for b in seats(words, quota // block, [3 * w // block for w in words])]
+        last = seats(words, quota - sum(first), [3 * w - f for w, f in zip(words, first, strict=True)])
+        for (k, ring), w, f, g in zip(rings.items(), words, first, last, strict=True):
+            if not w:
+                continue
+            off = spark.range(1).select(F.pmod(F.xxhash64(F.lit(MX.SEED), F.lit(s), F.lit(k)), F.lit(w))).first()[0]
+            flat = [i for i, x in enumerate(ring) for _ in range(x[3])]
+            hit = collections.Counter(flat[(off + i) % w] for i in range(f + g))
+            for i, x in enumerate(ring):
+                want[x[2], x[3], s, hit[i]] += 1
+    got = collections.Counter((r.doc_id, r["size"], "0" if r.source is None else "1" + r.source, r.taken) for r in MX.mix(df).collect())
+    assert got == want
+
+
 def test_mix_serves_small_sources(spark):
     rows = [(i, "w " * 1000, "bcd"[i % 3]) for i in range(1500)] + [(2000 + i, "w " * (1 + 14 * i), f"a{i}") for i in range(8)]
     df = spark.createDataFrame(rows + [(3000, "", "empty")], "doc_id long, text string, source string")
@@ -688,6 +731,37 @@ def test_quality(spark):
     assert Q.judge(docs(spark, good), labels.limit(0)).where("kept").count() == 120 and Q.judge(docs(spark, ["a"]).limit(0), labels).count() == 0
 
 
+def test_scores_equal_brute_force(spark):
+    import math
+
+    import xxhash
+
+    rng = random.Random(15)
+    texts = [" ".join(f"{rng.choice('wvé')}{rng.randrange(60)}" for _ in range(rng.randint(50, 90))) for _ in range(60)] + EDGES
+    trusted = set(range(0, 60, 3))
+    labels = spark.createDataFrame([(i, 1) for i in trusted] + [(1, 0), (None, 1)], "doc_id long, quality int")
+
+    def cells(t):
+        w = [x.encode() for x in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        one = [xxhash.xxh64(x, seed=42).intdigest() for x in w]
+        two = [xxhash.xxh64(x, seed=h).intdigest() for x, h in zip(w[1:], one, strict=False)] + one[-1:]
+        return [h % Q.BUCKETS for h in one] + [Q.BUCKETS + h % Q.BUCKETS for h in two]
+
+    raw, good = collections.Counter(), collections.Counter()
+    for i, t in enumerate(texts):
+        raw.update(cells(t))
+        if i in trusted:
+            good.update(cells(t))
+    side = lambda c, pair: sum(n for b, n in c.items() if (b >= Q.BUCKETS) == pair)
+    share = {pair: side(raw, pair) / side(good, pair) for pair in (False, True)}
+    weight = lambda b: math.log((good[b] * share[b >= Q.BUCKETS] + Q.PRIOR) / (raw[b] + Q.PRIOR))
+    for r in Q.judge(docs(spark, texts, True), labels).collect():
+        own = cells(texts[r.doc_id])
+        score = sum(map(weight, own)) / len(own) if own else None
+        assert r.score == (pytest.approx(score, abs=1e-9) if own else None)
+        assert r.kept == (not brute_base(texts[r.doc_id])[-1] and score >= Q.THRESHOLD)
+
+
 # ---- pipeline
 
 
