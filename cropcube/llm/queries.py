@@ -99,7 +99,7 @@ def _marked(rank: int, rule: secrets.Rule) -> str:
     size = f"length(regexp_extract(part, '{rule.pattern.replace(chr(39), chr(39) * 2)}', {rule.group}))" if rule.group else "length(part)"
     return (
         f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, i, part, CASE WHEN i % 2 = 0 AND {size} >= {rule.least} THEN 1 ELSE 0 END AS hit FROM ("
-        f"SELECT doc_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\0' || chr(57344), 'g'), chr(57344)) AS x"
+        f"SELECT doc_id, unnest(x) AS part, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, string_split(regexp_replace(t, '{pattern}', chr(57344) || '\\0' || chr(57344), 'g'), chr(57344)) AS x"
         f" FROM d WHERE regexp_matches(t, '{pattern}')))"
     )
 
