@@ -230,7 +230,12 @@ def entries_of(h: np.ndarray, at: np.ndarray, table: np.ndarray, num: int, den:
 
 
 def index(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spark: SparkSession) -> DataFrame:
-    """``(gram, sid, n, top)`` of the n-grams that two or more sets have in their prefixes."""
+    """What the n-grams have that two or more sets hold in their prefixes: entries and pairs.
+
+    Entries ``(gram, sid, n, top, salted)`` are of n-grams of three sets or more. Pairs ``(sid, other, star)`` are those of n-grams of two
+    sets, and, marked by ``star``, of every entry with two heads of its n-gram (``heads_of``). Where an n-gram's sets are dealt to
+    several tasks (``salted``) there are entries only.
+    """
     ranges = ranges_of(docs)
 
     def emit(batches):
@@ -275,14 +280,39 @@ def index(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spa
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])
         g, s, n, top = g[new], s[new], n[new], top[new]
-        if part.column("salt")[0].as_py() == 0:  # all entries of these n-grams are here
+        salted = part.column("salt")[0].as_py() > 0
+        pairs = [np.zeros((0, 3), np.uint64)]
+        if not salted:  # all entries of these n-grams are here
             for _ in range(2):
                 keep = served(g, n, top)
                 g, s, n, top = g[keep], s[keep], n[keep], top[keep]
-        return pa.table({"gram": signed(g), "sid": signed(s), "n": pa.array(n), "top": pa.array(top)})
+            start = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]]))
+            size = np.diff(np.append(start, len(g)))
+            each = np.repeat(size, size)
+            for star, one, two in [(0, start[size == 2], start[size == 2] + 1), *((1, np.flatnonzero(each > 2), h[each > 2]) for h in heads_of(s, n, top, start, size))]:
+                ok = (s[one] != s[two]) & (n[one] <= top[two]) & (n[two] <= top[one])
+                x, y = s[one][ok].view(np.int64), s[two][ok].view(np.int64)
+                pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y), np.full(len(x), star)], axis=1).view(np.uint64))
+            g, s, n, top = g[each > 2], s[each > 2], n[each > 2], top[each > 2]
+        met_ = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+        none, blank = pa.nulls(len(met_), pa.int64()), pa.nulls(len(g), pa.int64())
+        columns = {"gram": (signed(g), none), "sid": (signed(s), pa.array(met_[:, 0])), "n": (pa.array(n), none), "top": (pa.array(top), none), "other": (blank, pa.array(met_[:, 1]))}
+        columns |= {"star": (pa.nulls(len(g), pa.bool_()), pa.array(met_[:, 2] == 1)), "salted": (pa.array(np.full(len(g), salted)), pa.nulls(len(met_), pa.bool_()))}
+        return pa.table({c: pa.concat_arrays(v) for c, v in columns.items()})
 
     kinds = "r long, salt long, grams binary, sids binary, ns binary, tops binary"
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(emit, kinds).groupBy("r", "salt").applyInArrow(met, "gram long, sid long, n long, top long")
+    met_kinds = "gram long, sid long, n long, top long, other long, star boolean, salted boolean"
+    return docs.select(F.col(text_col).cast("string")).mapInArrow(emit, kinds).groupBy("r", "salt").applyInArrow(met, met_kinds)
+
+
+def heads_of(s: np.ndarray, n: np.ndarray, top: np.ndarray, start: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """For each entry the place of a head of its n-gram: of the set with the fewest rare n-grams, then of the one with the least hash."""
+    if not len(s):
+        return
+    h = K.mix(s.copy())
+    posting = np.repeat(np.arange(len(start)), size)
+    for order in (np.lexsort((h, n - top, posting)), np.lexsort((h, posting))):
+        yield np.repeat(order[start], size)
 
 
 def served(g: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
@@ -296,7 +326,7 @@ def served(g: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
 
 
 def star_pairs(entries: DataFrame) -> DataFrame:
-    """``(a, b)``: every entry with two members of its posting, where their sizes serve each other."""
+    """``(a, b)``: every entry with two heads of its n-gram, where their sizes serve each other; for n-grams that are in several tasks."""
     member = F.struct("sid", "n", "top")
     by_hash = F.xxhash64("sid")
     heads = entries.groupBy("gram").agg(
@@ -325,7 +355,7 @@ def near_in_parity(pairs: DataFrame, parity: DataFrame, num: int, den: int, scra
 def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, least: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """``(a, b)``: all pairs of different components that share an entry, serve each other and whose parities are near enough.
 
-    Postings of fewer than ``least`` entries are left out: those of two are settled by ``star_pairs``.
+    Postings of fewer than ``least`` entries are left out.
 
     In a posting the entries of its main component only stand against the others (``odd``). Where a posting has more entries than
     BLOCK, blocks of the odd ones meet blocks of all.
@@ -473,16 +503,20 @@ def jaccard_components(
     scratch = Scratch(spark, "ngram-join")
     told = scratch.table(described(docs, id_col, text_col, k))
     table = spark.sparkContext.broadcast(Sparse(levels(docs, text_col, k, spark)))
-    entries = scratch.table(index(docs, text_col, k, num, den, table, spark))
-
-    # groups of near copies: entries against two members of their postings
-    first = spark.createDataFrame([], "a long, b long")
+    found = scratch.table(index(docs, text_col, k, num, den, table, spark))
+    entries = found.where("gram IS NOT NULL").select("gram", "sid", "n", "top", "salted")
+    pairs = found.where("gram IS NULL").select(F.col("sid").alias("a"), F.col("other").alias("b"), "star")
     bits = scratch.table(told.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("parity").alias("parity")))
+    counted = lambda asked: links(near_in_parity(asked, bits, num, den, scratch), docs, text_col, k, num, den, table, scratch)
+
+    # n-grams of two sets, and for groups of near copies every set with two heads of each of its n-grams
+    asked = pairs.where(F.lit(stars) | ~F.col("star")).select("a", "b")
     if stars:
-        first = links(near_in_parity(star_pairs(entries), bits, num, den, scratch), docs, text_col, k, num, den, table, scratch)
+        asked = asked.union(star_pairs(entries.where("salted")))
+    first = counted(asked.distinct())
     roots = scratch.table(components(first, scratch))
 
-    # all pairs that are left, between components
+    # all pairs that are left, between components; of an n-gram that is in several tasks, those of two sets are settled by the stars
     second = links(crossing_pairs(entries, roots, bits, 3 if stars else 2, num, den, scratch), docs, text_col, k, num, den, table, scratch)
     table.destroy()
 
