@@ -364,7 +364,8 @@ def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, leas
     rooted = scratch.table(rooted)
     main = F.min_by("root", F.struct(F.col("n") - F.col("top"), F.xxhash64("root"))).alias("main")
     heads = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), main, F.min("n").alias("low"), F.max("top").alias("high"), F.count("*").alias("k")).where(f"r0 <> r1 AND k >= {least}")
-    live = rooted.join(heads.select("gram", "main", "low", "high"), "gram").where("top >= low AND n <= high")
+    # sort-merge joins, whose large partitions are split: an n-gram of very many sets is no task of its own
+    live = rooted.join(heads.select("gram", "main", "low", "high").hint("merge"), "gram").where("top >= low AND n <= high")
     live = scratch.table(live.select("gram", "sid", "n", "top", "root", (F.col("root") != F.col("main")).alias("odd")))
     blocks = lambda c: F.expr(f"cast(pow(2, greatest(0, ceil(log2({c} / {BLOCK})))) as int)")
     size = live.groupBy("gram").agg(F.count("*").alias("k"), F.count_if("odd").alias("o")).where("k > 1 AND o > 0").select("gram", blocks("o").alias("bo"), blocks("k").alias("bk"))
@@ -375,7 +376,7 @@ def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, leas
     as_odd = deal("bk", lambda x: F.pmod(h, "bo"), lambda x: x, 0)
     as_any = deal("bo", lambda x: x, lambda x: F.pmod(h, "bk"), 1)
     one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(2).alias("side")))
-    dealt = live.join(size, "gram").withColumn("to", F.explode(F.when(alone, one).otherwise(F.concat(F.when(F.col("odd"), as_odd).otherwise(none), as_any))))
+    dealt = live.join(size.hint("merge"), "gram").withColumn("to", F.explode(F.when(alone, one).otherwise(F.concat(F.when(F.col("odd"), as_odd).otherwise(none), as_any))))
     ranges = ranges_of(rooted)
     dealt = dealt.select(F.shiftright(F.shiftrightunsigned("gram", 32) * ranges, 32).alias("r"), "to.i", "to.j", "to.side", "gram", "sid", "n", "top", "root").join(parity.select("sid", "parity"), "sid")
 
