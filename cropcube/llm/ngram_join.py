@@ -42,8 +42,9 @@ WORDS = 5
 NUM, DEN = 75, 100
 #: Fragments of the global order: all but the last are of n-grams of level 0, by fingerprint; the last has the frequent ones.
 FRAGMENTS = 4
-#: Bits of a set's parity.
+#: Bits of a set's parity: so many, or as many as it has n-grams (the next power of two), but no more than MOST_PARITY.
 PARITY = 1024
+MOST_PARITY = 1 << 17
 #: Cells of the table of levels (bytes of the broadcast), and bits of an n-gram that are counted.
 LEVEL_BITS = 24
 COUNT_BITS = 34
@@ -84,16 +85,50 @@ def set_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def parities(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row of PARITY bits for each set, as bytes: bit k is the parity of the n-grams of cell k."""
-    out = [np.zeros((0, PARITY // 8), np.uint8)]
-    for i in range(0, len(at) - 1, 4096):
-        part = at[i : i + 4097]
-        n = len(part) - 1
-        cell = ((h[part[0] : part[-1]] >> np.uint64(7)) % np.uint64(PARITY)).astype(np.int64)
-        cell += np.repeat(np.arange(n), np.diff(part)) * PARITY
-        out.append(np.packbits(np.bincount(cell, minlength=n * PARITY).reshape(n, PARITY).astype(np.uint8) & 1, axis=1))
-    return np.concatenate(out)
+def parities(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Of each set its parity: bit k tells whether an odd number of its n-grams is of cell k."""
+    out: list[bytes] = []
+    size = np.diff(at)
+    long = size > PARITY
+    for i in range(0, len(size), 4096):
+        n = len(size[i : i + 4096])
+        a, z = at[i], at[i + n]
+        short = np.repeat(~long[i : i + n], size[i : i + n])
+        cell = np.repeat(np.arange(n), size[i : i + n])[short] * PARITY + cells_of(h[a:z][short], PARITY)
+        rows = np.packbits(np.bincount(cell, minlength=n * PARITY).reshape(n, PARITY).astype(np.uint8) & 1, axis=1)
+        out += [x.tobytes() for x in rows]
+    for d in np.flatnonzero(long).tolist():
+        bits = min(MOST_PARITY, 1 << int(size[d] - 1).bit_length())
+        out[d] = np.packbits(np.bincount(cells_of(h[at[d] : at[d + 1]], bits), minlength=bits).astype(np.uint8) & 1).tobytes()
+    return out
+
+
+def cells_of(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h >> np.uint64(7)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def folded(parity: bytes, size: int) -> np.ndarray:
+    """The parity of fewer cells: the halves of a longer one stand over each other."""
+    out = np.frombuffer(parity, np.uint8)
+    while len(out) > size:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def differing(parity: list[bytes], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places in which the parities of rows ``a`` and ``b`` differ: the sets differ in that many n-grams or more."""
+    size = np.array([len(x) for x in parity], np.int64)
+    least = np.minimum(size[a], size[b])
+    out = np.zeros(len(a), np.int64)
+    for w in np.unique(least).tolist():
+        each = np.flatnonzero(least == w)
+        step = max(1, (8 << 20) // w)
+        for i in range(0, len(each), step):
+            part = each[i : i + step]
+            rows, place = np.unique(np.concatenate([a[part], b[part]]), return_inverse=True)
+            bits = np.stack([folded(parity[r], w) for r in rows.tolist()]).view(np.uint64)
+            out[part] = np.bitwise_count(bits[place[: len(part)]] ^ bits[place[len(part) :]]).sum(axis=1, dtype=np.int64)
+    return out
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -106,7 +141,7 @@ def described(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             ids = batch.column(0)
             for i, j, h, at in sets_of(batch.column(1), k):
                 n = np.diff(at)
-                bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.arange(len(n) + 1, dtype=np.int32) * (PARITY // 8)), pa.py_buffer(parities(h, at))])
+                bits = pa.array(parities(h, at), pa.binary())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n), pa.array(set_ids(h, at).view(np.int64), mask=n == 0), bits], ["id", "n", "sid", "parity"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -345,8 +380,8 @@ def near_in_parity(pairs: DataFrame, parity: DataFrame, num: int, den: int, scra
     def test(batches):
         for batch in batches:
             n = batch.column(2).to_numpy() + batch.column(3).to_numpy()
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(n), -1) for c in (4, 5))
-            ok = pa.array((num + den) * np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64) <= (den - num) * n)
+            both = batch.column(4).to_pylist() + batch.column(5).to_pylist()
+            ok = pa.array((num + den) * differing(both, np.arange(len(n)), np.arange(len(n)) + len(n)) <= (den - num) * n)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["a", "b"])
 
     return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "na", "nb", "pa", "pb").mapInArrow(test, "a long, b long")
@@ -382,7 +417,7 @@ def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, leas
 
     def found(part: pa.Table) -> pa.Table:
         gram, sid, n, top, root, side = (part.column(c).to_numpy() for c in ("gram", "sid", "n", "top", "root", "side"))
-        bits = np.frombuffer(b"".join(part.column("parity").to_pylist()), np.uint64).reshape(len(gram), -1)
+        bits = part.column("parity").to_pylist()
         kinds, row, ident = np.unique(sid, return_index=True, return_inverse=True)
         keys = [np.zeros(0, np.int64)]
         held = 0
@@ -394,13 +429,9 @@ def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, leas
             if held > 4_000_000:
                 keys, held = [np.unique(np.concatenate(keys))], 0
         every = np.unique(np.concatenate(keys))
-        out = []
-        for x in range(0, len(every), 1 << 17):
-            a, b = every[x : x + (1 << 17)] // len(kinds), every[x : x + (1 << 17)] % len(kinds)
-            a, b = row[a], row[b]
-            differ = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            out.append(np.stack([a, b])[:, (num + den) * differ <= (den - num) * (n[a] + n[b])])
-        a, b = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        a, b = row[every // len(kinds)], row[every % len(kinds)]
+        near = (num + den) * differing(bits, a, b) <= (den - num) * (n[a] + n[b])
+        a, b = a[near], b[near]
         return pa.table({"a": pa.array(np.minimum(sid[a], sid[b])), "b": pa.array(np.maximum(sid[a], sid[b]))})
 
     return dealt.groupBy("r", "i", "j").applyInArrow(found, "a long, b long").distinct()
