@@ -78,12 +78,20 @@ def concat(parts: Iterable[DataFrame]) -> DataFrame:
     return out
 
 
-def merge(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
-    """Full outer merge; a variable that both have takes the value that is there. ``conflicts`` finds where both differ."""
+def merge(a: DataFrame, b: DataFrame, on: list[str], on_conflict: str = "left") -> DataFrame:
+    """Full outer merge; a variable that both have takes the value that is there.
+
+    Where both have one and they differ, ``a``'s is taken, or the query fails if ``on_conflict`` is "raise"; ``conflicts`` finds these places.
+    """
+    if on_conflict not in ("raise", "left"):
+        raise ValueError("on_conflict is raise or left")
     common = [c for c in a.columns if c in b.columns and c not in on]
     x, y = a.alias("x"), b.withColumnsRenamed({c: f"{c}__other" for c in common}).alias("y")
     out = x.join(y, on, "full_outer")
-    return out.withColumns({c: F.coalesce(F.col(c), F.col(f"{c}__other")) for c in common}).drop(*(f"{c}__other" for c in common))
+    either = {c: F.coalesce(F.col(c), F.col(f"{c}__other")) for c in common}
+    if on_conflict == "raise":
+        either = {c: F.when(F.col(c) != F.col(f"{c}__other"), F.raise_error(F.lit(f"both sides have {c} and differ"))).otherwise(e) for c, e in either.items()}
+    return out.withColumns(either).drop(*(f"{c}__other" for c in common))
 
 
 def conflicts(a: DataFrame, b: DataFrame, on: list[str], variable: str) -> DataFrame:
@@ -126,13 +134,38 @@ def collocate(slave: DataFrame, origin: tuple[float, float], step: tuple[float,
     return df.groupBy(*keep, "row", "col").agg(best.alias("v")).select(*keep, "row", "col", "v.*")
 
 
+def collocate_cells(
+    slave: DataFrame,
+    slave_origin: tuple[float, float],
+    slave_step: tuple[float, float],
+    origin: tuple[float, float],
+    step: tuple[float, float],
+    shape: tuple[int | Column, int | Column],
+    values: list[str],
+    keep: list[str],
+) -> DataFrame:
+    """A regular cube on another grid, coarser or finer: every master cell (row, col) looks up the slave's cell that its centre is nearest to.
+
+    So a coarse slave's value is in all master cells around it. Rows and columns are looked up apart, by two equi-joins with an axis each.
+    """
+    spark = slave.sparkSession
+
+    def axis(name: str, k: int) -> DataFrame:
+        n = shape[k] if isinstance(shape[k], Column) else F.lit(shape[k])
+        cells = spark.range(1).select(F.explode(F.sequence(F.lit(0), n.cast("int") - 1)).alias(name))
+        return cells.withColumn(f"of_{name}", nearest_cell(F.lit(float(origin[k])) + F.col(name) * step[k], slave_origin[k], slave_step[k]))
+
+    df = slave.withColumns({"of_row": nearest_cell(F.col("y"), slave_origin[0], slave_step[0]), "of_col": nearest_cell(F.col("x"), slave_origin[1], slave_step[1])})
+    return df.join(axis("row", 0), "of_row").join(axis("col", 1), "of_col").select(*keep, "row", "col", *values)
+
+
 def refine(df: DataFrame, factor: int) -> DataFrame:
     """Every place becomes factor x factor places of the same value."""
     sub = F.array(*[F.struct(F.lit(i / factor).alias("dy"), F.lit(j / factor).alias("dx")) for i in range(factor) for j in range(factor)])
     return df.withColumn("s", F.explode(sub)).withColumn("y", F.col("y") + F.col("s.dy")).withColumn("x", F.col("x") + F.col("s.dx")).drop("s")
 
 
-def translate(df: DataFrame, grid: DataFrame, dy: int, dx: int, values: list[str], keep: list[str]) -> DataFrame:
+def translate(df: DataFrame, grid: DataFrame, dy: int | Column, dx: int | Column, values: list[str], keep: list[str]) -> DataFrame:
     """output[y, x] = input[y + dy, x + dx]; places that come from outside are 0."""
     moved = df.withColumns({"y": F.col("y") - dy, "x": F.col("x") - dx})
     out = grid.join(moved, [*keep, *GRID], "left")

@@ -56,9 +56,14 @@ def slope(value: Column, time: Column, w, lag: int = 1) -> Column:
 
 
 def trend(df: DataFrame, value: str, by: list[str], lag: int = 1) -> DataFrame:
-    """Slope of every pixel against its date ``lag`` positions before, in order of time."""
-    w = Window.partitionBy(*by).orderBy("time")
-    return df.withColumn("trend", slope(F.col(value), F.col("time"), w, lag))
+    """Slope of every pixel against the scene date ``lag`` before its own; NULL if the pixel has no value there.
+
+    Scene dates are those of the whole cube, in order of time; a date that a pixel lacks is counted all the same.
+    """
+    dates = df.select("time").distinct().withColumn("scene", F.row_number().over(Window.orderBy("time")))  # dates are few against pixels
+    then = Window.partitionBy(*by).orderBy("scene").rangeBetween(-lag, -lag)
+    before, day = F.max(F.col(value)).over(then), F.max("time").over(then)
+    return df.join(dates, "time").withColumn("trend", F.try_divide(F.col(value) - before, F.datediff("time", day).cast("double"))).drop("scene")
 
 
 def trend_between(df: DataFrame, value: str, by: list[str], position: int = -1, lag: int = 1) -> DataFrame:
@@ -74,6 +79,18 @@ def trend_between(df: DataFrame, value: str, by: list[str], position: int = -1,
     return out.select(*by, F.try_divide(F.col("v1") - F.col("v0"), F.datediff("t1", "t0").cast("double")).alias("trend")).where("trend IS NOT NULL")
 
 
+def nearest_cube(cube: DataFrame, dates: DataFrame, values: list[str], orbits: list[str], tolerance: int = 10) -> DataFrame:
+    """Radar pixels at optical dates: of each orbit those of the nearest radar date within ``tolerance`` days, the later of two.
+
+    Variables get the orbit's name behind them, time is the optical date, and the orbits are merged by (time, y, x). Optical dates
+    that no orbit has a date near are dropped.
+    """
+    match = nearest(dates, cube, tolerance).select("orbit", F.col("right_time").alias("time"), F.col("left_time").alias("to"))
+    near = cube.join(match, ["orbit", "time"])
+    one = [F.first(F.when(F.col("orbit") == o, F.col(v)), ignorenulls=True).alias(f"{v}_{o}") for o in orbits for v in values]
+    return near.groupBy(F.col("to").alias("time"), "y", "x").agg(*one)
+
+
 def target_dates(first: Column, doa: Column, step: int) -> Column:
     """Dates doa + step, doa, doa - step, ... that are after ``first``."""
     start = F.date_add(doa, step)

@@ -61,31 +61,75 @@ def glcm(cells: DataFrame, by: list[str], dr: int, dc: int, levels: int = 16) ->
     )
 
 
-def glcm_windows(tiles: DataFrame, width: int, window: int = 5, displacement: int = 1, levels: int = 16) -> DataFrame:
-    """Contrast, entropy and ASM of every place's window (cut at the tile's edge), right and down neighbours together: Arrow over tiles."""
+MEASURES = ("contrast", "dissimilarity", "homogeneity", "asm", "energy", "entropy", "mean", "variance", "correlation")
+
+
+def window_pairs(height: int, width: int, window: int, displacement: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every place's window (cut at the edge) the pairs of places ``displacement`` apart at 0, 45, 90 and 135 degrees: (first, second, is one)."""
+    half, d = window // 2, displacement
+    r, c = (x.ravel()[:, None] for x in np.indices((height, width)))
+    i, j = (x.ravel()[None, :] for x in np.indices((window, window)))
+    first, second, real = [], [], []
+    for dr, dc in ((0, d), (d, -d), (d, 0), (d, d)):
+        k = ((i + dr < window) & (j + dc >= 0) & (j + dc < window)).ravel()
+        r0, c0 = r - half + i[:, k], c - half + j[:, k]
+        r1, c1 = r0 + dr, c0 + dc
+        ok = (np.minimum(r0, r1) >= 0) & (np.maximum(r0, r1) < height) & (np.minimum(c0, c1) >= 0) & (np.maximum(c0, c1) < width)
+        first.append(np.where(ok, r0 * width + c0, 0))
+        second.append(np.where(ok, r1 * width + c1, 0))
+        real.append(ok)
+    return np.concatenate(first, 1), np.concatenate(second, 1), np.concatenate(real, 1)
+
+
+def window_measures(tiles: np.ndarray, width: int, window: int, displacement: int, levels: int) -> np.ndarray:
+    """MEASURES of all windows of tiles of one shape: (tile, place, measure); NaN where a window has no pair (or, for the last, no variance)."""
+    n = tiles.shape[1]
+    below = (np.sort(tiles, axis=1)[:, None, :] < tiles[:, :, None]).sum(2)
+    q = below * levels // n  # levels of equal probability; equal values have one level
+    a, b, real = window_pairs(n // width, width, window, displacement)
+    i, j = q[:, a], q[:, b]
+    i, j = np.concatenate([i, j], 2), np.concatenate([j, i], 2)  # symmetric
+    real = np.concatenate([real, real], 1)[None]
+    count = real.sum(2)
+    share = np.where(count > 0, 1 / np.maximum(count, 1), np.nan)
+    mean_of = lambda x: np.where(real, x, 0).sum(2) * share
+    code = np.where(real, i * levels + j, -1 - np.arange(real.shape[2]))
+    p = (code[..., :, None] == code[..., None, :]).sum(3) * share[..., None]  # of each pair the probability of its levels
+    d = i - j
+    asm, mean = mean_of(p), mean_of(i)
+    var = mean_of(i * i) - mean * mean
+    with np.errstate(divide="ignore", invalid="ignore"):
+        entropy = -mean_of(np.log(p))
+        corr = np.where(var > 1e-12, (mean_of(i * j) - mean * mean) / var, np.nan)
+    return np.stack([mean_of(d * d), mean_of(np.abs(d)), mean_of(1 / (1 + d * d)), asm, np.sqrt(asm), entropy, mean, var, corr], axis=2)
+
+
+def glcm_windows(tiles: DataFrame, width: int, window: int = 5, displacement: int = 4, levels: int = 16) -> DataFrame:
+    """MEASURES of the symmetric co-occurrence matrix of every place's window, all four directions together: array operations over tiles.
+
+    Levels are of equal probability in the tile. Windows are cut at the tile's edge; one without pairs has NULL measures, as has an
+    empty tile or one with missing values.
+    """
     ship(tiles.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        half = window // 2
         for pdf in batches:
-            out = []
-            for id_, data in zip(pdf["id"], pdf["data"], strict=True):
-                t = np.asarray(data, float).reshape(-1, width)
-                span = t.max() - t.min()
-                q = np.minimum(levels - 1, ((t - t.min()) / span * levels).astype(int)) if span > 0 else np.zeros(t.shape, int)
-                for r in range(t.shape[0]):
-                    for c in range(width):
-                        part = q[max(0, r - half) : r + half + 1, max(0, c - half) : c + half + 1]
-                        m = np.zeros((levels, levels))
-                        for x, y in ((part[:, :-displacement], part[:, displacement:]), (part[:-displacement], part[displacement:])):
-                            np.add.at(m, (x.ravel(), y.ravel()), 1)
-                        m = (m + m.T) / max(1, 2 * m.sum())
-                        i, j = np.indices(m.shape)
-                        nz = m[m > 0]
-                        out.append((id_, r, c, float((m * (i - j) ** 2).sum()), float(-(nz * np.log(nz)).sum()), float((m * m).sum())))
-            yield pd.DataFrame(out, columns=["id", "r", "c", "contrast", "entropy", "asm"])
-
-    return tiles.select("id", "data").mapInPandas(run, "id long, r int, c int, contrast double, entropy double, asm double")
+            data = [np.asarray(x if x is not None else [], float) for x in pdf["data"]]
+            for size in sorted({len(x) for x in data} - {0}):
+                at = [k for k, x in enumerate(data) if len(x) == size]
+                for part in (at[x : x + 64] for x in range(0, len(at), 64)):
+                    t = np.stack([data[k] for k in part])
+                    m = window_measures(t, width, window, displacement, levels)
+                    m[np.isnan(t).any(1)] = np.nan
+                    out = pd.DataFrame(m.reshape(-1, len(MEASURES)), columns=list(MEASURES)).astype(object)
+                    out = out.where(out.notna(), None)
+                    place = np.tile(np.arange(size), len(part))
+                    out.insert(0, "id", np.repeat(pdf["id"].to_numpy()[part], size))
+                    out.insert(1, "r", place // width)
+                    out.insert(2, "c", place % width)
+                    yield out
+
+    return tiles.select("id", "data").mapInPandas(run, "id long, r int, c int, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
 def neighbours(cells: DataFrame, by: list[str], offsets: dict[str, list[tuple[int, int, float]]]) -> DataFrame:

@@ -352,7 +352,7 @@ _register_sql("concat_time", two("SELECT * FROM a UNION ALL SELECT * FROM b"))
 @query()
 def merge_outer(s, d):
     a, b = _two(s, d)
-    return C.merge(a, b.withColumnRenamed("nir", "nir_l8"), ["time", "y", "x"])
+    return C.merge(a, b.withColumnRenamed("nir", "nir_l8"), ["time", "y", "x"], "raise")
 
 
 _register_sql("merge_outer", two("SELECT time, y, x, a.nir, b.nir AS nir_l8 FROM a FULL JOIN b USING (time, y, x)"))
@@ -361,7 +361,7 @@ _register_sql("merge_outer", two("SELECT time, y, x, a.nir, b.nir AS nir_l8 FROM
 @query()
 def merge_no_conflicts(s, d):
     a, _ = _two(s, d)
-    return C.merge(a.where("x < 20"), a.where("x >= 10"), ["time", "y", "x"])
+    return C.merge(a.where("x < 20"), a.where("x >= 10"), ["time", "y", "x"], "raise")
 
 
 _register_sql("merge_no_conflicts", two("SELECT time, y, x, nir FROM a"))
@@ -421,6 +421,35 @@ def collocate_nearest_all(s, d):
     return C.collocate(df, (0.0, 0.0), (2.0, 5.0), shape, ["nir"], ["time"])
 
 
+_COARSE = "SELECT time, y, x, nir FROM px_month WHERE product = 'S2' AND y % 4 = 0 AND x % 5 = 0"
+
+
+@query(
+    f"""SELECT time, "row", col, nir FROM ({_COARSE}) s, (SELECT unnest(range((SELECT max(y) FROM px WHERE product = 'S2')::BIGINT + 1))::INTEGER AS "row"), (SELECT unnest(range((SELECT max(x) FROM px WHERE product = 'S2')::BIGINT + 1))::INTEGER AS col)
+WHERE floor("row" / 4.0::DOUBLE + 0.5) = y / 4 AND floor(col / 5.0::DOUBLE + 0.5) = x / 5""",
+    "px_month",
+)
+def collocate_coarse(s, d):
+    """A slave with one place in twenty, on the master's full grid."""
+    df = V.px_month(s, d).where("product = 'S2' AND y % 4 = 0 AND x % 5 = 0").select("time", "y", "x", "nir")
+    last = V.px(s, d).where("product = 'S2'").agg(F.max("y").alias("y"), F.max("x").alias("x"))
+    shape = tuple(last.select(F.col(n).cast("int") + 1).scalar() for n in ("y", "x"))
+    return C.collocate_cells(df, (0.0, 0.0), (4.0, 5.0), (0.0, 0.0), (1.0, 1.0), shape, ["nir"], ["time"])
+
+
+@query(
+    """SELECT t AS time, y, x, max(vv) FILTER (orbit = 'ASCENDING') AS "vv_ASCENDING", max(vv) FILTER (orbit = 'DESCENDING') AS "vv_DESCENDING"
+FROM (SELECT o.time AS t, q.orbit, q.time, row_number() OVER (PARTITION BY o.time, q.orbit ORDER BY abs(date_diff('day', q.time, o.time)), q.time DESC) AS k
+  FROM (SELECT DISTINCT time FROM px WHERE part > 4) o JOIN (SELECT DISTINCT orbit, time FROM px WHERE part <= 4) q ON abs(date_diff('day', q.time, o.time)) <= 10) m
+JOIN (SELECT orbit, time, y, x, arg_min(vv, (tile, part)) AS vv FROM px WHERE part <= 4 GROUP BY ALL) r USING (orbit, time) WHERE k = 1 GROUP BY t, y, x""",
+    "px",
+)
+def radar_pixels(s, d):
+    """Radar pixels at the optical dates nearest to them: rows of up to four parts are taken for radar, the others for optical scenes."""
+    cube = C.first_wins(V.px(s, d).where("part <= 4"), ["orbit", "time", "y", "x"], ["vv"], KEY)
+    return D.nearest_cube(cube, V.px(s, d).where("part > 4"), ["vv"], ["ASCENDING", "DESCENDING"])
+
+
 @query("SELECT time, y + dy AS y, x + dx AS x, nir FROM px_month, (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) a(dy), (VALUES (0.0::DOUBLE), (0.5::DOUBLE)) b(dx) WHERE product = 'LC08' AND time < DATE '1996-01-01'", "px_month")
 def resample_nearest(s, d):
     return C.refine(V.px_month(s, d).where("product = 'LC08' AND time < DATE '1996-01-01'").select("time", "y", "x", "nir"), 2)
@@ -471,7 +500,9 @@ def topk_quality(s, d):
 
 
 def _trend_sql(k: int) -> str:
-    return f"SELECT time, y, x, round((nir - lag(nir, {k}) OVER w) / date_diff('day', lag(time, {k}) OVER w, time)::DOUBLE, 9) AS trend FROM px_month WHERE product = 'S2' WINDOW w AS (PARTITION BY y, x ORDER BY time)"
+    scenes = "(SELECT time, row_number() OVER (ORDER BY time) AS scene FROM (SELECT DISTINCT time FROM px_month WHERE product = 'S2'))"
+    cube = f"(SELECT y, x, nir, time, scene FROM px_month JOIN {scenes} USING (time) WHERE product = 'S2')"
+    return f"SELECT a.time, a.y, a.x, round((a.nir - b.nir) / date_diff('day', b.time, a.time)::DOUBLE, 9) AS trend FROM {cube} a LEFT JOIN {cube} b ON b.y = a.y AND b.x = a.x AND b.scene = a.scene - {k}"
 
 
 def _trend(s, d, k):
@@ -779,7 +810,7 @@ def training_rows(s, d):
 def training_frame(s, d):
     cube = V.px16(s, d).where("rel = 0").select("y", "x", F.col("doa").alias("time"), "nir", "red")
     dates = cube.select("time").distinct().intersect(_training(s, d).select("time").distinct())
-    both = C.merge(cube.join(F.broadcast(dates), "time", "left_semi"), _training(s, d), ["y", "x", "time"])
+    both = C.merge(cube.join(F.broadcast(dates), "time", "left_semi"), _training(s, d), ["y", "x", "time"], "raise")
     return I.training_rows(both, ["train", "test"], ["y", "x", "time", "nir", "red"])
 
 
@@ -846,7 +877,7 @@ SELECT a.id, dr, dc, sum(a.v * b.v)::BIGINT AS score FROM a JOIN b ON b.id = a.i
 
 @query(
     """SELECT id, round(sum(p * (i - j) ** 2), 9) AS contrast, round(sum(p * abs(i - j)), 9) AS dissimilarity, round(sum(p / (1 + (i - j) ** 2)), 9) AS homogeneity, round(sum(p * p), 9) AS asm, round(sqrt(sum(p * p)), 9) AS energy,
-round(sum(-p * ln(p)), 9) AS entropy, round(sum(p * i), 9) AS mean, round(sum(p * i * i) - sum(p * i) ** 2, 7) AS variance FROM (SELECT id, i, j, n / sum(n) OVER (PARTITION BY id) AS p FROM (SELECT id, i, j, count(*)::DOUBLE AS n FROM (
+round(sum(-p * ln(p)), 9) + 0.0::DOUBLE AS entropy, round(sum(p * i), 9) AS mean, round(sum(p * i * i) - sum(p * i) ** 2, 7) AS variance FROM (SELECT id, i, j, n / sum(n) OVER (PARTITION BY id) AS p FROM (SELECT id, i, j, count(*)::DOUBLE AS n FROM (
 SELECT a.id, a.q AS i, b.q AS j FROM q a JOIN q b ON a.id = b.id AND a.r = b.r AND b.c = a.c + 4 UNION ALL SELECT a.id, b.q, a.q FROM q a JOIN q b ON a.id = b.id AND a.r = b.r AND b.c = a.c + 4) GROUP BY ALL)) GROUP BY id""",
     "cells",
 )
@@ -862,10 +893,20 @@ ORACLES["glcm_tile"] = ORACLES["glcm_tile"].replace(
 )
 
 
-@query()
+@query(
+    """SELECT id, r, c, round(sum(p * d * d), 9) AS contrast, round(sum(p * abs(d)), 9) AS dissimilarity, round(sum(p / (1 + d * d)), 9) AS homogeneity, round(sum(p * p), 9) AS asm, round(sqrt(sum(p * p)), 9) AS energy,
+  round(sum(-p * ln(p)), 9) + 0.0::DOUBLE AS entropy, round(sum(p * i), 9) AS mean, round(sum(p * i * i) - sum(p * i) ** 2, 9) + 0.0::DOUBLE AS variance,
+  CASE WHEN sum(p * i * i) - sum(p * i) ** 2 > 1e-12 THEN round((sum(p * i * j) - sum(p * i) ** 2) / (sum(p * i * i) - sum(p * i) ** 2), 9) + 0.0::DOUBLE END AS correlation
+FROM (SELECT g.id, g.r, g.c, i, j, i - j AS d, n / sum(n) OVER (PARTITION BY g.id, g.r, g.c)::DOUBLE AS p FROM cells g LEFT JOIN (
+  SELECT w.id, w.r, w.c, i, j, count(*) AS n FROM cells w JOIN (
+    SELECT a.id, a.r AS r0, a.c AS c0, b.r AS r1, b.c AS c1, unnest([a.q, b.q]) AS i, unnest([b.q, a.q]) AS j FROM q a JOIN q b ON a.id = b.id AND ((b.r = a.r AND b.c = a.c + 4) OR (b.r = a.r + 4 AND b.c IN (a.c - 4, a.c, a.c + 4)))
+  ) x ON x.id = w.id AND x.r0 BETWEEN w.r - 2 AND w.r + 2 AND x.r1 BETWEEN w.r - 2 AND w.r + 2 AND x.c0 BETWEEN w.c - 2 AND w.c + 2 AND x.c1 BETWEEN w.c - 2 AND w.c + 2 GROUP BY ALL
+) h ON h.id = g.id AND h.r = g.r AND h.c = g.c) GROUP BY id, r, c""",
+    "levels",
+)
 def glcm_windowed(s, d):
     df = TX.glcm_windows(V.tiles8(s, d), 8)
-    return df.select("id", "r", "c", *[r9(c).alias(c) for c in ("contrast", "entropy", "asm")])
+    return df.select("id", "r", "c", *[(r9(m) + 0.0).alias(m) for m in TX.MEASURES])
 
 
 @query(
@@ -901,6 +942,41 @@ def harmonize_pipeline(s, d):
     return C.translate(l8, l8.select("time", "y", "x"), 1, -3, ["nir"], ["time"])
 
 
+def _best_images(s, d):
+    """Of either product the cells of its clearest month (the earliest of equal ones)."""
+    months = V.px(s, d).groupBy("product", F.trunc("time", "MM").alias("time")).agg(F.avg(F.col("mask").cast("int").cast("double")).alias("fraction"))
+    best = months.groupBy("product").agg(F.min_by("time", F.struct(-F.col("fraction"), "time")).alias("time"))
+    cells = V.px_month(s, d).join(best, ["product", "time"]).select("product", F.lit(0).alias("id"), F.col("y").cast("int").alias("r"), F.col("x").cast("int").alias("c"), F.col("nir").cast("long").alias("v"))
+    return (cells.where(F.col("product") == p).drop("product") for p in ("S2", "LC08"))
+
+
+_BEST = """best AS (SELECT product, time FROM (SELECT product, CAST(date_trunc('month', time) AS DATE) AS time, row_number() OVER (PARTITION BY product ORDER BY avg(mask::INTEGER::DOUBLE) DESC, date_trunc('month', time)) AS k FROM px GROUP BY product, date_trunc('month', time)) WHERE k = 1),
+img AS (SELECT product, y, x, nir FROM px_month JOIN best USING (product, time)),
+off AS (SELECT dr, dc FROM (SELECT dr, dc, sum(a.nir::BIGINT * b.nir) AS score FROM img a, img b, (SELECT unnest(range(-3, 4))::INTEGER AS dr), (SELECT unnest(range(-3, 4))::INTEGER AS dc)
+  WHERE a.product = 'S2' AND b.product = 'LC08' AND b.y = a.y + dr AND b.x = a.x + dc GROUP BY ALL) ORDER BY score DESC, abs(dr) + abs(dc), dr, dc LIMIT 1)"""
+
+
+@query()
+def harmonize_estimated(s, d):
+    """Band-pass relation, then the offset that is estimated between the clearest images of both products, by month."""
+    a, b = _best_images(s, d)
+    offset = TX.best_shift(TX.shift_scores(a, b, ["id"], 3), ["id"])
+    dy, dx = (F.coalesce(offset.select(c).scalar(), F.lit(0)) for c in ("dr", "dc"))
+    l8 = B.with_harmonized(V.px_month(s, d).where("product = 'LC08'").select("time", "y", "x", "nir"))
+    return C.translate(l8, l8.select("time", "y", "x"), dy, dx, ["nir"], ["time"])
+
+
+_register_sql(
+    "harmonize_estimated",
+    with_views("", "px_month").rstrip()
+    + ",\n"
+    + _BEST
+    + f"""
+SELECT g.time, g.y, g.x, coalesce({_HARMONIC}, 0) AS nir FROM (SELECT time, y, x FROM px_month WHERE product = 'LC08') g LEFT JOIN (SELECT time, y, x, nir FROM px_month WHERE product = 'LC08') f
+ON f.time = g.time AND f.y = g.y + coalesce((SELECT dr FROM off), 0) AND f.x = g.x + coalesce((SELECT dc FROM off), 0)""",
+)
+
+
 # ---- statistics and metrics
 
 
@@ -970,7 +1046,7 @@ SELECT k, (SELECT count(*) FROM ok WHERE truth = k AND pred = k) AS h, (SELECT c
 )
 
 
-# ---- models: results depend on the library's own random numbers, so they are checked by their quality in tests
+# ---- models: results depend on the library's own random numbers, so there is no SQL; tests let each kind learn separable classes
 
 _FEATURES = [f"f{i}" for i in range(8)]
 
@@ -990,7 +1066,7 @@ def _model(kind: str, **params) -> Query:
     return run
 
 
-QUERIES["model_random_forest"] = _model("rf", trees=20, depth=5)
+QUERIES["model_random_forest"] = _model("rf", trees=200, depth=5)
 QUERIES["model_gbm"] = _model("gbm", rounds=3, depth=3)
 QUERIES["model_naive_bayes"] = _model("bayes")
 QUERIES["model_mlp"] = _model("mlp", layers=[8, 16, 10], rounds=30)
@@ -1020,11 +1096,15 @@ def model_grid(s, d):
 
 @query()
 def model_ablation(s, d):
-    """Accuracy of naive Bayes by set of features."""
+    """Accuracy of naive Bayes by set of features: of one place, of a few, of all, those with their changes, and principal components."""
     train, test = _vectors(s, d)
+    train, test = (x.drop("features", "label").withColumns({f"d{i}": F.col(f"f{i}") - F.col(f"f{i - 1}") for i in range(1, 8)}) for x in (train, test))
+    parts = ML.principal(train.select("id", "class", *_FEATURES), test.select("id", "class", *_FEATURES), _FEATURES, 5)
+    changes, components = [f"d{i}" for i in range(1, 8)], [f"pc{i}" for i in range(1, 6)]
+    sets = [("static", _FEATURES[:2], (train, test)), ("half", _FEATURES[:4], (train, test)), ("all", _FEATURES, (train, test)), ("changes", _FEATURES + changes, (train, test)), ("components", components, parts)]
     out = None
-    for name, cols in (("first", _FEATURES[:2]), ("half", _FEATURES[:4]), ("all", _FEATURES)):
-        a, b = (ML.assembled(x.drop("features", "label"), cols, "class") for x in (train, test))
+    for name, cols, (a, b) in sets:
+        a, b = (ML.assembled(x, cols, "class") for x in (a, b))
         row = ML.predicted(a, b, "bayes").agg(F.lit(name).alias("feature_set"), F.lit(len(cols)).alias("columns"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"))
         out = row if out is None else out.union(row)
     return out

@@ -16,6 +16,7 @@ VIEWS = {
     "ranked": """ranked AS (SELECT pixel, band, time, value, row_number() OVER (PARTITION BY pixel, band ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY pixel, band) AS n FROM series WHERE value IS NOT NULL)""",
     "cells": """cells AS (SELECT id, class, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST(v AS DOUBLE) AS v
   FROM (SELECT vec_id AS id, label AS class, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings))""",
+    "levels": """q AS (SELECT id, r, c, CAST(16 * (rank() OVER (PARTITION BY id ORDER BY v) - 1) // count(*) OVER (PARTITION BY id) AS INTEGER) AS q FROM cells)""",
     "lots": """top AS (SELECT (max(l_partkey // 50) + 1) / 5.0::DOUBLE AS h FROM lineitem),
 nk AS (SELECT n_nationkey AS lot, n_regionkey AS region, (n_nationkey % 5) * 10.0::DOUBLE AS x0, (n_nationkey // 5) * h - 0.25::DOUBLE AS lo, ((n_nationkey // 5) + 1) * h - 0.25::DOUBLE AS hi FROM nation, top),
 lots AS (SELECT lot, CASE WHEN lot % 2 = 0 THEN [x0 + 0.25, x0 + 9.25, x0 + 9.25, x0 + 0.25] ELSE [x0 + 0.25, x0 + 9.25, x0 + 4.25, x0 + 0.25] END::DOUBLE[] AS xs,
@@ -35,7 +36,7 @@ lots AS (SELECT lot, CASE WHEN lot % 2 = 0 THEN [x0 + 0.25, x0 + 9.25, x0 + 9.25
     "fractions": """fractions AS (SELECT time, avg(CAST(CAST(mask AS INTEGER) AS DOUBLE)) AS fraction FROM px WHERE product = 'S2' GROUP BY time)""",
 }
 NEEDS = {
-    "px_month": ["px"], "ranked": ["series"], "classes": ["lots"], "edges": ["lots"], "places": ["px"], "inside": ["places", "edges"], "px16": ["px"], "catalog": ["px"], "fractions": ["px"],
+    "levels": ["cells"], "px_month": ["px"], "ranked": ["series"], "classes": ["lots"], "edges": ["lots"], "places": ["px"], "inside": ["places", "edges"], "px16": ["px"], "catalog": ["px"], "fractions": ["px"],
 }
 
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,7 +47,7 @@ def members(spark: SparkSession, folder: str, done: DataFrame | None = None) ->
                 rows = []
                 try:
                     rows.extend((name, m, len(c), c, None) for m, c in members_of(name, blob))
-                except (zipfile.BadZipFile, tarfile.TarError, EOFError, OSError) as e:
+                except (zipfile.BadZipFile, tarfile.TarError, zlib.error, lzma.LZMAError, EOFError, OSError, RuntimeError, NotImplementedError) as e:  # damaged, encrypted, or packed in an unknown way
                     rows = [(name, None, None, None, type(e).__name__)]
                 yield pd.DataFrame(rows, columns=["archive", "member", "size", "content", "error"])
 

@@ -13,6 +13,11 @@ from cropcube.functions.bands import BANDS
 DATE_AT: Mapping[str, tuple[int, ...]] = {"S2": (12, 48), "LC08": (11,), "LE07": (11,)}
 
 
+def folder(path: Column) -> Column:
+    """A folder's path with one slash at its end."""
+    return F.when(path.endswith("/"), path).otherwise(F.concat(path, F.lit("/")))
+
+
 def listing(spark: SparkSession, path: str) -> DataFrame:
     """Files under a folder, without their content."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")

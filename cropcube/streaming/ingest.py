@@ -48,9 +48,9 @@ def stream_months(spark: SparkSession, source: str, schema, path: str, checkpoin
 
 
 def stream_monthly_fraction(spark: SparkSession, source: str, schema, delay: str = "40 days") -> DataFrame:
-    """Clear fraction by product and month over a stream of pixels; months close when dates have moved on by ``delay``."""
-    s = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("time").cast("timestamp")).withWatermark("ts", delay)
-    return s.groupBy("product", F.window("ts", "30 days")).agg(F.avg(F.col("mask").cast("int").cast("double")).alias("fraction"), F.count("*").alias("n"))
+    """Clear fraction by product and calendar month (its first instant) over a stream of pixels; a month closes when another one begins more than ``delay`` after its start."""
+    s = spark.readStream.schema(schema).parquet(source).withColumn("month", F.date_trunc("month", F.col("time").cast("timestamp"))).withWatermark("month", delay)
+    return s.groupBy("product", "month").agg(F.avg(F.col("mask").cast("int").cast("double")).alias("fraction"), F.count("*").alias("n"))
 
 
 def training_rows(df: DataFrame, sets: list[str], keys: list[str]) -> DataFrame:

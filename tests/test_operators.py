@@ -213,3 +213,93 @@ def test_lee_sigma(spark):
     tiles = spark.createDataFrame([(1, [5.0] * 64), (2, noisy.tolist())], "id long, data array<double>")
     out = {r.id: np.array(r.data) for r in TX.lee_sigma(tiles, 8, looks=4).collect()}
     assert np.allclose(out[1], 5.0) and out[2].std() < 0.7 * noisy.std() and abs(out[2].mean() - noisy.mean()) < 1.5
+
+
+def test_trend_counts_scene_dates(spark):
+    rows = [(day(0), 1.0, 0.0, 10), (day(8), 1.0, 0.0, 18), (day(16), 1.0, 0.0, 50), (day(0), 2.0, 0.0, 1), (day(16), 2.0, 0.0, 33), (day(24), 2.0, 0.0, None), (day(32), 1.0, 0.0, 9)]
+    cube = spark.createDataFrame(rows, "time date, y double, x double, v int")
+    told = lambda lag: {(r.y, r.time): r.trend for r in D.trend(cube, "v", ["y", "x"], lag).collect()}
+    assert told(1) == {(1.0, day(0)): None, (1.0, day(8)): 1.0, (1.0, day(16)): 4.0, (1.0, day(32)): None, (2.0, day(0)): None, (2.0, day(16)): None, (2.0, day(24)): None}
+    assert told(2)[2.0, day(16)] == 2.0 and told(2)[1.0, day(16)] == 2.5
+
+
+def test_merge_fails_on_conflicts(spark):
+    a = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "y int, v int")
+    b = spark.createDataFrame([(1, 11), (2, 20), (4, 40)], "y int, v int")
+    with pytest.raises(Exception, match="differ"):
+        C.merge(a, b, ["y"], on_conflict="raise").collect()
+    assert sorted(map(tuple, C.merge(a, b, ["y"], on_conflict="left").collect())) == [(1, 10), (2, 20), (3, 30), (4, 40)]
+    assert C.merge(a, b.where("y > 1"), ["y"], on_conflict="raise").count() == 4
+    with pytest.raises(ValueError):
+        C.merge(a, b, ["y"], on_conflict="right")
+
+
+def test_collocate_takes_coarse_and_fine_slaves(spark):
+    coarse = spark.createDataFrame([(4.0 * i, 4.0 * j, 10 * i + j) for i in range(2) for j in range(2)], "y double, x double, v int")
+    got = {(r.row, r.col): r.v for r in C.collocate_cells(coarse, (0.0, 0.0), (4.0, 4.0), (0.0, 0.0), (1.0, 1.0), (6, 6), ["v"], []).collect()}
+    assert got == {(r, c): 10 * (r >= 2) + (c >= 2) for r in range(6) for c in range(6)}
+    fine = spark.createDataFrame([(float(i), float(j), 10 * i + j) for i in range(9) for j in range(9)], "y double, x double, v int")
+    got = {(r.row, r.col): r.v for r in C.collocate_cells(fine, (0.0, 0.0), (1.0, 1.0), (0.0, 0.0), (4.0, 4.0), (3, 3), ["v"], []).collect()}
+    assert got == {(r, c): 40 * r + 4 * c for r in range(3) for c in range(3)}
+
+
+def test_radar_pixels_stand_at_optical_dates(spark):
+    radar = [("ASCENDING", day(95), 0.0, 1.0), ("ASCENDING", day(105), 0.0, 2.0), ("DESCENDING", day(90), 0.0, 3.0), ("DESCENDING", day(90), 1.0, 4.0), ("DESCENDING", day(140), 0.0, 5.0)]
+    cube = spark.createDataFrame([(o, t, y, 0.0, v) for o, t, y, v in radar], "orbit string, time date, y double, x double, vv double")
+    dates = spark.createDataFrame([(day(100),), (day(120),), (day(150),)], "time date")
+    got = {(r.time, r.y): (r.vv_ASCENDING, r.vv_DESCENDING) for r in D.nearest_cube(cube, dates, ["vv"], ["ASCENDING", "DESCENDING"]).collect()}
+    assert got == {(day(100), 0.0): (2.0, 3.0), (day(100), 1.0): (None, 4.0), (day(150), 0.0): (None, 5.0)}
+
+
+def test_window_pairs_of_a_tile():
+    a, b, real = TX.window_pairs(5, 5, 5, 4)
+    centre = {tuple(sorted(p)) for p in zip(a[12][real[12]].tolist(), b[12][real[12]].tolist(), strict=True)}
+    assert centre == {(5 * r, 5 * r + 4) for r in range(5)} | {(c, 20 + c) for c in range(5)} | {(0, 24), (4, 20)} and not real[0].any()
+    m = TX.window_measures(np.array([[0.0] * 25, list(range(25))]), 5, 5, 4, 16)
+    assert m[0, 12].tolist()[:7] == [0, 0, 1, 1, 1, 0, 0] and np.isnan(m[0, 12, 8]) and np.isnan(m[1, 0]).all() and m[1, 12, 3] > 0
+
+
+def test_damaged_archives_are_rows(spark, tmp_path):
+    import io
+    import zipfile
+
+    from cropcube.sources import archives as A
+
+    blob = io.BytesIO()
+    with zipfile.ZipFile(blob, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("m.txt", "some text that deflates " * 50)
+    data = bytearray(blob.getvalue())
+    data[45:60] = bytes(15)
+    (tmp_path / "damaged.zip").write_bytes(bytes(data))
+    rows = A.members(spark, str(tmp_path)).collect()
+    assert [(r.archive, r.member) for r in rows] == [("damaged.zip", None)] and rows[0].error
+
+
+def test_folder_has_one_slash(spark):
+    df = spark.createDataFrame([("a",), ("a/",), ("",), (None,)], "p string")
+    assert [r[0] for r in df.select(CAT.folder(F.col("p"))).collect()] == ["a/", "a/", "/", None]
+
+
+def clusters(spark, n, seed):
+    """Rows of three classes around three centres."""
+    from cropcube.operators import models as ML
+
+    rng = np.random.default_rng(seed)
+    rows = [(i, i % 3, *(float(x) for x in rng.normal([(0, 0), (4, 1), (1, 5)][i % 3], 0.8))) for i in range(n)]
+    return ML.assembled(spark.createDataFrame(rows, "id long, class int, u double, v double"), ["u", "v"], "class")
+
+
+@pytest.mark.parametrize(("kind", "params"), [("rf", {"trees": 20, "depth": 5}), ("gbm", {"rounds": 3, "depth": 3}), ("bayes", {}), ("mlp", {"layers": [2, 6, 3], "rounds": 60}), ("logistic", {})])
+def test_models_learn(spark, kind, params):
+    from cropcube.operators import models as ML
+
+    rows = ML.predicted(clusters(spark, 150, 1), clusters(spark, 90, 2), kind, **params).select("truth", "pred").collect()
+    assert len(rows) == 90 and sum(r.truth == r.pred for r in rows) >= 81
+
+
+def test_grid_ranks_its_combinations(spark, small):
+    from cropcube.plans import queries as Q
+
+    found = [r.accuracy for r in Q.QUERIES["model_grid"](spark, small).collect()]
+    assert Q.QUERIES["model_gbm"](spark, small).count() > 0
+    assert len(found) == 4 and found == sorted(found, reverse=True) and all(0 <= a <= 1 for a in found)
