@@ -399,11 +399,13 @@ def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, leas
     rooted = scratch.table(rooted)
     main = F.min_by("root", F.struct(F.col("n") - F.col("top"), F.xxhash64("root"))).alias("main")
     heads = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), main, F.min("n").alias("low"), F.max("top").alias("high"), F.count("*").alias("k")).where(f"r0 <> r1 AND k >= {least}")
-    # sort-merge joins, whose large partitions are split: an n-gram of very many sets is no task of its own
+    # written, and joined by sort and merge, so that the joins have plain inputs and an n-gram of very many sets can be split
+    heads = scratch.table(heads)
     live = rooted.join(heads.select("gram", "main", "low", "high").hint("merge"), "gram").where("top >= low AND n <= high")
     live = scratch.table(live.select("gram", "sid", "n", "top", "root", (F.col("root") != F.col("main")).alias("odd")))
     blocks = lambda c: F.expr(f"cast(pow(2, greatest(0, ceil(log2({c} / {BLOCK})))) as int)")
     size = live.groupBy("gram").agg(F.count("*").alias("k"), F.count_if("odd").alias("o")).where("k > 1 AND o > 0").select("gram", blocks("o").alias("bo"), blocks("k").alias("bk"))
+    size = scratch.table(size)
     h = F.xxhash64("sid")
     alone = F.col("bk") == 1
     none = F.expr("cast(array() as array<struct<i: int, j: int, side: int>>)")
