@@ -55,13 +55,15 @@ FILTER_BITS = 26
 SALT_FROM = 10
 #: Sets of a block of an n-gram's entries.
 BLOCK = 128
-CHUNK = 1_500_000
+#: N-grams that a task sorts at once, and bytes of text that it cuts into sets at once.
+CHUNK = 500_000
+PIECE = 1 << 20
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Of runs of texts: first and last text, sorted distinct n-grams of all, and where each text's begin."""
     raw, offsets = K.texts_of(column)
-    for i, j in K.groups(offsets):
+    for i, j in K.groups(offsets, PIECE):
         part, local = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first = K.word_bounds(part, local, K.NOT_SPACE)
         h, at = K.shingles(K.span_hashes(part, starts, ends), first, k)
@@ -90,8 +92,8 @@ def parities(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     out: list[bytes] = []
     size = np.diff(at)
     long = size > PARITY
-    for i in range(0, len(size), 4096):
-        n = len(size[i : i + 4096])
+    for i in range(0, len(size), 512):
+        n = len(size[i : i + 512])
         a, z = at[i], at[i + n]
         short = np.repeat(~long[i : i + n], size[i : i + n])
         cell = np.repeat(np.arange(n), size[i : i + n])[short] * PARITY + cells_of(h[a:z][short], PARITY)
@@ -168,7 +170,7 @@ def levels(docs: DataFrame, text_col: str, k: int, spark: SparkSession) -> np.nd
             for _, _, h, _ in sets_of(batch.column(0), k):
                 held.append(h)
                 size += len(h)
-                if size >= 2 * CHUNK:
+                if size >= 3 * CHUNK:
                     yield counted(held)
                     held, size = [], 0
         if size:
@@ -286,7 +288,7 @@ def index(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spa
                 level = table.value.get()[(g >> np.uint64(64 - LEVEL_BITS)).astype(np.int64)].astype(np.int64) + LEVEL_FROM - 1
                 salt = (sid[d] >> np.uint64(40)).astype(np.int64) % (1 << np.maximum(0, level - SALT_FROM))
                 salt[level >= SALT_FROM] += 1
-                held.append((g, salt, sid[d], np.diff(at)[d], top))
+                held.append((g, salt.astype(np.int32), sid[d], np.diff(at)[d].astype(np.uint32), top.astype(np.uint32)))
                 size += len(g)
                 if size >= CHUNK:
                     yield packed(held)
@@ -297,6 +299,7 @@ def index(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spa
     def packed(held):
         g, salt, s, n, top = (np.concatenate(x) for x in zip(*held, strict=True))
         r = (g >> np.uint64(32)).astype(np.int64) * ranges >> 32
+        held.clear()
         order = np.lexsort((g, salt, r))
         g, salt, r, s, n, top = (x[order] for x in (g, salt, r, s, n, top))
         new = np.flatnonzero(np.concatenate([np.ones(min(1, len(r)), bool), (r[1:] != r[:-1]) | (salt[1:] != salt[:-1])]))
@@ -304,7 +307,7 @@ def index(docs: DataFrame, text_col: str, k: int, num: int, den: int, table, spa
         rows = list(zip(new.tolist(), ends, strict=True))
         raw = lambda x: pa.array([x[a:b].tobytes() for a, b in rows], pa.binary())
         grams = pa.array([K.pack(g[a:b]) for a, b in rows], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(r[new]), pa.array(salt[new]), grams, raw(s), raw(n.astype(np.uint32)), raw(top.astype(np.uint32))], ["r", "salt", "grams", "sids", "ns", "tops"])
+        return pa.RecordBatch.from_arrays([pa.array(r[new]), pa.array(salt[new].astype(np.int64)), grams, raw(s), raw(n), raw(top)], ["r", "salt", "grams", "sids", "ns", "tops"])
 
     def met(part: pa.Table) -> pa.Table:
         raw = lambda c, kind: np.concatenate([np.frombuffer(b.as_py(), kind) for b in part.column(c)])
