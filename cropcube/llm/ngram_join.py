@@ -363,14 +363,15 @@ def served(g: np.ndarray, n: np.ndarray, top: np.ndarray) -> np.ndarray:
     return (spread(size) > 1) & (top >= spread(np.minimum.reduceat(n, start))) & (n <= spread(np.maximum.reduceat(top, start)))
 
 
-def star_pairs(entries: DataFrame) -> DataFrame:
+def star_pairs(entries: DataFrame, scratch: Scratch) -> DataFrame:
     """``(a, b)``: every entry with two heads of its n-gram, where their sizes serve each other; for n-grams that are in several tasks."""
     member = F.struct("sid", "n", "top")
     by_hash = F.xxhash64("sid")
     heads = entries.groupBy("gram").agg(
         F.min(F.struct((F.col("n") - F.col("top")).alias("off"), by_hash.alias("h"), member.alias("m"))).alias("c"), F.min(F.struct(by_hash.alias("h"), member.alias("m"))).alias("d")
     )
-    both = entries.join(heads, "gram").select("sid", "n", "top", F.explode(F.array("c.m", "d.m")).alias("m"))
+    # written, and joined by sort and merge, so that the join has plain inputs and an n-gram of very many sets can be split
+    both = entries.join(scratch.table(heads).hint("merge"), "gram").select("sid", "n", "top", F.explode(F.array("c.m", "d.m")).alias("m"))
     both = both.where("sid <> m.sid AND n <= m.top AND m.n <= top")
     return both.select(F.least("sid", "m.sid").alias("a"), F.greatest("sid", "m.sid").alias("b")).distinct()
 
@@ -402,7 +403,7 @@ def crossing_pairs(entries: DataFrame, roots: DataFrame, parity: DataFrame, leas
     rooted = scratch.table(rooted)
     main = F.min_by("root", F.struct(F.col("n") - F.col("top"), F.xxhash64("root"))).alias("main")
     heads = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), main, F.min("n").alias("low"), F.max("top").alias("high"), F.count("*").alias("k")).where(f"r0 <> r1 AND k >= {least}")
-    # written, and joined by sort and merge, so that the joins have plain inputs and an n-gram of very many sets can be split
+    # written and merged, as in ``star_pairs``
     heads = scratch.table(heads)
     live = rooted.join(heads.select("gram", "main", "low", "high").hint("merge"), "gram").where("top >= low AND n <= high")
     live = scratch.table(live.select("gram", "sid", "n", "top", "root", (F.col("root") != F.col("main")).alias("odd")))
@@ -549,7 +550,7 @@ def jaccard_components(
     # n-grams of two sets, and for groups of near copies every set with two heads of each of its n-grams
     asked = pairs.where(F.lit(stars) | ~F.col("star")).select("a", "b")
     if stars:
-        asked = asked.union(star_pairs(entries.where("salted")))
+        asked = asked.union(star_pairs(entries.where("salted"), scratch))
     first = counted(asked.distinct())
     roots = scratch.table(components(first, scratch))
 
