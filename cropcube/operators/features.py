@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cropcube.functions.bands import half_even_share, relative_names
 from cropcube.operators.geometry import places_in_lots
+from cropcube.operators.numbering import numbered
 
 RELATIVE = tuple(range(-96, 17, 16))
 
@@ -34,9 +35,9 @@ def stratified_split(df: DataFrame, by: str = "vclass", parts: tuple[str, ...] =
 
 def holdout_split(df: DataFrame, part: str = "lot", seed: str = "200", share: float = 0.7) -> DataFrame:
     """The same without classes: whole lots are held out."""
-    k = F.row_number().over(Window.orderBy(seeded(seed, part), part))
-    n = F.count("*").over(Window.partitionBy())
-    return df.withColumn("tt", F.when(k <= half_even_share(n, share), "train").otherwise("test"))
+    n = df.select(F.count("*")).scalar()
+    placed = numbered(df, "cc_at", seeded(seed, part), F.col(part))
+    return placed.withColumn("tt", F.when(F.col("cc_at") <= half_even_share(n, share), "train").otherwise("test")).drop("cc_at")
 
 
 def looked_up(df: DataFrame, split: DataFrame, on: list[str]) -> DataFrame:

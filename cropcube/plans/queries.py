@@ -231,6 +231,21 @@ def catalog_search(s, d):
     return CAT.search(V.catalog(s, d), "S2", "1998-01-01", "1998-12-31", "MSIL2A_1998(0[1-6])")
 
 
+_AREA = ((5.0, 1.0), (40.0, 0.5), (12.0, 3.0))
+_AREA_EDGES = ", ".join(f"({k}, {a[0]}::DOUBLE, {a[1]}::DOUBLE, {b[0]}::DOUBLE, {b[1]}::DOUBLE)" for k, (a, b) in enumerate(zip(_AREA, (*_AREA[1:], _AREA[0]))))
+
+
+@query(
+    f"""SELECT product, time FROM (SELECT product, time, bool_or(t0 <= t1) AS met, sum(((b1 > y_min) <> (b2 > y_min) AND x_min < (a2 - a1) * (y_min - b1) / (b2 - b1) + a1)::INTEGER) % 2 = 1 AS within_area FROM (
+SELECT *, greatest(0, least(u1, u2), least(w1, w2)) AS t0, least(1, greatest(u1, u2), greatest(w1, w2)) AS t1 FROM (SELECT *, (x_min - a1) / (a2 - a1) AS u1, (x_max - a1) / (a2 - a1) AS u2, (y_min - b1) / (b2 - b1) AS w1, (y_max - b1) / (b2 - b1) AS w2
+FROM footprints, (VALUES {_AREA_EDGES}) e(k, a1, b1, a2, b2))) GROUP BY ALL) WHERE met OR within_area""",
+    "footprints",
+)
+def catalog_search_area(s, d):
+    """Scenes whose footprint touches a polygon (the SQL clips each edge to the box instead)."""
+    return CAT.search(V.footprints(s, d), area=_AREA).select("product", "time")
+
+
 _BAND_ROWS = ", ".join(f"('{p}', '{k}', '{v}')" for p in ("S2", "LC08") for k, v in B.BANDS[p].items())
 
 
@@ -392,6 +407,21 @@ def date_semi_join(s, d):
     return V.px(s, d).join(days, "time", "left_semi").select(*KEY, "time")
 
 
+@query("SELECT time FROM opt_all INTERSECT SELECT time FROM s1_all", "opt_all", "s1_all")
+def date_intersect_all(s, d):
+    return V.scenes_all(s, d, False).select("time").intersect(V.scenes_all(s, d, True).select("time"))
+
+
+@query("SELECT time FROM opt_all UNION SELECT time FROM s1_all", "opt_all", "s1_all")
+def date_union_all(s, d):
+    return V.scenes_all(s, d, False).select("time").unionAll(V.scenes_all(s, d, True).select("time")).distinct()
+
+
+@query("SELECT tile, part, time FROM px WHERE time IN (SELECT time FROM opt_all INTERSECT SELECT time FROM s1_all)", "px", "opt_all", "s1_all")
+def date_semi_join_all(s, d):
+    return V.px(s, d).join(date_intersect_all(s, d), "time", "left_semi").select(*KEY, "time")
+
+
 @query("SELECT time, round(fraction, 9) AS fraction FROM fractions WHERE fraction > 0.6", "fractions")
 def quality_dates(s, d):
     return _fractions(s, d).where("fraction > 0.6").select("time", r9("fraction").alias("fraction"))
@@ -476,6 +506,17 @@ def asof_nearest_radar(s, d):
     return out.select(F.col("left_time").alias("time"), "orbit", F.col("right_time").alias("radar"))
 
 
+@query(
+    """SELECT time, orbit, radar FROM (SELECT o.time, r.orbit, r.time AS radar, row_number() OVER (PARTITION BY o.time, r.orbit ORDER BY abs(date_diff('day', o.time, r.time)), r.time DESC) AS k
+FROM opt_all o JOIN s1_all r ON r.time BETWEEN o.time - 10 AND o.time + 10) WHERE k = 1""",
+    "opt_all",
+    "s1_all",
+)
+def asof_nearest_radar_all(s, d):
+    out = D.nearest(V.scenes_all(s, d, False), V.scenes_all(s, d, True), 10)
+    return out.select(F.col("left_time").alias("time"), "orbit", F.col("right_time").alias("radar"))
+
+
 @query("SELECT time, round(fraction, 9) AS fraction FROM fractions", "fractions")
 def clear_fraction(s, d):
     return _fractions(s, d).select("time", r9("fraction").alias("fraction"))
@@ -929,6 +970,11 @@ def slic_segments(s, d):
     return TX.slic(V.tiles8(s, d), 8)
 
 
+@query()
+def watershed_segments(s, d):
+    return TX.watershed(V.tiles8(s, d), 8)
+
+
 _HARMONIC = f"CAST(trunc(least(greatest(({1.0 / B.BANDPASS['nir'][0]!r})::DOUBLE * nir + ({-B.BANDPASS['nir'][1] / B.BANDPASS['nir'][0]!r})::DOUBLE, 0), 65535)) AS INTEGER)"
 
 
@@ -1067,6 +1113,7 @@ def _model(kind: str, **params) -> Query:
 
 
 QUERIES["model_random_forest"] = _model("rf", trees=200, depth=5)
+QUERIES["model_random_forest_500"] = _model("rf", trees=500, depth=5)
 QUERIES["model_gbm"] = _model("gbm", rounds=3, depth=3)
 QUERIES["model_naive_bayes"] = _model("bayes")
 QUERIES["model_mlp"] = _model("mlp", layers=[8, 16, 10], rounds=30)

@@ -12,6 +12,9 @@ VIEWS = {
   row_number() OVER (PARTITION BY product, date_trunc('month', time), y, x ORDER BY tile, part) AS k FROM px WHERE mask) WHERE k = 1)""",
     "s1": """s1 AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'ASCENDING' ELSE 'DESCENDING' END AS orbit, CAST(l_shipdate AS DATE) AS time FROM lineitem WHERE l_suppkey = 1)""",
     "opt": """opt AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time FROM lineitem WHERE l_suppkey = 2)""",
+    "s1_all": """s1_all AS (SELECT DISTINCT CASE WHEN l_linenumber % 2 = 0 THEN 'ASCENDING' ELSE 'DESCENDING' END AS orbit, CAST(l_shipdate AS DATE) AS time FROM lineitem WHERE l_linestatus = 'F')""",
+    "opt_all": """opt_all AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS time FROM lineitem WHERE l_linestatus = 'O')""",
+    "footprints": """footprints AS (SELECT product, time, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM px WHERE mask AND orbit = 'ASCENDING' GROUP BY ALL)""",
     "series": """series AS (SELECT user_id AS pixel, event_type AS band, CAST(ts AS DATE) AS time, avg(value) AS value FROM events GROUP BY ALL)""",
     "ranked": """ranked AS (SELECT pixel, band, time, value, row_number() OVER (PARTITION BY pixel, band ORDER BY time) - 1 AS i, count(*) OVER (PARTITION BY pixel, band) AS n FROM series WHERE value IS NOT NULL)""",
     "cells": """cells AS (SELECT id, class, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST(v AS DOUBLE) AS v
@@ -36,7 +39,7 @@ lots AS (SELECT lot, CASE WHEN lot % 2 = 0 THEN [x0 + 0.25, x0 + 9.25, x0 + 9.25
     "fractions": """fractions AS (SELECT time, avg(CAST(CAST(mask AS INTEGER) AS DOUBLE)) AS fraction FROM px WHERE product = 'S2' GROUP BY time)""",
 }
 NEEDS = {
-    "levels": ["cells"], "px_month": ["px"], "ranked": ["series"], "classes": ["lots"], "edges": ["lots"], "places": ["px"], "inside": ["places", "edges"], "px16": ["px"], "catalog": ["px"], "fractions": ["px"],
+    "levels": ["cells"], "footprints": ["px"], "px_month": ["px"], "ranked": ["series"], "classes": ["lots"], "edges": ["lots"], "places": ["px"], "inside": ["places", "edges"], "px16": ["px"], "catalog": ["px"], "fractions": ["px"],
 }
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cropcube.functions.bands import BANDS
+from cropcube.operators.numbering import numbered
 
 # Where each product's names have their date (from 1).
 DATE_AT: Mapping[str, tuple[int, ...]] = {"S2": (12, 48), "LC08": (11,), "LE07": (11,)}
@@ -43,14 +44,35 @@ def radar_date(name: Column) -> Column:
     return F.try_to_date(F.split_part(name, F.lit("_"), F.lit(4)), "ddMMMyyyy")
 
 
-def search(df: DataFrame, product: str | None = None, start: str | None = None, end: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Catalogue query: each condition that is given; the dates are inclusive."""
+def touches(area: Sequence[tuple[float, float]]) -> Column:
+    """Does the footprint (x_min, y_min, x_max, y_max) share a place with the polygon? True if an edge meets the box, or the box lies inside.
+
+    An edge and a box are apart if their bounds are, or if all corners lie on one side of the edge's line.
+    """
+    corners = [(F.col(x), F.col(y)) for x in ("x_min", "x_max") for y in ("y_min", "y_max")]
+    edges = [(*p, *q) for p, q in zip(area, [*area[1:], area[0]], strict=True)]
+    meets = F.lit(False)
+    for x1, y1, x2, y2 in edges:
+        side = [(x - x1) * (y2 - y1) - (y - y1) * (x2 - x1) for x, y in corners]
+        near = (F.col("x_max") >= min(x1, x2)) & (F.col("x_min") <= max(x1, x2)) & (F.col("y_max") >= min(y1, y2)) & (F.col("y_min") <= max(y1, y2))
+        meets = meets | (near & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+    x, y = corners[0]
+    crossed = [F.when((y < max(y1, y2)) & (y >= min(y1, y2)) & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1), 1).otherwise(0) for x1, y1, x2, y2 in edges if y1 != y2]
+    return meets | (sum(crossed, F.lit(0)) % 2 == 1)
+
+
+def search(
+    df: DataFrame, product: str | None = None, start: str | None = None, end: str | None = None, pattern: str | None = None, area: Sequence[tuple[float, float]] | None = None
+) -> DataFrame:
+    """Catalogue query: each condition that is given; the dates are inclusive, ``area`` is a polygon that the footprint has to touch."""
     if product is not None:
         df = df.where(F.col("product") == product)
     if start is not None:
         df = df.where(F.col("time") >= F.lit(start).cast("date"))
     if end is not None:
         df = df.where(F.col("time") <= F.lit(end).cast("date"))
+    if area is not None:
+        df = df.where(touches(area))
     return df if pattern is None else df.where(F.col("name").rlike(pattern))
 
 
@@ -63,10 +85,10 @@ def with_bands(df: DataFrame) -> DataFrame:
 
 def batches(df: DataFrame, size: int, order: str) -> DataFrame:
     """Consecutive groups of ``size`` rows."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size).cast("int"))
+    return numbered(df, "cc_at", F.col(order)).withColumn("batch", F.floor((F.col("cc_at") - 1) / size).cast("int")).drop("cc_at")
 
 
 def positions(df: DataFrame, value: str, order: str) -> DataFrame:
     """Each value with the places (from 0) that it has in the order."""
-    w = Window.orderBy(order)
-    return df.withColumn("at", F.row_number().over(w) - 1).groupBy(value).agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    at = numbered(df, "cc_at", F.col(order)).withColumn("at", (F.col("cc_at") - 1).cast("int"))
+    return at.groupBy(value).agg(F.sort_array(F.collect_list("at")).alias("positions"))

@@ -49,6 +49,19 @@ def scenes(spark: SparkSession, sf_dir: str, supplier: int) -> DataFrame:
     return li.select(orbit.alias("orbit"), F.col("l_shipdate").cast("date").alias("time")).distinct()
 
 
+def scenes_all(spark: SparkSession, sf_dir: str, radar: bool) -> DataFrame:
+    """Scenes of the whole table: the rows of one status are radar, those of the other optical."""
+    orbit = F.when(F.col("l_linenumber") % 2 == 0, "ASCENDING").otherwise("DESCENDING")
+    li = table(spark, sf_dir, "lineitem").where(F.col("l_linestatus") == ("F" if radar else "O"))
+    return li.select(orbit.alias("orbit"), F.col("l_shipdate").cast("date").alias("time")).distinct()
+
+
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue with the bounds of each scene's clear pixels of one orbit."""
+    day = px(spark, sf_dir).where("mask AND orbit = 'ASCENDING'").groupBy("product", "time")
+    return day.agg(*[f(c).alias(f"{c}_{n}") for c in "xy" for n, f in (("min", F.min), ("max", F.max))])
+
+
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events")
     return ev.groupBy(F.col("user_id").alias("pixel"), F.col("event_type").alias("band"), F.col("ts").cast("date").alias("time")).agg(F.avg("value").alias("value"))

@@ -303,3 +303,90 @@ def test_grid_ranks_its_combinations(spark, small):
     found = [r.accuracy for r in Q.QUERIES["model_grid"](spark, small).collect()]
     assert Q.QUERIES["model_gbm"](spark, small).count() > 0
     assert len(found) == 4 and found == sorted(found, reverse=True) and all(0 <= a <= 1 for a in found)
+
+
+def test_water_meets_at_ridges_and_compact_segments_are_the_nearest_seeds(spark):
+    ridge = np.zeros((7, 9))
+    ridge[:, 4] = 5.0
+    label = TX.flooded(ridge, [(3, 1), (3, 7)], 0.0)
+    assert (label[:, :4] == 0).all() and (label[:, 5:] == 1).all()
+    rng = np.random.default_rng(3)
+    seeds = [(2, 3), (9, 1), (7, 10)]
+    label = TX.flooded(rng.random((12, 13)), seeds, 1e6)
+    for (r, c), k in np.ndenumerate(label):
+        far = [math.hypot(r - i, c - j) for i, j in seeds]
+        assert far[k] == min(far)
+    tiles = spark.createDataFrame([(1, [0.0] * 32 + [9.0] * 32), (2, []), (3, None), (4, [float("nan")] * 8)], "id long, data array<double>")
+    seg = {(r.id, r.r, r.c): r.segment for r in TX.watershed(tiles, 8, 4).collect()}
+    assert len(seg) == 72 and seg[1, 0, 0] != seg[1, 7, 0] and min(seg.values()) == 0
+
+
+def test_edges_of_tiles_are_those_of_cells(spark):
+    t = np.random.default_rng(4).random((6, 8))
+    cells = spark.createDataFrame([(1, int(r), int(c), float(v)) for (r, c), v in np.ndenumerate(t)], "id int, r int, c int, v double")
+    inner = {(r.r, r.c): r.edge for r in TX.sobel(cells, ["id"]).collect()}
+    got = TX.edge_strength(t)
+    assert len(inner) == 24 and all(math.isclose(got[k], v / 4 / math.sqrt(2)) for k, v in inner.items())
+
+
+@pytest.mark.parametrize("by_band", [False, True])
+def test_cube_to_rasters(spark, tmp_path, by_band):
+    rows = [(day(t), 10.0 * y, 20.0 * x, float(t * 100 + y * 10 + x), 1) for t in (0, 3) for y in range(5) for x in range(4) if (y, x) != (2, 2)]
+    cube = spark.createDataFrame(rows, "time date, y double, x double, nir double, red int")
+    names = R.write_cube(cube, str(tmp_path), ["nir", "red"], 1, (10.0, 20.0), {"sum": F.col("nir") + F.col("red")}, by_band, side=3)
+    assert len(names) == 4 * (3 if by_band else 1) and all("2015-01-04" in n for n in names)
+    assert names == R.write_cube(cube, str(tmp_path), ["nir", "red"], day(3), (10.0, 20.0), {"sum": F.col("nir") + F.col("red")}, by_band, side=3)
+    got = R.pixels(R.read_tiles(spark, str(tmp_path))).collect()
+    nir = {(r.y, r.x): r.v for r in got if ("nir" in r.path if by_band else r.band == 1)}
+    total = {(r.y, r.x): r.v for r in got if ("sum" in r.path if by_band else r.band == 3)}
+    assert nir == {(10.0 * y, 20.0 * x): None if (y, x) == (2, 2) else 300.0 + y * 10 + x for y in range(5) for x in range(4)}
+    assert total == {k: None if v is None else v + 1 for k, v in nir.items()}
+
+
+def test_footprints_touch_an_area(spark):
+    area = [(0.0, 0.0), (6.0, 1.0), (3.0, 2.0), (5.0, 6.0), (-1.0, 4.0)]
+    rng = np.random.default_rng(5)
+    boxes = [(float(x), float(x + w), float(y), float(y + h)) for x, y, w, h in zip(*rng.uniform(-4, 8, (2, 120)), *rng.uniform(0.05, 3, (2, 120)), strict=True)]
+    boxes += [(-9.0, 9.0, -9.0, 9.0), (1.0, 1.2, 2.0, 2.2), (5.0, 5.0, 6.0, 6.0)]
+
+    def inside(x, y):
+        edges = zip(area, [*area[1:], area[0]], strict=True)
+        return sum((b > y) != (d > y) and x < (c - a) * (y - b) / (d - b) + a for (a, b), (c, d) in edges) % 2 == 1
+
+    def brute(x0, x1, y0, y1):
+        grid = any(inside(x, y) for x in np.linspace(x0, x1, 60) for y in np.linspace(y0, y1, 60))
+        edge = any(x0 <= a + (c - a) * t <= x1 and y0 <= b + (d - b) * t <= y1 for (a, b), (c, d) in zip(area, [*area[1:], area[0]], strict=True) for t in np.linspace(0, 1, 2001))
+        return grid or edge
+
+    df = spark.createDataFrame([(k, *b) for k, b in enumerate(boxes)], "k int, x_min double, x_max double, y_min double, y_max double")
+    assert {r.k for r in CAT.search(df, area=area).collect()} == {k for k, b in enumerate(boxes) if brute(*b)}
+
+
+def test_numbering_is_the_order(spark):
+    from cropcube.operators.numbering import numbered
+
+    rng = np.random.default_rng(6)
+    rows = [(int(k), "hot" if k % 3 == 0 else None if k % 50 == 1 else f"n{rng.integers(900):03}") for k in range(3000)]
+    df = spark.createDataFrame(rows, "k int, name string").repartition(7)
+    got = {r.k: r.n for r in numbered(df, "n", F.col("name"), F.col("k")).collect()}
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[0]))
+    assert got == {k: n for n, (k, _) in enumerate(want, 1)}
+    assert numbered(df.limit(0), "n", F.col("name")).count() == 0
+
+
+def test_operators_by_name(spark):
+    from cropcube.registry import OPERATORS, Registry
+
+    df = spark.createDataFrame([("S2", day(0), "a"), ("S2", day(9), "b"), ("LC08", day(9), "c")], "product string, time date, name string")
+    steps = OPERATORS.pipeline(("search", {"product": "S2", "start": "2015-01-05"}), ("with_bands", {}))
+    assert {r.name for r in df.transform(steps).collect()} == {"b"}
+    assert {"time", "values"} & set(OPERATORS.parameters("translate")) and "watershed" in OPERATORS.names()
+    with pytest.raises(KeyError):
+        OPERATORS.pipeline(("nothing", {}))
+    with pytest.raises(TypeError):
+        OPERATORS.create("search", df, colour="red")
+    own = Registry()
+    own.add("top", lambda x, n: x.limit(n))
+    assert own.create("top", df, n=1).count() == 1
+    with pytest.raises(ValueError):
+        own.add("top", lambda x: x)
