@@ -39,7 +39,7 @@ _STEP = _rng.integers(1, 1 << 63, 16, dtype=np.uint64) * np.uint64(2) + np.uint6
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _power, _inverse
     if len(_power) < n:
-        size = max(n, PIECE + 65536)
+        size = -(-n >> 18) << 18  # the next multiple, so that few longer texts make it anew
         with np.errstate(over="ignore"):
             one = np.ones(1, np.uint64)
             _power = np.concatenate([one, np.cumprod(np.full(size, _BASE, np.uint64))])

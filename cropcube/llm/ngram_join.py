@@ -57,7 +57,7 @@ SALT_FROM = 10
 BLOCK = 128
 #: N-grams that a task sorts at once, and bytes of text that it cuts into sets at once.
 CHUNK = 500_000
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def sets_of(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -473,17 +473,18 @@ def pieces_of(ids: DataFrame, docs: DataFrame, text_col: str, k: int, table, scr
     def emit(batches):
         for batch in batches:
             seen: set[int] = set()
-            rows: list[tuple[int, int, int, bytes]] = []
             for _, _, h, at in sets_of(batch.column(0), k):
                 sid = set_ids(h, at)
+                rows: list[tuple[int, int, int, bytes]] = []
                 for d in np.flatnonzero(wanted.value.holds(sid) & (sid != 0)).tolist():
                     if (x := int(sid.view(np.int64)[d])) not in seen:
                         seen.add(x)
                         one = h[at[d] : at[d + 1]]
                         f = fragment_of(one, table.value.get())
                         rows += [(x, y, len(one), K.pack(one[f == y])) for y in np.unique(f).tolist()]
-            columns = [[r[c] for r in rows] for c in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, [pa.int64()] * 3 + [pa.binary()], strict=True)], ["sid", "f", "n", "grams"])
+                if rows:
+                    columns = zip(zip(*rows, strict=True), [pa.int64()] * 3 + [pa.binary()], strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in columns], ["sid", "f", "n", "grams"])
 
     sets = docs.select(F.col(text_col).cast("string")).mapInArrow(emit, "sid long, f long, n long, grams binary")
     out = scratch.table(sets.join(ids, "sid", "left_semi").groupBy("sid", "f").agg(F.first("n").alias("n"), F.first("grams").alias("grams")))
