@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,10 +158,52 @@ def sobel(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def shift_scores(a: DataFrame, b: DataFrame, by: list[str], reach: int) -> DataFrame:
-    """Sum of products of two tiles for every shift of ``b`` up to ``reach`` places; cells meet by equi-join."""
+    """Sum of products of two tiles for every shift of ``b`` up to ``reach`` places; cells meet by equi-join.
+
+    ``b``'s cells are there once for each shift, which no estimate of sizes knows, so that side is never broadcast.
+    """
     shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("dr"), F.lit(j).alias("dc")) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]))
     moved = b.withColumn("s", shifts).select(*by, (F.col("r") - F.col("s.dr")).alias("r"), (F.col("c") - F.col("s.dc")).alias("c"), F.col("s.dr").alias("dr"), F.col("s.dc").alias("dc"), F.col("v").alias("w"))
-    return a.join(moved, [*by, "r", "c"]).groupBy(*by, "dr", "dc").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
+    return a.join(moved.hint("merge"), [*by, "r", "c"]).groupBy(*by, "dr", "dc").agg(F.sum(F.col("v") * F.col("w")).alias("score"))
+
+
+def tile_shift_scores(pairs: DataFrame, by: list[str], width: int, reach: int) -> DataFrame:
+    """``shift_scores`` of small tiles: of each row the arrays of integers ``a`` and ``b``, row by row.
+
+    Tiles meet whole and their cells are shifted by array operations, so no cell is joined. Missing cells have no product.
+    """
+    span = 2 * reach + 1
+    shifts = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)]
+
+    def grids(column: pa.Array, rows: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        values = column.take(pa.array(rows)).flatten()
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        out = np.zeros((2, len(rows), -(-size // width) * width), np.int64)
+        out[0, :, :size] = values.fill_null(0).to_numpy(zero_copy_only=False).reshape(len(rows), size)
+        out[1, :, :size] = there.reshape(len(rows), size)
+        v, there = out.reshape(2, len(rows), -1, width)
+        return v, there.astype(bool)
+
+    @F.arrow_udf("array<long>")
+    def scores(a: pa.Array, b: pa.Array) -> pa.Array:
+        sizes = np.stack([x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for x in (a, b)])
+        total, found = np.zeros((len(a), len(shifts)), np.int64), np.zeros((len(a), len(shifts)), bool)
+        for na, nb in np.unique(sizes[:, (sizes > 0).all(0)], axis=1).T.tolist():
+            of_size = np.flatnonzero((sizes[0] == na) & (sizes[1] == nb))
+            step = max(1, (1 << 18) // max(na, nb))
+            for rows in (of_size[k : k + step] for k in range(0, len(of_size), step)):
+                (v, v_there), (w, w_there) = grids(a, rows, na), grids(b, rows, nb)
+                for k, (dr, dc) in enumerate(shifts):
+                    r, c = slice(max(0, -dr), max(0, min(v.shape[1], w.shape[1] - dr))), slice(max(0, -dc), max(0, width - max(0, dc)))
+                    r1, c1 = slice(max(0, dr), max(0, r.stop + dr)), slice(max(0, dc), max(0, c.stop + dc))
+                    total[rows, k] = (v[:, r, c] * w[:, r1, c1]).sum((1, 2))
+                    found[rows, k] = (v_there[:, r, c] & w_there[:, r1, c1]).any((1, 2))
+        offsets = pa.array(np.arange(len(a) + 1, dtype=np.int32) * len(shifts))
+        return pa.ListArray.from_arrays(offsets, pa.array(total.ravel(), mask=~found.ravel()))
+
+    df = pairs.where((F.size("a") > 0) & (F.size("b") > 0)).select(*by, F.posexplode(scores("a", "b")).alias("k", "score"))
+    df = df.select(*by, (F.expr(f"k div {span}").cast("int") - reach).alias("dr"), (F.col("k") % span - reach).alias("dc"), "score")
+    return df.groupBy(*by, "dr", "dc").agg(F.sum("score").alias("score"))
 
 
 def best_shift(scores: DataFrame, by: list[str]) -> DataFrame:
