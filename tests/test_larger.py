@@ -47,3 +47,22 @@ def test_scores_of_tiles_are_those_of_cells(spark):
     cells = lambda c: pairs.select("id", F.posexplode(c).alias("i", "v")).select("id", F.expr("i div 4").cast("int").alias("r"), (F.col("i") % 4).alias("c"), "v")
     got = TX.tile_shift_scores(pairs, ["id"], 4, 3).where("score IS NOT NULL")
     assert rows_of_spark(got) == rows_of_spark(TX.shift_scores(cells("a"), cells("b"), ["id"], 3))
+
+
+def test_rasters_keep_the_sign_of_zero_and_empty_tiles(spark, tables):
+    rows = [(0, [-1e-7, 1e-7, -0.0, 0.0] * 16, 0), (1, [0.0078125, -0.0078125, 1e30, float("nan")] * 16, 0), (2, [], 0), (3, None, 0), (4, [None, -3e-7], 0)]
+    folder = tables("embeddings", spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    text = lambda rows: [repr(r) for r in rows]
+    got, want = rows_of_spark(Q.QUERIES["rows_to_raster"](spark, folder)), rows_of_sql(folder, Q.ORACLES["rows_to_raster"])
+    assert got[0] == want[0] and text(got[1]) == text(want[1])
+
+
+def test_rounding_is_that_of_sql(spark):
+    import duckdb
+
+    rng = np.random.default_rng(7)
+    values = [*rng.normal(scale=100, size=300).round(5).tolist(), *(rng.integers(-(10**6), 10**6, 300) / 32).tolist(), -1e-9, -0.0, 0.49999999999999994, 1e300, -1e307, 4503599627370497.5, 1.00005, -2.94375]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = df.orderBy("i").select(*[Q.rounded("v", k).alias(f"r{k}") for k in (0, 4, 9)]).collect()
+    want = duckdb.connect().execute("SELECT round(v, 0), round(v, 4), round(v, 9) FROM (SELECT unnest($1::DOUBLE[]) AS v)", [values]).fetchall()
+    assert [repr(tuple(r)) for r in got] == [repr(tuple(r)) for r in want]
