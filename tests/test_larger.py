@@ -1,5 +1,7 @@
 """What larger and odder tables showed."""
 
+import datetime
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -66,3 +68,17 @@ def test_rounding_is_that_of_sql(spark):
     got = df.orderBy("i").select(*[Q.rounded("v", k).alias(f"r{k}") for k in (0, 4, 9)]).collect()
     want = duckdb.connect().execute("SELECT round(v, 0), round(v, 4), round(v, 9) FROM (SELECT unnest($1::DOUBLE[]) AS v)", [values]).fetchall()
     assert [repr(tuple(r)) for r in got] == [repr(tuple(r)) for r in want]
+
+
+@pytest.mark.parametrize("name", ["interp_spline", "interp_spline_der"])
+def test_splines_half_way_between_roundings_are_those_of_sql(spark, small, tables, name):
+    first, days = datetime.date(1995, 12, 1), {2: (0, 800), 3: (0, 160, 800), 4: (0, 160, 320, 800)}
+    rng = np.random.default_rng(9)
+    rows = [(place, first + datetime.timedelta(d), float(rng.integers(9000, 1000000)) / 10) for place in range(600) for d in days[2 + place % 3]]
+    found = spark.createDataFrame(rows, "l_partkey long, day date, price double")
+    new = {"l_orderkey": "l_partkey", "l_partkey": "l_partkey", "l_shipdate": "cast(day AS timestamp_ntz)", "l_extendedprice": "price", "l_linestatus": "'O'", "l_returnflag": "'N'"}
+    columns = spark.read.parquet(f"{small}/lineitem.parquet").schema.fields
+    folder = tables("lineitem", found.selectExpr(*[f"cast({new.get(c.name, '1')} AS {c.dataType.simpleString()}) AS {c.name}" for c in columns]))
+    text = lambda rows: [repr(r) for r in rows]
+    got, want = rows_of_spark(Q.QUERIES[name](spark, folder)), rows_of_sql(folder, Q.ORACLES[name])
+    assert got[0] == want[0] and text(got[1]) == text(want[1])
