@@ -70,6 +70,18 @@ def test_rounding_is_that_of_sql(spark):
     assert [repr(tuple(r)) for r in got] == [repr(tuple(r)) for r in want]
 
 
+def test_features_of_two_values_are_those_of_sql(spark, tables):
+    rng = np.random.default_rng(8)
+    rows = []
+    for user in range(300):
+        for k in range(2 if user < 250 else 3):
+            rows.append((len(rows), datetime.datetime(2024, 1, 1 + 3 * k), user, "view", float(rng.integers(1, 30000)) / 100, "{}"))
+    folder = tables("events", spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"))
+    text = lambda rows: [repr(r) for r in rows]
+    got, want = rows_of_spark(Q.QUERIES["ts_features_ext"](spark, folder)), rows_of_sql(folder, Q.ORACLES["ts_features_ext"])
+    assert got[0] == want[0] and text(got[1]) == text(want[1])
+
+
 @pytest.mark.parametrize("name", ["interp_spline", "interp_spline_der"])
 def test_splines_half_way_between_roundings_are_those_of_sql(spark, small, tables, name):
     first, days = datetime.date(1995, 12, 1), {2: (0, 800), 3: (0, 160, 800), 4: (0, 160, 320, 800)}
