@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cropcube.operators import texture as TX
+from cropcube.operators import timeseries as TS
 from cropcube.plans import queries as Q
 from tests.oracle import rows_of_spark, rows_of_sql
 
@@ -94,3 +95,12 @@ def test_splines_half_way_between_roundings_are_those_of_sql(spark, small, table
     text = lambda rows: [repr(r) for r in rows]
     got, want = rows_of_spark(Q.QUERIES[name](spark, folder)), rows_of_sql(folder, Q.ORACLES[name])
     assert got[0] == want[0] and text(got[1]) == text(want[1])
+
+
+@pytest.mark.parametrize("knots", [2, 3, 4])
+def test_sums_of_terms_are_the_spline(knots):
+    rng = np.random.default_rng(knots)
+    x, y = np.sort(rng.choice(2000, knots, replace=False)).astype(float), rng.normal(size=knots)
+    at = np.linspace(x[0] - 1, x[-1] + 1, 50)
+    for a, b in zip(TS.spline_at(x, y, at), TS.spline_at(x, y, at, 4), strict=True):
+        assert np.isnan(a).any() and np.allclose(a, b, rtol=1e-6, atol=1e-7, equal_nan=True)
