@@ -44,9 +44,9 @@ ANCHOR = 64
 STEP = 16
 #: Most bits of a table that one pass hands to the next: 16 MB.
 TABLE_BITS = 27
-#: Digits that a task sorts at once.
-CHUNK = 1_000_000
-PIECE = 1 << 20
+#: Digits that a task sorts at once; with the bytes of text that are worked on at once, what bounds a worker's memory.
+CHUNK = 1 << 18
+PIECE = 1 << 18
 _SPAN = np.uint64(0x5851F42D4C957F2D)
 
 
@@ -354,8 +354,13 @@ def repeated_spans(
     if passage:
         found["cropcube_passages"] = repeated_windows(docs, text_col, Unit(passage, max(4, passage // 6), max(3, passage // 12), True), scratch)
 
-    def judge(batches):
+    def pieces(batches):
         for batch in batches:
+            _, offsets = K.texts_of(batch.column(batch.schema.get_field_index(text_col)))
+            yield from (batch.slice(i, j - i) for i, j in K.groups(offsets, PIECE))
+
+    def judge(batches):
+        for batch in pieces(batches):
             texts_ = batch.column(batch.schema.get_field_index(text_col))
             raw, offsets = K.texts_of(texts_)
             where = batch.column(batch.schema.get_field_index("cropcube_found"))

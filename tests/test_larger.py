@@ -1,11 +1,14 @@
 """What larger and odder tables showed."""
 
 import datetime
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from cropcube.llm import repeats as RP
 from cropcube.operators import texture as TX
 from cropcube.operators import timeseries as TS
 from cropcube.plans import queries as Q
@@ -104,3 +107,20 @@ def test_sums_of_terms_are_the_spline(knots):
     at = np.linspace(x[0] - 1, x[-1] + 1, 50)
     for a, b in zip(TS.spline_at(x, y, at), TS.spline_at(x, y, at, 4), strict=True):
         assert np.isnan(a).any() and np.allclose(a, b, rtol=1e-6, atol=1e-7, equal_nan=True)
+
+
+@pytest.mark.parametrize("unit", [RP.Unit(400, 64, 16), RP.Unit(50, 8, 4, True)])
+def test_repeats_hold_little_of_a_batch(unit):
+    rng = np.random.default_rng(10)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 1000, 500)) for _ in range(1600)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    list(RP.runs_of(batch.slice(0, 10), unit))
+    tracemalloc.start()
+    try:
+        for _, runs, _ in RP.runs_of(batch, unit):
+            run, m, _ = runs.nodes()
+            runs.common(run, m)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sum(map(len, texts)) > 3e6 and peak < 48e6, peak
